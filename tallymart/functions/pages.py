@@ -1,0 +1,52 @@
+"""Nested lists per group whose rows stay bounded.
+
+A plain ``collect_list`` puts a whole group into one buffer.  Here a group
+larger than ``page_size`` is given out as several rows, one per page, so that
+no element is dropped and no task holds more than about one page at a time.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
+
+
+def paged_lists(
+    df: DataFrame,
+    keys: list[str],
+    element: str,
+    out: str,
+    page_size: int = 10_000,
+    distinct: bool = False,
+) -> DataFrame:
+    """``keys, page, pages, out``: the sorted elements of each group, by page."""
+    rows = df.select(*keys, element).where(F.col(element).isNotNull())
+    rows = rows.groupBy(*keys, element).agg(F.count(F.lit(1)).alias("_copies"))
+    copies = F.lit(1) if distinct else F.col("_copies")
+    sizes = rows.groupBy(*keys).agg(
+        F.ceil(F.sum(copies) / F.lit(page_size)).cast("int").alias("pages")
+    )
+    # Null-safe, so that a group with a null key keeps its elements.
+    same = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
+    paged = (
+        rows.alias("r")
+        .join(sizes.alias("s"), same)
+        .select("r.*", "s.pages")
+        .withColumn("page", F.pmod(F.xxhash64(element), F.col("pages")).cast("int"))
+    )
+    if not distinct:
+        # Equal elements may alone exceed a page: repeats move on to later pages.
+        span = F.sequence(F.lit(0), F.ceil(F.col("_copies") / F.lit(page_size)).cast("int") - 1)
+        paged = (
+            paged.withColumn("_part", F.explode(span))
+            .withColumn(
+                "_copies",
+                F.least(F.lit(page_size), F.col("_copies") - F.col("_part") * page_size).cast("int"),
+            )
+            .withColumn("page", F.pmod(F.col("page") + F.col("_part"), F.col("pages")))
+            .withColumn(element, F.explode(F.array_repeat(F.col(element), F.col("_copies"))))
+        )
+    return paged.groupBy(*keys, "page", "pages").agg(
+        F.sort_array(F.collect_list(element)).alias(out)
+    )
