@@ -74,7 +74,8 @@ def stream_messages(t: Tables, topic: str) -> DataFrame:
     """The same messages as an unbounded frame over the table's files."""
     table, build = SOURCES[topic]
     schema = t.raw(table).schema
-    return build(t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/{table}.parquet"))
+    # A glob fits a single file as well as a folder of files.
+    return build(t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/{table}.parquet*"))
 
 
 # The same messages as SQL.
@@ -89,8 +90,8 @@ msg_orders AS (
     END AS delay
   FROM orders),
 msg_items AS (
-  SELECT l_shipdate + (l_orderkey % 24) * INTERVAL 1 HOUR AS shipped, l_extendedprice AS price,
-    l_tax * 100 AS freight FROM lineitem),
+  SELECT l_shipdate + (l_orderkey % 24) * INTERVAL 1 HOUR AS shipped, CAST(l_extendedprice AS DECIMAL(18,2)) AS price,
+    CAST(l_tax * 100 AS DECIMAL(18,2)) AS freight FROM lineitem),
 hour_customers AS (
   SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, COUNT(*) AS count FROM msg_customers GROUP BY 1),
 hour_orders AS (
@@ -98,5 +99,6 @@ hour_orders AS (
     CAST(SUM(delay) AS DOUBLE) / NULLIF(COUNT(delay), 0) AS avg_delivery_delay,
     COUNT(DISTINCT customer_id) AS unique_customers FROM msg_orders GROUP BY 1),
 hour_sales AS (
-  SELECT time_bucket(INTERVAL 1 HOUR, shipped) AS window_start, SUM(price) AS total_sales, AVG(price) AS avg_price,
-    SUM(freight) AS total_freight, COUNT(*) AS total_items FROM msg_items GROUP BY 1)"""
+  SELECT time_bucket(INTERVAL 1 HOUR, shipped) AS window_start, CAST(SUM(price) AS DOUBLE) AS total_sales,
+    CAST(SUM(price) AS DOUBLE) / COUNT(price) AS avg_price, CAST(SUM(freight) AS DOUBLE) AS total_freight,
+    COUNT(*) AS total_items FROM msg_items GROUP BY 1)"""

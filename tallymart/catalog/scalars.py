@@ -9,8 +9,9 @@ from .registry import query
 from .staging_sql import with_staging
 
 
-@query("format_currency", "SELECT c_custkey, format('${:,.2f}', c_acctbal) AS balance, "
-       "CASE WHEN c_acctbal > 0 THEN '-' ELSE '' END || format('€{:,.2f}', c_acctbal) AS debit FROM customer")
+@query("format_currency", """
+SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || format('${:,.2f}', abs(c_acctbal)) AS balance,
+  CASE WHEN c_acctbal > 0 THEN '-' ELSE '' END || format('€{:,.2f}', abs(c_acctbal)) AS debit FROM customer""")
 def format_currency(t):
     return t.raw("customer").select(
         "c_custkey",
@@ -19,12 +20,12 @@ def format_currency(t):
     )
 
 
-@query("percentage_change", "SELECT o_orderkey, round((o_totalprice - 1000) / 1000 * 100, 2) AS change, "
+@query("percentage_change", "SELECT o_orderkey, round((o_totalprice - 700) / 700 * 100, 2) AS change, "
        "CAST('inf' AS DOUBLE) AS from_zero FROM orders")
 def percentage_change(t):
     return t.raw("orders").select(
         "o_orderkey",
-        text.percentage_change(F.lit(1000.0), F.col("o_totalprice")).alias("change"),
+        text.percentage_change(F.lit(700.0), F.col("o_totalprice")).alias("change"),
         text.percentage_change(F.lit(0.0), F.col("o_totalprice")).alias("from_zero"),
     )
 

@@ -54,7 +54,7 @@ def _by_day(df):
 @query("partition_by_time", FACT_BY_DAY)
 def partition_by_time(t):
     path = scratch_dir(t.spark, "fact")
-    writers.partition_by_time(t.fact_sales(), path)
+    writers.partition_by_time(t.fact_sales(), path, chunk="month")
     return _by_day(t.spark.read.parquet(path))
 
 
@@ -62,8 +62,8 @@ def partition_by_time(t):
 def append_fact(t):
     path = scratch_dir(t.spark, "fact")
     fact = t.fact_sales()
-    writers.append_fact(fact.where("is_returned"), path)
-    writers.append_fact(fact.where("not is_returned"), path)
+    writers.append_fact(fact.where("is_returned"), path, chunk="month")
+    writers.append_fact(fact.where("not is_returned"), path, chunk="month")
     return _by_day(t.spark.read.parquet(path))
 
 
@@ -186,7 +186,7 @@ FROM st_items i JOIN st_orders o ON i.order_id = o.order_id"""))
 def etl_run(t):
     folder, target = scratch_dir(t.spark, "extracts"), scratch_dir(t.spark, "star")
     write_extracts(t, folder)
-    paths = load.etl_run(t.spark, folder, target, translated=False)
+    paths = load.etl_run(t.spark, folder, target, translated=False, chunk="month")
     fact = t.spark.read.parquet(paths["fact_sales"])
     return fact.select(
         "order_id",
@@ -210,14 +210,16 @@ def read_csv(t):
 
 
 @query("drop_expired", with_staging("""
-SELECT CAST(order_purchase_timestamp AS DATE) AS order_date, COUNT(*) AS orders FROM st_orders
-WHERE order_purchase_timestamp >= TIMESTAMP '2001-08-02' - INTERVAL 365 DAY GROUP BY 1"""))
+SELECT CAST(date_trunc('month', order_purchase_timestamp) AS DATE) AS order_date_month, COUNT(*) AS orders
+FROM st_orders
+WHERE date_trunc('month', order_purchase_timestamp) + INTERVAL 1 MONTH > DATE '2001-08-02' - INTERVAL 365 DAY
+GROUP BY 1"""))
 def drop_expired(t):
-    """Dates beyond the retention leave a stored, partitioned table."""
+    """Months beyond the retention leave a stored, partitioned table."""
     name = "tallymart_expiring_" + dt.datetime.now().strftime("%H%M%S%f")
     path = scratch_dir(t.spark, "expiring")
     rows = t.orders.select("order_id", F.to_date("order_purchase_timestamp").alias("order_date"))
-    rows = rows.where("order_date >= '2000-01-01'")
-    writers.by_time(rows, "order_date").write.partitionBy("order_date").option("path", path).saveAsTable(name)
-    writers.drop_expired(t.spark, name, "order_date", dt.date.fromisoformat("2001-08-02"), 365)
-    return t.spark.table(name).groupBy("order_date").agg(F.count(F.lit(1)).alias("orders"))
+    rows, part = writers.with_chunk(rows, "order_date", "month")
+    writers.by_time(rows, part).write.partitionBy(part).option("path", path).saveAsTable(name)
+    writers.drop_expired(t.spark, name, part, dt.date.fromisoformat("2001-08-02"), 365, "month")
+    return t.spark.table(name).groupBy(part).agg(F.count(F.lit(1)).alias("orders"))

@@ -76,12 +76,10 @@ def stream_order_stats(t):
 
 
 @query("stream_sales_stats", with_messages(f"""
-SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, round(total_sales, 2) AS total_sales,
-  round(avg_price, 4) AS avg_price, round(total_freight, 2) AS total_freight, total_items
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, total_sales, avg_price, total_freight, total_items
 FROM hour_sales WHERE {closed('shipped', 'msg_items')}"""))
 def stream_sales_stats(t):
-    out = flat_window(drain(t, jobs.sales_stats(decoded(t, "order_items")), "sales"))
-    return rounded(rounded(out, "avg_price"), "total_sales", "total_freight", digits=2)
+    return flat_window(drain(t, jobs.sales_stats(decoded(t, "order_items")), "sales"))
 
 
 @query("stream_rate_windows", with_staging("""
@@ -131,7 +129,7 @@ def customer_growth_mart(t):
 
 def _sales_mart(name: str, price: str, weighted: bool):
     sql = with_messages(f"""
-SELECT date, round(daily_revenue, 2) AS daily_revenue, total_items, round(average_item_price, 4) AS average_item_price,
+SELECT date, round(daily_revenue, 2) AS daily_revenue, total_items, round(average_item_price, 8) AS average_item_price,
   round(total_freight, 2) AS total_freight, round(total_revenue, 2) AS total_revenue,
   round(AVG(total_revenue) OVER (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 2) AS revenue_7day_avg
 FROM (SELECT CAST(window_start AS DATE) AS date, SUM(total_sales) AS daily_revenue,
@@ -143,7 +141,7 @@ FROM (SELECT CAST(window_start AS DATE) AS date, SUM(total_sales) AS daily_reven
     def build(t):
         out = marts.sales_trends_mart(in_range(hourly(t, "sales"), FIRST, LAST), weighted)
         money = ["daily_revenue", "total_freight", "total_revenue", "revenue_7day_avg"]
-        return rounded(rounded(out, "average_item_price"), *money, digits=2)
+        return rounded(rounded(out, "average_item_price", digits=8), *money, digits=2)
 
 
 _sales_mart("sales_trends_mart", "AVG(avg_price)", False)

@@ -29,7 +29,9 @@ def build_star(
     }
 
 
-def etl_run(spark: SparkSession, folder: str, target: str, translated: bool = True) -> dict[str, str]:
+def etl_run(
+    spark: SparkSession, folder: str, target: str, translated: bool = True, chunk: str = "day"
+) -> dict[str, str]:
     """Read the extracts of a folder and store the star schema.
 
     The source never sets the fact's date key and loads no sellers; here the
@@ -51,7 +53,7 @@ def etl_run(spark: SparkSession, folder: str, target: str, translated: bool = Tr
     target = target.rstrip("/")
     for name, df in star.items():
         if name == "fact_sales":
-            partition_by_time(df, f"{target}/{name}", "order_date")
+            partition_by_time(df, f"{target}/{name}", "order_date", chunk=chunk)
         else:
             df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{target}/{name}")
     return {name: f"{target}/{name}" for name in star}

@@ -172,7 +172,7 @@ class Tables:
     def stream_logs(self) -> DataFrame:
         """The log rows as an unbounded frame over the files of the events."""
         schema = self.raw("events").schema
-        events = self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/events.parquet")
+        events = self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/events.parquet*")
         return self._log_rows(events)
 
     @staticmethod

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.aggregates import ratio
+from ..functions.aggregates import mean, ratio, total
 from ..functions.dates import calendar_days, parse_iso
 from ..schemas import MESSAGES
 from ..sources.readers import read_json_stream
@@ -71,15 +71,20 @@ def order_stats(orders: DataFrame) -> DataFrame:
 
 
 def sales_stats(order_items: DataFrame) -> DataFrame:
-    """Item sales per hour from messages that carry the lines of an order."""
+    """Item sales per hour from messages that carry the lines of an order.
+
+    Amounts are summed as decimals, so the order of arrival does not matter.
+    """
     items = _event_time(order_items, "timestamp").select("event_time", F.explode("items").alias("item"))
+    money = {c: F.col(c).cast("decimal(18,2)") for c in ("price", "freight_value")}
     return (
         items.select("event_time", "item.*")
+        .withColumns(money)
         .groupBy(F.window("event_time", WINDOW))
         .agg(
-            F.sum("price").alias("total_sales"),
-            F.avg("price").alias("avg_price"),
-            F.sum("freight_value").alias("total_freight"),
+            total("price").alias("total_sales"),
+            mean("price").alias("avg_price"),
+            total("freight_value").alias("total_freight"),
             F.count("order_id").alias("total_items"),
         )
     )
