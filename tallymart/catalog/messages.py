@@ -73,9 +73,7 @@ def batch_messages(t: Tables, topic: str) -> DataFrame:
 def stream_messages(t: Tables, topic: str) -> DataFrame:
     """The same messages as an unbounded frame over the table's files."""
     table, build = SOURCES[topic]
-    schema = t.raw(table).schema
-    # A glob fits a single file as well as a folder of files.
-    return build(t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/{table}.parquet*"))
+    return build(t.raw_stream(table))
 
 
 # The same messages as SQL.

@@ -11,15 +11,13 @@ from pyspark.sql import DataFrame, functions as F
 from ..plans import marts
 from ..schemas import MESSAGES
 from ..session import scratch_dir
-from ..sources.readers import good_rows, in_range, parse_json
+from ..sources.readers import good_rows, parse_json
 from ..sources.writers import lake_stream_sink, to_messages
 from ..streaming import jobs
 from .messages import CTES, batch_messages, stream_messages
 from .registry import query, rounded
 from .staging_sql import with_staging
 
-FIRST, LAST = "1990-01-01", "2030-01-01"
-
 
 def with_messages(body: str, *more: str) -> str:
     return with_staging(body, CTES, *more)
@@ -124,7 +122,7 @@ CUSTOMER_MART = """growth AS (
 
 @query("customer_growth_mart", with_messages("SELECT * FROM growth", CUSTOMER_MART))
 def customer_growth_mart(t):
-    return marts.customer_growth_mart(in_range(hourly(t, "customers"), FIRST, LAST))
+    return marts.customer_growth_mart(hourly(t, "customers"))
 
 
 def _sales_mart(name: str, price: str, weighted: bool):
@@ -139,7 +137,7 @@ FROM (SELECT CAST(window_start AS DATE) AS date, SUM(total_sales) AS daily_reven
 
     @query(name, sql)
     def build(t):
-        out = marts.sales_trends_mart(in_range(hourly(t, "sales"), FIRST, LAST), weighted)
+        out = marts.sales_trends_mart(hourly(t, "sales"), weighted)
         money = ["daily_revenue", "total_freight", "total_revenue", "revenue_7day_avg"]
         return rounded(rounded(out, "average_item_price", digits=8), *money, digits=2)
 
@@ -158,7 +156,7 @@ FROM (SELECT CAST(window_start AS DATE) AS date, CAST(SUM(total_orders) AS BIGIN
 
     @query(name, sql)
     def build(t):
-        out = marts.order_performance_mart(in_range(hourly(t, "orders"), FIRST, LAST), weighted)
+        out = marts.order_performance_mart(hourly(t, "orders"), weighted)
         return rounded(out, "avg_delivery_delay", digits=6)
 
 

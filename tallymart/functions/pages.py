@@ -20,33 +20,34 @@ def paged_lists(
     page_size: int = 10_000,
     distinct: bool = False,
 ) -> DataFrame:
-    """``keys, page, pages, out``: the sorted elements of each group, by page."""
+    """``keys, page, out``: the sorted elements of each group, page by page.
+
+    Only groups beyond ``page_size`` have pages after page 0.  Their number of
+    pages comes from a small side frame; pages are filled by a hash of the
+    element, and copies of one element beyond a page move on to the next.
+    """
     rows = df.select(*keys, element).where(F.col(element).isNotNull())
     rows = rows.groupBy(*keys, element).agg(F.count(F.lit(1)).alias("_copies"))
-    copies = F.lit(1) if distinct else F.col("_copies")
-    sizes = rows.groupBy(*keys).agg(
-        F.ceil(F.sum(copies) / F.lit(page_size)).cast("int").alias("pages")
+    if distinct:
+        counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        rows = rows.withColumn("_copies", F.lit(1))
+    else:
+        counted = df.where(F.col(element).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = counted.where(F.col("_n") > page_size).withColumn(
+        "_pages", F.ceil(F.col("_n") / F.lit(page_size)).cast("int")
     )
     # Null-safe, so that a group with a null key keeps its elements.
     same = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
+    first = F.pmod(F.xxhash64(element), F.col("_pages")).cast("int")
+    parts = F.sequence(F.lit(0), F.ceil(F.col("_copies") / F.lit(page_size)).cast("int") - 1)
+    in_part = F.least(F.lit(page_size), F.col("_copies") - F.col("_part") * page_size).cast("int")
     paged = (
         rows.alias("r")
-        .join(sizes.alias("s"), same)
-        .select("r.*", "s.pages")
-        .withColumn("page", F.pmod(F.xxhash64(element), F.col("pages")).cast("int"))
+        .join(large.alias("s"), same, "left")
+        .select("r.*", "s._pages", F.explode(parts).alias("_part"))
+        .withColumn("page", F.coalesce(F.pmod(first + F.col("_part"), F.col("_pages")), F.lit(0)))
+        .withColumn("_elements", F.array_repeat(element, in_part))
     )
-    if not distinct:
-        # Equal elements may alone exceed a page: repeats move on to later pages.
-        span = F.sequence(F.lit(0), F.ceil(F.col("_copies") / F.lit(page_size)).cast("int") - 1)
-        paged = (
-            paged.withColumn("_part", F.explode(span))
-            .withColumn(
-                "_copies",
-                F.least(F.lit(page_size), F.col("_copies") - F.col("_part") * page_size).cast("int"),
-            )
-            .withColumn("page", F.pmod(F.col("page") + F.col("_part"), F.col("pages")))
-            .withColumn(element, F.explode(F.array_repeat(F.col(element), F.col("_copies"))))
-        )
-    return paged.groupBy(*keys, "page", "pages").agg(
-        F.sort_array(F.collect_list(element)).alias(out)
+    return paged.groupBy(*keys, "page").agg(
+        F.sort_array(F.flatten(F.collect_list("_elements"))).alias(out)
     )

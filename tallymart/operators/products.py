@@ -33,17 +33,14 @@ def _rated_orders(orders: DataFrame, reviews: DataFrame, start, end, fan_out: bo
 
 
 def _weighted_lines(items: DataFrame, heads: DataFrame, *keys: str) -> DataFrame:
-    """Lines summed per order and key, then weighted by their order."""
-    lines = items.groupBy("order_id", *keys).agg(
-        F.sum("price").alias("price"), F.count(F.lit(1)).alias("lines")
-    )
-    return lines.join(heads, "order_id").select(
-        "order_id",
-        *keys,
-        (F.col("price") * F.col("weight")).alias("price"),
-        (F.col("lines") * F.col("score")).alias("score"),
-        (F.col("lines") * F.col("scored")).alias("scored"),
-    )
+    """Lines with the weight of their order.
+
+    An order with very many lines is split by the adaptive skew join; its
+    other side is a single row.
+    """
+    price = (F.col("price") * F.col("weight")).alias("price")
+    lines = items.select("order_id", *keys, "price")
+    return lines.join(heads, "order_id").select("order_id", *keys, price, "score", "scored")
 
 
 def product_performance(

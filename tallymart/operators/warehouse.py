@@ -14,6 +14,9 @@ from ..schemas import CITY_SIZES, STATE_REGIONS
 
 OPEN_END = "9999-12-31"
 
+# How the mean of a measure is called in the daily facts.
+MEAN_NAMES = {"review_score": "review_score_avg", "delivery_delay_days": "delivery_delay_avg"}
+
 
 # ---- predicates ---------------------------------------------------------
 
@@ -254,49 +257,62 @@ def order_summary(
     )
 
 
-def _top_category(fact: DataFrame, products: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Most frequent category; the greatest name wins a tie."""
-    counts = (
-        fact.select(*keys, "product_id")
-        .groupBy(*keys, "product_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(products.select("product_id", "product_category_name"), "product_id")
+def _day_metrics(
+    fact: DataFrame, products: DataFrame, key: str, amount: str, favorite: str, *means: str
+) -> DataFrame:
+    """Figures per key and day, with the most frequent category.
+
+    Lines are summed per product, then per category, then per day, so the
+    distinct products and the category counts fall out of the same sums.
+    Orders are counted beside them.  The greatest name wins a tie.
+    """
+    keys = [key, "order_date"]
+    sums = {"items": F.count(F.lit(1)), "amount": F.sum("total_amount")}
+    for m in means:
+        sums[f"{m}_sum"], sums[f"{m}_n"] = F.sum(m), F.count(m)
+
+    def named(exprs: dict[str, Column]) -> list[Column]:
+        return [c.alias(n) for n, c in exprs.items()]
+
+    again = {n: F.sum(n) for n in sums}
+    by_category = (
+        fact.groupBy(*keys, "product_id")
+        .agg(*named(sums))
+        .join(products.select("product_id", "product_category_name"), "product_id", "left")
         .groupBy(*keys, "product_category_name")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.count(F.lit(1)).alias("products"), *named(again))
+    )
+    category = F.col("product_category_name")
+    best = F.max_by(category, F.when(category.isNotNull(), F.struct("items", category)))
+    per_day = by_category.groupBy(*keys).agg(
+        best.alias(favorite), F.sum("products").alias("unique_products"), *named(again)
+    )
+    orders = fact.groupBy(*keys).agg(F.countDistinct("order_id").alias("orders_count"))
+    return per_day.join(orders, keys).select(
+        key,
+        F.col("order_date").alias("date_id"),
+        "orders_count",
+        F.col("amount").cast("double").alias(amount),
+        ratio(F.col("amount"), F.col("orders_count")).alias("average_order_value"),
+        F.col("items").alias("total_items"),
+        "unique_products",
+        favorite,
+        *[ratio(F.col(f"{m}_sum"), F.col(f"{m}_n")).alias(MEAN_NAMES[m]) for m in means],
     )
-    best = F.max_by("product_category_name", F.struct("n", "product_category_name"))
-    return counts.groupBy(*keys).agg(best.alias(name))
 
 
 def fact_customer_metrics(fact: DataFrame, products: DataFrame) -> DataFrame:
     """Customer by day."""
-    keys = ["customer_id", "order_date"]
-    day = fact.groupBy(*keys).agg(
-        F.countDistinct("order_id").alias("orders_count"),
-        total("total_amount").alias("total_amount"),
-        ratio(F.sum("total_amount"), F.countDistinct("order_id")).alias("average_order_value"),
-        F.count(F.lit(1)).alias("total_items"),
-        F.countDistinct("product_id").alias("unique_products"),
-        mean("review_score").alias("review_score_avg"),
+    return _day_metrics(
+        fact, products, "customer_id", "total_amount", "favorite_category", "review_score"
     )
-    best = _top_category(fact, products, keys, "favorite_category")
-    return day.join(best, keys, "left").withColumnRenamed("order_date", "date_id")
 
 
 def fact_seller_metrics(fact: DataFrame, products: DataFrame) -> DataFrame:
     """Seller by day."""
-    keys = ["seller_id", "order_date"]
-    day = fact.groupBy(*keys).agg(
-        F.countDistinct("order_id").alias("orders_count"),
-        total("total_amount").alias("total_revenue"),
-        ratio(F.sum("total_amount"), F.countDistinct("order_id")).alias("average_order_value"),
-        F.count(F.lit(1)).alias("total_items"),
-        F.countDistinct("product_id").alias("unique_products"),
-        mean("review_score").alias("review_score_avg"),
-        mean("delivery_delay_days").alias("delivery_delay_avg"),
+    return _day_metrics(
+        fact, products, "seller_id", "total_revenue", "top_category", "review_score", "delivery_delay_days"
     )
-    best = _top_category(fact, products, keys, "top_category")
-    return day.join(best, keys, "left").withColumnRenamed("order_date", "date_id")
 
 
 def fact_product_metrics(fact: DataFrame) -> DataFrame:

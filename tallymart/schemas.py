@@ -11,6 +11,8 @@ TYPES = {
     "double": T.DoubleType(),
     "timestamp": T.TimestampType(),
     "money": T.DecimalType(12, 2),
+    "bigint": T.LongType(),
+    "datetime": T.TimestampNTZType(),
 }
 
 
@@ -20,6 +22,31 @@ def _struct(text: str) -> T.StructType:
     return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in fields])
 
 
+# The given Parquet tables.
+GIVEN_TABLES = {
+    "region": _struct("r_regionkey int, r_name string"),
+    "nation": _struct("n_nationkey int, n_name string, n_regionkey int"),
+    "customer": _struct(
+        "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    ),
+    "supplier": _struct("s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double"),
+    "part": _struct(
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    ),
+    "orders": _struct(
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate datetime, o_orderpriority string"
+    ),
+    "lineitem": _struct(
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+        "l_linestatus string, l_shipdate datetime"
+    ),
+    "events": _struct(
+        "event_id bigint, ts datetime, user_id bigint, event_type string, value double, props string"
+    ),
+}
+
 # Order states, payment kinds, topics and severities.
 ORDER_STATUS = ["created", "approved", "processing", "shipped", "delivered", "canceled", "unavailable"]
 PAYMENT_TYPES = ["credit_card", "boleto", "voucher", "debit_card"]

@@ -9,68 +9,63 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.text import lookup
 from .operators import warehouse
+from .schemas import GIVEN_TABLES
 
-MONEY = "decimal(12,2)"
+# The given tables hold timestamps without a zone.
+BOUGHT = "CAST(o_orderdate AS TIMESTAMP)"
 
 # City sizes used with the given nation names.
 NATION_SIZES = {"NATION_0": "Large", "NATION_1": "Large", "NATION_2": "Large", "NATION_3": "Small"}
 
 
-def _at(column: str) -> Column:
-    """The given tables hold timestamps without a zone."""
-    return F.col(column).cast("timestamp")
-
-
-def _plus(ts: Column, number: Column, unit: str) -> Column:
-    return ts + number * F.expr(f"interval 1 {unit}")
-
-
 class Tables:
     """Lazy staging frames over one folder of Parquet tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = str(sf_dir).rstrip("/")
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._raw:
+            reader = self.spark.read.schema(GIVEN_TABLES[name])
+            self._raw[name] = reader.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._raw[name]
+
+    def raw_stream(self, name: str) -> DataFrame:
+        """A given table as an unbounded frame; the glob fits a file or a folder."""
+        reader = self.spark.readStream.schema(GIVEN_TABLES[name])
+        return reader.parquet(f"{self.sf_dir}/{name}.parquet*")
 
     @cached_property
     def orders(self) -> DataFrame:
-        key, bought = F.col("o_orderkey"), _at("o_orderdate")
-        status = (
-            F.when(F.col("o_orderstatus") == "F", "delivered")
-            .when(F.col("o_orderstatus") == "O", "shipped")
-            .otherwise("processing")
-        )
-        return self.raw("orders").select(
-            key.alias("order_id"),
-            F.col("o_custkey").alias("customer_id"),
-            status.alias("order_status"),
-            bought.alias("order_purchase_timestamp"),
-            _plus(bought, 5 + key % 56, "minute").alias("order_approved_at"),
-            _plus(bought, 24 + key % 49, "hour").alias("order_delivered_carrier_date"),
-            _plus(bought, 73 + key % 500, "hour").alias("order_delivered_customer_date"),
-            _plus(bought, F.lit(15), "day").alias("order_estimated_delivery_date"),
+        return self.raw("orders").selectExpr(
+            "o_orderkey AS order_id",
+            "o_custkey AS customer_id",
+            "CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'shipped' ELSE 'processing' END AS order_status",
+            f"{BOUGHT} AS order_purchase_timestamp",
+            f"{BOUGHT} + (5 + o_orderkey % 56) * INTERVAL 1 MINUTE AS order_approved_at",
+            f"{BOUGHT} + (24 + o_orderkey % 49) * INTERVAL 1 HOUR AS order_delivered_carrier_date",
+            f"{BOUGHT} + (73 + o_orderkey % 500) * INTERVAL 1 HOUR AS order_delivered_customer_date",
+            f"{BOUGHT} + INTERVAL 15 DAY AS order_estimated_delivery_date",
         )
 
     @cached_property
     def order_items(self) -> DataFrame:
-        freight = F.col("l_tax").cast("decimal(10,2)") * 100
-        return self.raw("lineitem").select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_linenumber").alias("order_item_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_suppkey").alias("seller_id"),
-            F.col("l_extendedprice").cast(MONEY).alias("price"),
-            freight.cast("decimal(10,2)").alias("freight_value"),
-            _at("l_shipdate").alias("item_delivered_date"),
-            F.col("l_discount").cast("decimal(4,2)").alias("discount"),
-            (F.col("l_returnflag") == "R").alias("is_returned"),
+        return self.raw("lineitem").selectExpr(
+            "l_orderkey AS order_id",
+            "l_linenumber AS order_item_id",
+            "l_partkey AS product_id",
+            "l_suppkey AS seller_id",
+            "CAST(l_extendedprice AS DECIMAL(12,2)) AS price",
+            "CAST(l_tax * 100 AS DECIMAL(10,2)) AS freight_value",
+            "CAST(l_shipdate AS TIMESTAMP) AS item_delivered_date",
+            "CAST(l_discount AS DECIMAL(4,2)) AS discount",
+            "l_returnflag = 'R' AS is_returned",
         )
 
     @cached_property
@@ -105,50 +100,42 @@ class Tables:
 
     @cached_property
     def products(self) -> DataFrame:
-        key = F.col("p_partkey")
-        return self.raw("part").select(
-            key.alias("product_id"),
-            F.col("p_brand").alias("product_category_name"),
-            F.col("p_type").alias("product_category_name_english"),
-            F.col("p_size").alias("product_weight_g"),
-            (10 + key % 50).cast("int").alias("product_length_cm"),
-            (5 + key % 20).cast("int").alias("product_height_cm"),
-            (8 + key % 30).cast("int").alias("product_width_cm"),
-            F.lit(True).alias("is_current"),
+        return self.raw("part").selectExpr(
+            "p_partkey AS product_id",
+            "p_brand AS product_category_name",
+            "p_type AS product_category_name_english",
+            "p_size AS product_weight_g",
+            "CAST(10 + p_partkey % 50 AS INT) AS product_length_cm",
+            "CAST(5 + p_partkey % 20 AS INT) AS product_height_cm",
+            "CAST(8 + p_partkey % 30 AS INT) AS product_width_cm",
+            "TRUE AS is_current",
         )
 
     @cached_property
     def order_reviews(self) -> DataFrame:
-        key, bought = F.col("o_orderkey"), _at("o_orderdate")
         return (
             self.raw("orders")
-            .where(key % 10 >= 2)
-            .select(
-                F.concat(F.lit("r"), key).alias("review_id"),
-                key.alias("order_id"),
-                F.col("o_custkey").alias("customer_id"),
-                (1 + key % 5).cast("int").alias("review_score"),
-                F.when(key % 3 == 0, F.concat(F.lit("note "), key)).alias("review_comment_message"),
-                _plus(bought, F.lit(20), "day").alias("review_creation_date"),
-                _plus(bought, 480 + key % 97, "hour").alias("review_answer_timestamp"),
+            .where("o_orderkey % 10 >= 2")
+            .selectExpr(
+                "concat('r', o_orderkey) AS review_id",
+                "o_orderkey AS order_id",
+                "o_custkey AS customer_id",
+                "CAST(1 + o_orderkey % 5 AS INT) AS review_score",
+                "CASE WHEN o_orderkey % 3 = 0 THEN concat('note ', o_orderkey) END AS review_comment_message",
+                f"{BOUGHT} + INTERVAL 20 DAY AS review_creation_date",
+                f"{BOUGHT} + (480 + o_orderkey % 97) * INTERVAL 1 HOUR AS review_answer_timestamp",
             )
         )
 
     @cached_property
     def order_payments(self) -> DataFrame:
-        key = F.col("o_orderkey")
-        kind = (
-            F.when(key % 4 == 0, "credit_card")
-            .when(key % 4 == 1, "boleto")
-            .when(key % 4 == 2, "voucher")
-            .otherwise("debit_card")
-        )
-        return self.raw("orders").select(
-            key.alias("order_id"),
-            F.lit(1).alias("payment_sequential"),
-            kind.alias("payment_type"),
-            (1 + key % 12).cast("int").alias("payment_installments"),
-            F.col("o_totalprice").cast(MONEY).alias("payment_value"),
+        return self.raw("orders").selectExpr(
+            "o_orderkey AS order_id",
+            "1 AS payment_sequential",
+            "CASE o_orderkey % 4 WHEN 0 THEN 'credit_card' WHEN 1 THEN 'boleto' WHEN 2 THEN 'voucher' "
+            "ELSE 'debit_card' END AS payment_type",
+            "CAST(1 + o_orderkey % 12 AS INT) AS payment_installments",
+            "CAST(o_totalprice AS DECIMAL(12,2)) AS payment_value",
         )
 
     def fact_sales(self, reviews: bool = False, payments: bool = False) -> DataFrame:
@@ -171,30 +158,27 @@ class Tables:
 
     def stream_logs(self) -> DataFrame:
         """The log rows as an unbounded frame over the files of the events."""
-        schema = self.raw("events").schema
-        events = self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/events.parquet*")
-        return self._log_rows(events)
+        return self._log_rows(self.raw_stream("events"))
 
     @staticmethod
     def _log_rows(events: DataFrame) -> DataFrame:
-        k = F.get_json_object("props", "$.k").cast("int")
-        value = F.col("value").cast(MONEY)
-        failed = F.col("event_type") == "error"
-        return events.select(
-            _at("ts").alias("timestamp"),
-            F.when(failed, "ERROR").otherwise("INFO").alias("level"),
-            F.concat(F.col("event_type"), F.lit(" "), k % 7).alias("message"),
-            F.concat(F.lit("E"), k % 5).alias("error_type"),
-            F.concat(F.lit("svc"), F.col("user_id") % 3).alias("service"),
-            F.concat(F.lit("/"), F.col("event_type")).alias("endpoint"),
-            F.col("user_id"),
-            F.concat(F.lit("10.0.0."), F.col("user_id") % 16).alias("ip_address"),
-            F.concat(F.col("user_id"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd")).alias("session_id"),
-            F.col("event_type"),
-            F.when(failed, 500).otherwise(200).alias("status_code"),
-            value.alias("response_time"),
-            (value * 100).cast("bigint").alias("duration_ms"),
-            (256 + k).alias("memory_usage"),
-            k.alias("cpu_usage"),
-            F.concat(F.lit("q"), k % 11).alias("query_text"),
+        return events.selectExpr(
+            "*", "CAST(get_json_object(props, '$.k') AS INT) AS k", "CAST(value AS DECIMAL(12,2)) AS v"
+        ).selectExpr(
+            "CAST(ts AS TIMESTAMP) AS timestamp",
+            "CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level",
+            "concat(event_type, ' ', k % 7) AS message",
+            "concat('E', k % 5) AS error_type",
+            "concat('svc', user_id % 3) AS service",
+            "concat('/', event_type) AS endpoint",
+            "user_id",
+            "concat('10.0.0.', user_id % 16) AS ip_address",
+            "concat(user_id, '-', date_format(ts, 'yyyy-MM-dd')) AS session_id",
+            "event_type",
+            "CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code",
+            "v AS response_time",
+            "CAST(v * 100 AS BIGINT) AS duration_ms",
+            "256 + k AS memory_usage",
+            "k AS cpu_usage",
+            "concat('q', k % 11) AS query_text",
         )
