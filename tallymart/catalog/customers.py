@@ -24,6 +24,14 @@ def customer_ltv(t):
     return customers.customer_ltv(t.fact_sales(), t.customers, AS_OF)
 
 
+@query("customer_ltv_per_order", with_staging("""
+SELECT b.customer_id, CAST(spent AS DOUBLE) AS total_spent, CAST(spent AS DOUBLE) / orders AS avg_order_value
+FROM bought b JOIN st_customers c ON b.customer_id = c.customer_id""", BOUGHT))
+def customer_ltv_per_order(t):
+    value = customers.customer_ltv(t.fact_sales(), t.customers, AS_OF, per_order=True)
+    return value.select("customer_id", "total_spent", "avg_order_value")
+
+
 @query("customer_ltv_v2", with_staging(f"""
 SELECT f.customer_id, {total('total_amount')} AS ltv, COUNT(DISTINCT order_id) AS total_orders,
   CAST(SUM(total_amount) AS DOUBLE) / COUNT(DISTINCT order_id) AS average_order_value,

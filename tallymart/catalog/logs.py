@@ -256,3 +256,20 @@ def daily_log_report(t):
     names = ["count", "response_time_count", "total_events", "total_requests"]
     figure = F.coalesce(*[F.get_json_object("figures", f"$.{n}").cast("bigint") for n in names])
     return report.select("date", "section", "entry", figure.alias("figure"))
+
+
+PREDICATES = {
+    "error_log_predicate": (logs.is_error_log, "lower(level) LIKE '%error%' OR lower(message) LIKE '%exception%'"),
+    "http_error_predicate": (logs.is_http_error, "status_code >= 400"),
+    "slow_predicate": (logs.is_slow, "duration_ms >= 1000"),
+}
+
+
+def _predicate(name, condition, sql):
+    @query(name, with_staging(f"SELECT {COLUMN_SQL} FROM logs WHERE {sql}"))
+    def build(t):
+        return flat(t.logs.where(condition()))
+
+
+for _name, (_condition, _sql) in PREDICATES.items():
+    _predicate(_name, _condition, _sql)

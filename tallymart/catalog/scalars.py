@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
+from ..streaming.jobs import with_delay
 from .registry import query
 from .staging_sql import with_staging
 
@@ -140,3 +141,23 @@ def page_totals(t):
 def sort_by(t):
     rows = t.order_payments.select("order_id", F.col("payment_value").cast("double").alias("payment_value"))
     return text.sort_by(rows, "payment_value", "desc", "order_id")
+
+
+@query("lookback", with_staging(
+    "SELECT order_id FROM st_orders WHERE order_purchase_timestamp >= DATE '2001-08-02' - INTERVAL 365 DAY"))
+def lookback(t):
+    return dates.lookback(t.orders, "order_purchase_timestamp", 365, "2001-08-02").select("order_id")
+
+
+@query("between_dates", with_staging("SELECT order_id FROM st_orders WHERE order_purchase_timestamp "
+       "BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '2001-12-31'"))
+def between_dates(t):
+    return dates.between_dates(t.orders, "order_purchase_timestamp", "1995-01-01", "2001-12-31").select("order_id")
+
+
+@query("delivery_delay", with_staging("""
+SELECT order_id, CAST(date_diff('day', order_estimated_delivery_date, order_delivered_customer_date) AS INT)
+  AS delivery_delay FROM st_orders"""))
+def delivery_delay(t):
+    texts = {c: F.col(c).cast("string") for c in ("order_delivered_customer_date", "order_estimated_delivery_date")}
+    return with_delay(t.orders.withColumns(texts)).select("order_id", "delivery_delay")

@@ -59,6 +59,15 @@ def read_json_stream(t):
     return drain(t, rows, "orders")
 
 
+@query("lake_stream_sink", with_messages("""
+SELECT CAST(l_orderkey AS VARCHAR) AS order_id, l_linenumber AS order_item_id, l_extendedprice AS price FROM lineitem"""))
+def lake_stream_sink_rows(t):
+    """Decoded item messages landed in the lake, then flattened."""
+    landed = drain(t, decoded(t, "order_items"), "order_items")
+    item = landed.select(F.explode("items").alias("item"))
+    return item.select("item.order_id", "item.order_item_id", "item.price")
+
+
 @query("stream_new_customers", with_messages(f"""
 SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, count FROM hour_customers
 WHERE {closed('ts', 'msg_customers')}"""))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.aggregates import mean
+from ..functions.checks import require
+from ..session import stored
 from .warehouse import current_rows
 
 # Rows of one customer and time slice that one task may order.
@@ -23,6 +25,7 @@ def product_recommendations(
     line.  Time is cut into slices of ``days``, so a window touches two
     slices; a slice with very many rows is split further by product.
     """
+    require(fact, "customer_id", "product_id", "order_timestamp", "price", "review_score")
     span = days * 86_400_000_000
     live = current_rows(products).select("product_id", "product_category_name")
     sales = fact.select(
@@ -101,6 +104,7 @@ def product_recommendations(
 
 def recommend_for_customer(fact: DataFrame, customer_id, n: int = 10) -> DataFrame:
     """Products not yet bought, by number of orders shared with bought ones."""
+    require(fact, "customer_id", "order_id", "product_id")
     lines = fact.select("order_id", "product_id")
     owned = fact.where(F.col("customer_id") == F.lit(customer_id)).select("product_id").distinct()
     orders = lines.join(owned, "product_id", "left_semi").select("order_id").distinct()
@@ -137,6 +141,7 @@ def market_basket(
     pair to reach the support are left out beforehand, which changes nothing
     in the result and bounds the pairs of even the largest order.
     """
+    require(fact, "order_id", "product_id")
     cat = "product_category_name"
     live = current_rows(products).select("product_id", cat)
     total_orders = fact.agg(F.countDistinct("order_id")).scalar()
@@ -153,22 +158,34 @@ def market_basket(
         .where(F.col("orders") / total_orders >= min_support)
     )
     kept = in_order.join(_small_if_frequent(frequent, min_support), cat)
+    # Each pair of categories meets once; both directions are read off it.  Both
+    # sides then carry the same columns, so Spark shuffles them only once.
     a, b = kept.alias("a"), kept.alias("b")
-    same_order = F.col("a.order_id") == F.col("b.order_id")
-    if oriented:
-        match = same_order & (F.col("a.lo") < F.col("b.hi"))
-    else:
-        match = same_order & (F.col(f"a.{cat}") < F.col(f"b.{cat}"))
-    pairs = (
-        a.join(b, match)
-        .groupBy(
-            F.col(f"a.{cat}").alias("category1"),
-            F.col(f"b.{cat}").alias("category2"),
-            F.col("a.orders").alias("n1"),
-            F.col("b.orders").alias("n2"),
-        )
-        .agg(F.count(F.lit(1)).alias("pair_count"))
+    up = F.col("a.lo") < F.col("b.hi")
+    down = (F.col("b.lo") < F.col("a.hi")) & (F.col(f"a.{cat}") != F.col(f"b.{cat}"))
+    met = a.join(b, (F.col("a.order_id") == F.col("b.order_id")) & (F.col(f"a.{cat}") <= F.col(f"b.{cat}")))
+    counts = met.groupBy(
+        F.col(f"a.{cat}").alias("x"),
+        F.col(f"b.{cat}").alias("y"),
+        F.col("a.orders").alias("nx"),
+        F.col("b.orders").alias("ny"),
+    ).agg(
+        F.count_if(up).alias("up"),
+        F.count_if(down).alias("down"),
+        F.count_if(F.col(f"a.{cat}") != F.col(f"b.{cat}")).alias("both"),
     )
+
+    def pair(first: str, second: str, count: str) -> Column:
+        return F.struct(
+            F.col(first).alias("category1"),
+            F.col(second).alias("category2"),
+            F.col(f"n{first}").alias("n1"),
+            F.col(f"n{second}").alias("n2"),
+            F.col(count).alias("pair_count"),
+        )
+
+    wanted = [pair("x", "y", "up"), pair("y", "x", "down")] if oriented else [pair("x", "y", "both")]
+    pairs = counts.select(F.explode(F.array(*wanted)).alias("p")).select("p.*").where("pair_count > 0")
     return (
         pairs.select(
             "category1",
@@ -208,6 +225,12 @@ def frequent_baskets(lines: DataFrame, item: str, min_support: float) -> tuple[D
     return baskets, orders
 
 
+def stored_baskets(lines: DataFrame, item: str, min_support: float) -> tuple[DataFrame, int]:
+    """Baskets kept in the shared folder: mining reads them several times."""
+    baskets, orders = frequent_baskets(lines, item, min_support)
+    return stored(baskets, "baskets"), orders
+
+
 def association_rules(
     lines: DataFrame, item: str, min_support: float = 0.01, min_confidence: float = 0.5
 ) -> DataFrame:
@@ -215,7 +238,7 @@ def association_rules(
 
     Supports are relative to all orders, also those without a frequent item.
     """
-    baskets, orders = frequent_baskets(lines, item, min_support)
+    baskets, orders = stored_baskets(lines, item, min_support)
     listed = baskets.count()
     if not listed:
         raise ValueError("no item reaches the minimum support")

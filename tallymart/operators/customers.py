@@ -5,25 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.aggregates import mean, ratio, total
+from ..functions.checks import require
 from ..functions.dates import days_before, elapsed_days_floor, elapsed_days_trunc, lookback, moment
 from ..functions.quantiles import quantile_bins
 from .sales import order_totals
 from .warehouse import current_rows
 
 
-def customer_ltv(fact: DataFrame, dim_customer: DataFrame, as_of, lookback_days: int = 365) -> DataFrame:
+def average_order(per_order: bool) -> Column:
+    """The average line, as in the source queries, or the average order."""
+    if per_order:
+        return ratio(F.sum("total_amount"), F.countDistinct("order_id"))
+    return mean("total_amount")
+
+
+def customer_ltv(
+    fact: DataFrame, dim_customer: DataFrame, as_of, lookback_days: int = 365, per_order: bool = False
+) -> DataFrame:
     """Spend, orders, yearly value and days since the last purchase.
 
     ``annual_value`` is null for a customer seen on a single day.
-    ``avg_order_value`` is the average line, as in the source query.
+    ``avg_order_value`` is the average line as in the source query;
+    ``per_order=True`` gives the average order.
     """
+    require(fact, "customer_id", "order_id", "order_timestamp", "total_amount")
     bought = (
         lookback(fact, "order_timestamp", lookback_days, as_of)
         .groupBy("customer_id")
         .agg(
             F.sum("total_amount").alias("spent"),
             F.countDistinct("order_id").alias("total_orders"),
-            mean("total_amount").alias("avg_order_value"),
+            average_order(per_order).alias("avg_order_value"),
             F.max("order_timestamp").alias("last_purchase"),
             F.min("order_timestamp").alias("first_purchase"),
         )
@@ -74,13 +86,14 @@ def customer_ltv_v2(
     )
 
 
-def customer_metrics(fact: DataFrame, as_of, lookback_days: int = 365) -> DataFrame:
+def customer_metrics(fact: DataFrame, as_of, lookback_days: int = 365, per_order: bool = False) -> DataFrame:
+    require(fact, "customer_id", "order_id", "order_timestamp", "total_amount")
     return (
         lookback(fact, "order_timestamp", lookback_days, as_of)
         .groupBy("customer_id")
         .agg(
             F.countDistinct("order_id").alias("frequency"),
-            mean("total_amount").alias("avg_order_value"),
+            average_order(per_order).alias("avg_order_value"),
             F.sum("total_amount").alias("total_spent"),
             F.max("order_timestamp").alias("last_purchase"),
             F.min("order_timestamp").alias("first_purchase"),
@@ -156,6 +169,7 @@ def rfm_scores(fact: DataFrame, analysis_date) -> DataFrame:
     One aggregate instead of three scans; the quintile edges of all three
     measures come from one pass.  With repeated edges the lowest bin wins.
     """
+    require(fact, "customer_id", "order_date", "total_amount")
     rfm = fact.groupBy("customer_id").agg(
         F.max("order_date").alias("last_purchase_date"),
         F.count(F.lit(1)).alias("frequency"),

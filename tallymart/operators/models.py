@@ -1,4 +1,8 @@
-"""Customer clustering and churn with pyspark.ml."""
+"""Customer clustering and churn with pyspark.ml.
+
+Training reads its rows many times, so they are stored once in the shared
+scratch folder.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,8 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import stored
+
 
 def _numeric(df: DataFrame, features: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
@@ -18,19 +24,14 @@ def kmeans_segments(
     df: DataFrame, features: list[str], key: str = "customer_id", n_segments: int = 4, seed: int = 42
 ) -> DataFrame:
     """Cluster standardised features; one row per key with its segment."""
-    rows = _numeric(df.select(key, *features), features).persist()
-    try:
-        stages = [
-            VectorAssembler(inputCols=features, outputCol="raw"),
-            StandardScaler(inputCol="raw", outputCol="scaled", withMean=True),
-            KMeans(featuresCol="scaled", predictionCol="segment", k=n_segments, seed=seed),
-        ]
-        model = Pipeline(stages=stages).fit(rows)
-    finally:
-        rows.unpersist()
-    return model.transform(_numeric(df.select(key, *features), features)).select(
-        key, *features, "segment"
-    )
+    rows = stored(_numeric(df.select(key, *features), features), "features")
+    stages = [
+        VectorAssembler(inputCols=features, outputCol="raw"),
+        StandardScaler(inputCol="raw", outputCol="scaled", withMean=True),
+        KMeans(featuresCol="scaled", predictionCol="segment", k=n_segments, seed=seed),
+    ]
+    model = Pipeline(stages=stages).fit(rows)
+    return model.transform(rows).select(key, *features, "segment")
 
 
 CHURN_FEATURES = ["orders", "spent", "lines", "recency_days", "tenure_days"]
@@ -41,18 +42,14 @@ def churn_model(
 ) -> DataFrame:
     """Logistic regression on the features; one row per key with its score."""
     columns = columns or CHURN_FEATURES
-    rows = _numeric(features.select(key, label, *columns), columns).persist()
-    try:
-        stages = [
-            VectorAssembler(inputCols=columns, outputCol="raw"),
-            StandardScaler(inputCol="raw", outputCol="scaled", withMean=True),
-            LogisticRegression(featuresCol="scaled", labelCol=label, maxIter=50),
-        ]
-        model = Pipeline(stages=stages).fit(rows)
-    finally:
-        rows.unpersist()
-    scored = model.transform(_numeric(features.select(key, label, *columns), columns))
-    return scored.select(
+    rows = stored(_numeric(features.select(key, label, *columns), columns), "features")
+    stages = [
+        VectorAssembler(inputCols=columns, outputCol="raw"),
+        StandardScaler(inputCol="raw", outputCol="scaled", withMean=True),
+        LogisticRegression(featuresCol="scaled", labelCol=label, maxIter=50),
+    ]
+    model = Pipeline(stages=stages).fit(rows)
+    return model.transform(rows).select(
         key,
         label,
         vector_to_array("probability")[1].alias("churn_probability"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.aggregates import mean, ratio, total
+from ..functions.checks import require
 from ..functions.dates import between_dates, lookback, optional_date_filter
 
 GRANULARITY = {"daily": "day", "weekly": "week", "monthly": "month"}
@@ -118,10 +119,10 @@ def mv_daily_sales_summary(dim_date: DataFrame, fact: DataFrame) -> DataFrame:
 
 
 def mv_monthly_category_performance(dim_date: DataFrame, fact: DataFrame, products: DataFrame) -> DataFrame:
-    day = dim_date.select(F.col("date_id").alias("order_date"), "year", "month")
-    lines = (
-        fact.join(products.select("product_id", "product_category_name"), "product_id")
-        .join(day, "order_date")
+    # A calendar holds one row per day, so it is small whatever the sales.
+    day = F.broadcast(dim_date.select(F.col("date_id").alias("order_date"), "year", "month"))
+    lines = fact.join(products.select("product_id", "product_category_name"), "product_id").join(
+        day, "order_date"
     )
     keys = ["year", "month", "product_category_name"]
     return (
@@ -223,6 +224,7 @@ def sales_forecast(fact: DataFrame, as_of, days: int = 30, history_days: int = 3
 
     Null where fewer than 30 days have sales.
     """
+    require(fact, "order_date", "total_amount")
     daily = daily_revenue(fact, as_of, history_days)
     averages = moving_averages(daily, "revenue").agg(
         F.max_by("ma7", "date").alias("ma7"), F.max_by("ma30", "date").alias("ma30")

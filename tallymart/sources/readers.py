@@ -68,19 +68,14 @@ def in_range(lake: DataFrame, start, end, strict_end: bool = False) -> DataFrame
     return lake.where((F.col("window.start") >= moment(start)) & inside)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A headered CSV extract; quoted fields may span lines.
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """A headered CSV extract with doubled quotes inside quoted fields.
 
-    One file with multi-line fields is read by one task, so large extracts
-    should come as many files.
+    ``multi_line`` allows line breaks inside fields; each file is then read by
+    one task, so such extracts should come as many files.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-    )
+    reader = spark.read.schema(schema).option("header", True).option("escape", '"')
+    return reader.option("multiLine", multi_line).csv(path)
 
 
 def read_extract(spark: SparkSession, folder: str, name: str) -> DataFrame:

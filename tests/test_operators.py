@@ -423,3 +423,17 @@ def test_scan_and_retention(rows):
     assert logs.apply_retention(df, "2024-02-01", kind="indexed_logs").count() == 2
     assert logs.apply_retention(df, "2024-02-01", days=29).count() == 1
     assert logs.find_logs(df, {"level": "ERROR"}, "2024-01-02").count() == 2
+
+
+def test_missing_columns_raise(rows):
+    wrong = rows("wrong_column int", (1,))
+    with pytest.raises(ValueError, match="missing columns"):
+        customers.customer_ltv(wrong, wrong, "2024-01-01")
+    with pytest.raises(ValueError):
+        customers.customer_segmentation(wrong, "2024-01-01")
+    with pytest.raises(ValueError):
+        baskets.product_recommendations(wrong, wrong, 1)
+    with pytest.raises(ValueError):
+        baskets.market_basket(wrong, wrong)
+    with pytest.raises(ValueError):
+        sales.sales_forecast(wrong, "2024-01-01")
