@@ -15,7 +15,7 @@ from ..sources.readers import good_rows, parse_json
 from ..sources.writers import lake_stream_sink, to_messages
 from ..streaming import jobs
 from .messages import CTES, batch_messages, stream_messages
-from .registry import query, rounded
+from .registry import query
 from .staging_sql import with_staging
 
 
@@ -136,43 +136,45 @@ def customer_growth_mart(t):
 
 def _sales_mart(name: str, price: str, weighted: bool):
     sql = with_messages(f"""
-SELECT date, round(daily_revenue, 2) AS daily_revenue, total_items, round(average_item_price, 8) AS average_item_price,
-  round(total_freight, 2) AS total_freight, round(total_revenue, 2) AS total_revenue,
-  round(AVG(total_revenue) OVER (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 2) AS revenue_7day_avg
-FROM (SELECT CAST(window_start AS DATE) AS date, SUM(total_sales) AS daily_revenue,
+SELECT date, CAST(sales AS DOUBLE) AS daily_revenue, total_items, average_item_price,
+  CAST(freight AS DOUBLE) AS total_freight, CAST(sales + freight AS DOUBLE) AS total_revenue,
+  CAST(SUM(sales + freight) OVER w AS DOUBLE) / COUNT(*) OVER w AS revenue_7day_avg
+FROM (SELECT CAST(window_start AS DATE) AS date, SUM(CAST(total_sales AS DECIMAL(24,2))) AS sales,
     CAST(SUM(total_items) AS BIGINT) AS total_items, {price} AS average_item_price,
-    SUM(total_freight) AS total_freight, SUM(total_sales) + SUM(total_freight) AS total_revenue
-  FROM hour_sales GROUP BY 1)""")
+    SUM(CAST(total_freight AS DECIMAL(24,2))) AS freight
+  FROM hour_sales GROUP BY 1)
+WINDOW w AS (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""")
 
     @query(name, sql)
     def build(t):
-        out = marts.sales_trends_mart(hourly(t, "sales"), weighted)
-        money = ["daily_revenue", "total_freight", "total_revenue", "revenue_7day_avg"]
-        return rounded(rounded(out, "average_item_price", digits=8), *money, digits=2)
+        return marts.sales_trends_mart(hourly(t, "sales"), weighted)
 
 
-_sales_mart("sales_trends_mart", "AVG(avg_price)", False)
-_sales_mart("sales_trends_mart_weighted", "SUM(total_sales) / SUM(total_items)", True)
+_sales_mart("sales_trends_mart", "CAST(SUM(CAST(avg_price AS DECIMAL(24,6))) AS DOUBLE) / COUNT(avg_price)", False)
+_sales_mart(
+    "sales_trends_mart_weighted",
+    "CAST(SUM(CAST(total_sales AS DECIMAL(24,2))) AS DOUBLE) / SUM(total_items)",
+    True,
+)
 
 
 def _order_mart(name: str, delay: str, weighted: bool):
     sql = with_messages(f"""
-SELECT date, daily_orders, round(avg_delivery_delay, 6) AS avg_delivery_delay, unique_customers,
+SELECT date, daily_orders, avg_delivery_delay, unique_customers,
   CAST(daily_orders AS DOUBLE) / NULLIF(unique_customers, 0) AS orders_per_customer
 FROM (SELECT CAST(window_start AS DATE) AS date, CAST(SUM(total_orders) AS BIGINT) AS daily_orders,
     {delay} AS avg_delivery_delay, CAST(SUM(unique_customers) AS BIGINT) AS unique_customers
-  FROM hour_orders GROUP BY 1)""")
+  FROM (SELECT *, CAST(avg_delivery_delay AS DECIMAL(24,6)) AS d FROM hour_orders) GROUP BY 1)""")
 
     @query(name, sql)
     def build(t):
-        out = marts.order_performance_mart(hourly(t, "orders"), weighted)
-        return rounded(out, "avg_delivery_delay", digits=6)
+        return marts.order_performance_mart(hourly(t, "orders"), weighted)
 
 
-_order_mart("order_performance_mart", "AVG(avg_delivery_delay)", False)
+_order_mart("order_performance_mart", "CAST(SUM(d) AS DOUBLE) / NULLIF(COUNT(d), 0)", False)
 _order_mart(
     "order_performance_mart_weighted",
-    "SUM(avg_delivery_delay * total_orders) / SUM(total_orders) FILTER (avg_delivery_delay IS NOT NULL)",
+    "CAST(SUM(d * total_orders) AS DOUBLE) / SUM(total_orders) FILTER (d IS NOT NULL)",
     True,
 )
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.aggregates import mean
 from ..functions.checks import require
+from ..functions.skew import join_on_key
 from ..session import stored
 from .warehouse import current_rows
 
@@ -39,15 +40,19 @@ def product_recommendations(
         .withColumn("slice", F.floor(F.col("at") / span))
     )
     later = (
-        sales.join(opened.select("customer_id").distinct(), "customer_id", "left_semi")
+        sales.join(opened.select("customer_id"), "customer_id", "left_semi")
         .join(live.select("product_id"), "product_id", "left_semi")
         .withColumn("slice", F.floor(F.col("at") / span))
         .groupBy("customer_id", "slice", "at", "product_id")
         .agg(F.count(F.lit(1)).alias("lines"))
     )
-    splits = later.groupBy("customer_id", "slice").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(SLICE_ROWS)).cast("int").alias("splits")
+    # A split slice holds over SLICE_ROWS rows, so there are few of them.
+    splits = F.broadcast(
+        later.groupBy("customer_id", "slice")
+        .agg(F.ceil(F.count(F.lit(1)) / F.lit(SLICE_ROWS)).cast("int").alias("splits"))
+        .where("splits > 1")
     )
+    pieces = F.coalesce("splits", F.lit(1))
     next_slice = F.col("slice") + 1
     moves = F.array(
         F.struct(F.col("slice").alias("slice"), F.col("at").alias("at"), F.col("n").alias("step")),
@@ -57,14 +62,14 @@ def product_recommendations(
     steps = (
         opened.select("customer_id", F.explode(moves).alias("m"))
         .select("customer_id", "m.*")
-        .join(splits, ["customer_id", "slice"])
-        .withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
+        .join(splits, ["customer_id", "slice"], "left")
+        .withColumn("split", F.explode(F.sequence(F.lit(0), pieces - 1)))
         .select("customer_id", "slice", "split", "at", "step", F.lit(None).alias("product_id"), F.lit(0).alias("lines"))
     )
-    demand = later.join(splits, ["customer_id", "slice"]).select(
+    demand = later.join(splits, ["customer_id", "slice"], "left").select(
         "customer_id",
         "slice",
-        F.pmod(F.xxhash64("product_id"), F.col("splits")).cast("int").alias("split"),
+        F.pmod(F.xxhash64("product_id"), pieces).cast("int").alias("split"),
         "at",
         F.lit(0).alias("step"),
         "product_id",
@@ -106,10 +111,10 @@ def recommend_for_customer(fact: DataFrame, customer_id, n: int = 10) -> DataFra
     """Products not yet bought, by number of orders shared with bought ones."""
     require(fact, "customer_id", "order_id", "product_id")
     lines = fact.select("order_id", "product_id")
-    owned = fact.where(F.col("customer_id") == F.lit(customer_id)).select("product_id").distinct()
+    owned = fact.where(F.col("customer_id") == F.lit(customer_id)).select("product_id")
     orders = lines.join(owned, "product_id", "left_semi").select("order_id").distinct()
     return (
-        lines.join(orders, "order_id", "left_semi")
+        join_on_key(lines, orders, "order_id", "left_semi")
         .join(owned, "product_id", "left_anti")
         .groupBy("product_id")
         .agg(F.countDistinct("order_id").alias("score"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.aggregates import mean, ratio, total
 from ..functions.dates import between_dates, days_before, moment, optional_date_filter
+from ..functions.skew import join_on_key
 
 
 def _rated_orders(orders: DataFrame, reviews: DataFrame, start, end, fan_out: bool) -> DataFrame:
@@ -33,14 +34,10 @@ def _rated_orders(orders: DataFrame, reviews: DataFrame, start, end, fan_out: bo
 
 
 def _weighted_lines(items: DataFrame, heads: DataFrame, *keys: str) -> DataFrame:
-    """Lines with the weight of their order.
-
-    An order with very many lines is split by the adaptive skew join; its
-    other side is a single row.
-    """
+    """Lines with the weight of their order."""
     price = (F.col("price") * F.col("weight")).alias("price")
     lines = items.select("order_id", *keys, "price")
-    return lines.join(heads, "order_id").select("order_id", *keys, price, "score", "scored")
+    return join_on_key(lines, heads, "order_id").select("order_id", *keys, price, "score", "scored")
 
 
 def product_performance(

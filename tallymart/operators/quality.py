@@ -19,7 +19,7 @@ STAGES = {
 
 def referential_violations(child: DataFrame, key: str, parent: DataFrame, parent_key: str | None = None) -> DataFrame:
     """Child rows whose non-null key has no parent."""
-    parents = parent.select(F.col(parent_key or key).alias(key)).distinct()
+    parents = parent.select(F.col(parent_key or key).alias(key))
     return child.where(F.col(key).isNotNull()).join(parents, key, "left_anti")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.aggregates import mean, ratio, total
 from ..functions.dates import elapsed_days_floor, moment
 from ..functions.quantiles import quantile_bins
+from ..functions.skew import join_on_key
 from ..functions.text import lookup
 from ..schemas import CITY_SIZES, STATE_REGIONS
 
@@ -178,8 +179,8 @@ def sales_fact(
 ) -> DataFrame:
     """Order lines with order columns, delays and amounts.
 
-    Reviews and payments are reduced to one row per order first, so a line is
-    never repeated.  Every join is on ``order_id`` and shares one partitioning.
+    Reviews and payments are reduced to one row per order and joined to the
+    orders first, so a line is never repeated.
     """
     head = orders
     extras = []
@@ -189,7 +190,8 @@ def sales_fact(
         head = head.join(payment_per_order(payments), "order_id", "left")
         extras = [*extras, "payment_type", "payment_installments"]
     optional = [c for c in ("discount", "is_returned") if c in items.columns]
-    return items.join(head, "order_id").select(
+    lines = join_on_key(items, head, "order_id") if extras else items.join(head, "order_id")
+    return lines.select(
         "order_id",
         "order_item_id",
         "customer_id",

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..functions.aggregates import ratio
+from ..functions.aggregates import mean, ratio
 from ..functions.dates import moment
 from ..sources.readers import in_range
 from ..sources.writers import write_mart
@@ -25,34 +25,47 @@ def customer_growth_mart(customers: DataFrame) -> DataFrame:
     return daily.withColumn("total_customers", F.sum("new_customers").over(W.orderBy("date")))
 
 
+def _exact(c: str, scale: int) -> Column:
+    """A stored double as a decimal: sums then do not depend on row order, so
+    a rerun gives the same digits."""
+    return F.col(c).cast(f"decimal(24,{scale})")
+
+
 def sales_trends_mart(sales: DataFrame, weighted: bool = False) -> DataFrame:
     """Daily sales with the mean of the last seven rows.
 
     ``average_item_price`` is the mean of the hourly means as in the source;
     ``weighted=True`` weights the hours by their items.
     """
-    price = ratio(F.sum("total_sales"), F.sum("total_items")) if weighted else F.avg("avg_price")
+    revenue, freight = F.sum(_exact("total_sales", 2)), F.sum(_exact("total_freight", 2))
+    price = ratio(revenue, F.sum("total_items")) if weighted else mean(_exact("avg_price", 6))
     daily = sales.groupBy(_day()).agg(
-        F.sum("total_sales").alias("daily_revenue"),
+        revenue.cast("double").alias("daily_revenue"),
         F.sum("total_items").alias("total_items"),
         price.alias("average_item_price"),
-        F.sum("total_freight").alias("total_freight"),
+        freight.cast("double").alias("total_freight"),
+        (revenue + freight).cast("decimal(38,2)").alias("all"),
     )
-    daily = daily.withColumn("total_revenue", F.col("daily_revenue") + F.col("total_freight"))
     last_seven = W.orderBy("date").rowsBetween(-6, 0)
-    return daily.withColumn("revenue_7day_avg", F.avg("total_revenue").over(last_seven))
+    trend = ratio(F.sum("all").over(last_seven), F.count("all").over(last_seven))
+    return daily.withColumn("revenue_7day_avg", trend).withColumn(
+        "total_revenue", F.col("all").cast("double")
+    ).drop("all")
 
 
 def order_performance_mart(orders: DataFrame, weighted: bool = False) -> DataFrame:
     """Daily orders, delay and orders per customer.
 
+    ``avg_delivery_delay`` is the mean of the hourly means as in the source;
+    ``weighted=True`` weights the hours by their orders.
     ``unique_customers`` adds up hourly counts as in the source: a customer
     seen in two hours counts twice.  ``exact_daily_customers`` is the sibling.
     """
-    delay = F.avg("avg_delivery_delay")
+    hourly = _exact("avg_delivery_delay", 6)
+    delay = mean(hourly)
     if weighted:
         known = F.when(F.col("avg_delivery_delay").isNotNull(), F.col("total_orders"))
-        delay = ratio(F.sum(F.col("avg_delivery_delay") * known), F.sum(known))
+        delay = ratio(F.sum(hourly * known), F.sum(known))
     daily = orders.groupBy(_day()).agg(
         F.sum("total_orders").alias("daily_orders"),
         delay.alias("avg_delivery_delay"),
