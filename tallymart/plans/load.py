@@ -30,18 +30,28 @@ def build_star(
 
 
 def etl_run(
-    spark: SparkSession, folder: str, target: str, translated: bool = True, chunk: str = "day"
+    spark: SparkSession,
+    folder: str,
+    target: str,
+    translated: bool = True,
+    chunk: str = "day",
+    files: dict[str, str] | None = None,
 ) -> dict[str, str]:
     """Read the extracts of a folder and store the star schema.
 
+    ``files`` maps short names to file names where those differ.
+
     The source never sets the fact's date key and loads no sellers; here the
     fact carries ``order_date`` and the seller dimension is stored too.
     """
+    files = files or {}
     frames = {
-        n: read_extract(spark, folder, n)
+        n: read_extract(spark, folder, n, files.get(n))
         for n in ("customers", "orders", "order_items", "products", "sellers")
     }
-    names = read_extract(spark, folder, "category_translation") if translated else None
+    names = None
+    if translated:
+        names = read_extract(spark, folder, "category_translation", files.get("category_translation"))
     star = build_star(
         frames["customers"],
         frames["orders"],

@@ -121,13 +121,14 @@ SELLERS_CSV = _struct(
     "seller_id string, seller_zip_code_prefix string, seller_city string, seller_state string"
 )
 TRANSLATION_CSV = _struct("product_category_name string, product_category_name_english string")
+# Extracts by short name: file name and schema.
 CSV_FILES = {
-    "customers": ("olist_customers_dataset.csv", CUSTOMERS_CSV),
-    "orders": ("olist_orders_dataset.csv", ORDERS_CSV),
-    "order_items": ("olist_order_items_dataset.csv", ITEMS_CSV),
-    "products": ("olist_products_dataset.csv", PRODUCTS_CSV),
-    "sellers": ("olist_sellers_dataset.csv", SELLERS_CSV),
-    "category_translation": ("product_category_name_translation.csv", TRANSLATION_CSV),
+    "customers": ("customers.csv", CUSTOMERS_CSV),
+    "orders": ("orders.csv", ORDERS_CSV),
+    "order_items": ("order_items.csv", ITEMS_CSV),
+    "products": ("products.csv", PRODUCTS_CSV),
+    "sellers": ("sellers.csv", SELLERS_CSV),
+    "category_translation": ("category_translation.csv", TRANSLATION_CSV),
 }
 
 # JSON-lines logs as written by the web server and by the application.

@@ -78,9 +78,13 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: b
     return reader.option("multiLine", multi_line).csv(path)
 
 
-def read_extract(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the known extracts of a folder by its short name."""
-    file, schema = CSV_FILES[name]
+def read_extract(spark: SparkSession, folder: str, name: str, file: str | None = None) -> DataFrame:
+    """One of the known extracts of a folder by its short name.
+
+    ``file`` overrides the file name, for extracts that are named differently.
+    """
+    usual, schema = CSV_FILES[name]
+    file = file or usual
     return read_csv(spark, f"{folder.rstrip('/')}/{file}", schema)
 
 

@@ -73,7 +73,7 @@ def test_weighted_means(spark, lake):
 
 
 def test_csv_with_mark_quotes_and_types(spark, tmp_path):
-    put(tmp_path / "product_category_name_translation.csv",
+    put(tmp_path / "category_translation.csv",
         'product_category_name,product_category_name_english\nbeleza,"health, beauty"\n', "utf-8-sig")
     got = readers.read_extract(spark, str(tmp_path), "category_translation").first()
     assert tuple(got) == ("beleza", "health, beauty")
@@ -81,21 +81,21 @@ def test_csv_with_mark_quotes_and_types(spark, tmp_path):
 
 def test_load_from_extracts(spark, tmp_path):
     folder = tmp_path / "raw"
-    put(folder / "olist_customers_dataset.csv",
+    put(folder / "customers.csv",
         "customer_id,customer_unique_id,customer_zip_code_prefix,customer_city,customer_state\nc1,u1,01000,Sao Paulo,SP\n")
-    put(folder / "olist_orders_dataset.csv",
+    put(folder / "orders.csv",
         "order_id,customer_id,order_status,order_purchase_timestamp,order_approved_at,order_delivered_carrier_date,"
         "order_delivered_customer_date,order_estimated_delivery_date\n"
         "o1,c1,delivered,2024-01-01 10:00:00,,,2024-01-05 09:00:00,2024-01-05 10:00:00\n"
         "o2,c1,shipped,2024-01-02 10:00:00,,,,2024-01-09 10:00:00\n")
-    put(folder / "olist_order_items_dataset.csv",
+    put(folder / "order_items.csv",
         "order_id,order_item_id,product_id,seller_id,shipping_limit_date,price,freight_value\n"
         "o1,1,p1,s1,2024-01-03 00:00:00,10.50,1.25\no2,1,p2,s1,2024-01-03 00:00:00,20.00,2.00\n")
-    put(folder / "olist_products_dataset.csv",
+    put(folder / "products.csv",
         "product_id,product_category_name,product_name_lenght,product_description_lenght,product_photos_qty,"
         "product_weight_g,product_length_cm,product_height_cm,product_width_cm\np1,beleza,1,1,1,100,2,3,4\np2,auto,1,1,1,300,4,4,4\n")
-    put(folder / "olist_sellers_dataset.csv", "seller_id,seller_zip_code_prefix,seller_city,seller_state\ns1,01000,x,SP\n")
-    put(folder / "product_category_name_translation.csv",
+    put(folder / "sellers.csv", "seller_id,seller_zip_code_prefix,seller_city,seller_state\ns1,01000,x,SP\n")
+    put(folder / "category_translation.csv",
         "product_category_name,product_category_name_english\nbeleza,health_beauty\n", "utf-8-sig")
     for _ in range(2):
         paths = load.etl_run(spark, str(folder), str(tmp_path / "star"))
