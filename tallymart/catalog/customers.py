@@ -147,32 +147,37 @@ def q_customer_cohort(t):
     return customers.q_customer_cohort(t.fact_sales())
 
 
-def _retention(name: str, period, start: str, offset: str):
-    sql = with_staging(f"""
-SELECT a.cohort_date, period_offset, active_customers, average_value, cohort_size,
+def _retention_sql(start: str, offset: str, head: str = "SELECT *", tail: str = "") -> str:
+    return with_staging(f"""
+{head} FROM (SELECT a.cohort_date, period_offset, active_customers, average_value, cohort_size,
   active_customers / cohort_size * 100 AS retention_rate
 FROM (SELECT cohort_date, CAST({offset} AS INT) AS period_offset,
     COUNT(DISTINCT customer_id) AS active_customers,
     CAST(SUM(total_amount) AS DOUBLE) / COUNT(DISTINCT customer_id) AS average_value
   FROM activity GROUP BY 1, 2) a
 JOIN (SELECT cohort_date, COUNT(DISTINCT customer_id) AS cohort_size FROM activity GROUP BY 1) s
-  ON a.cohort_date = s.cohort_date""", f"""activity AS (
+  ON a.cohort_date = s.cohort_date) {tail}""", f"""activity AS (
   SELECT customer_id, total_amount, p AS order_period, MIN(p) OVER (PARTITION BY customer_id) AS cohort_date
   FROM (SELECT customer_id, total_amount, {start} AS p FROM fact_sales))""")
 
-    @query(name, sql)
+
+def _retention(name: str, period, start: str, offset: str):
+    @query(name, _retention_sql(start, offset))
     def build(t):
         return customers.cohort_retention(t.fact_sales(), period)
 
 
-_retention("cohort_retention_month", "month", "CAST(date_trunc('month', order_date) AS DATE)",
-           "date_diff('month', cohort_date, order_period)")
+MONTH = ("CAST(date_trunc('month', order_date) AS DATE)", "date_diff('month', cohort_date, order_period)")
+_retention("cohort_retention_month", "month", *MONTH)
 _retention("cohort_retention_30_days", 30,
            "CAST(DATE '1970-01-01' + CAST(floor(date_diff('day', DATE '1970-01-01', order_date) / 30) * 30 AS INT) AS DATE)",
            "date_diff('day', cohort_date, order_period) / 30")
 
 
-@query("retention_matrix")
+OFFSETS = ", ".join(f'MAX(retention_rate) FILTER (period_offset = {i}) AS "{i}"' for i in range(13))
+
+
+@query("retention_matrix", _retention_sql(*MONTH, f"SELECT cohort_date, cohort_size, {OFFSETS}", "GROUP BY 1, 2"))
 def retention_matrix(t):
     return customers.retention_matrix(customers.cohort_retention(t.fact_sales()), list(range(13)))
 

@@ -44,13 +44,16 @@ def mask_sensitive(t):
 
 
 @query("is_valid_email", """
-SELECT c_custkey, TRUE AS good, FALSE AS bad FROM customer""")
+SELECT c_custkey, c_mktsegment <> 'MACHINERY' AS complete, c_mktsegment = 'BUILDING' AS dotted FROM customer""")
 def is_valid_email(t):
+    segment = F.col("c_mktsegment")
     name = F.replace("c_name", F.lit("#"), F.lit("."))
+    host = F.when(segment == "MACHINERY", "@").otherwise("@example.co.uk")
+    dots = F.when(segment == "BUILDING", "@shop.example.com").otherwise("@.com")
     return t.raw("customer").select(
         "c_custkey",
-        text.is_valid_email(F.concat(name, F.lit("@example.co.uk"))).alias("good"),
-        text.is_valid_email(F.concat(F.col("c_name"), F.lit("@.com"))).alias("bad"),
+        text.is_valid_email(F.concat(name, host)).alias("complete"),
+        text.is_valid_email(F.concat(name, dots)).alias("dotted"),
     )
 
 
