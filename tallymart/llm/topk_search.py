@@ -43,33 +43,37 @@ def threshold_search(ids: np.ndarray, rows: np.ndarray, lists: np.ndarray, own:
     """
     n = len(ids)
     used = np.flatnonzero(q)
-    signs = q[used] > 0
+    rising, falling, weight = used[q[used] < 0], used[q[used] > 0], q[used]
+    signs = weight > 0
+    met = np.zeros(n, bool)
     seen = np.zeros(n, bool)
-    best_score, best_id = np.empty(0, np.int64), np.empty(0, np.int64)
-    depth, step = 0, 8
-    while depth < n:
+    best_score, best_id = np.empty(0, rows.dtype), np.empty(0, ids.dtype)
+    depth, step, left = 0, max(8, n // 64), n
+    while left:
         to = min(n, depth + step)
         if len(used):
-            met = np.where(signs[:, None], lists[used, n - to : n - depth][:, ::-1], lists[used, depth:to])
-            fresh = np.unique(met)
-            fresh = fresh[~seen[fresh]]
+            met[lists[falling, n - to : n - depth]] = True
+            met[lists[rising, depth:to]] = True
+            fresh = np.flatnonzero(met & ~seen)
+            seen[fresh] = True
         else:  # every score is 0
             fresh, to = np.arange(n), n
-        seen[fresh] = True
+        left -= len(fresh)
         scores = rows[fresh] @ q
+        if len(best_score) == k:  # what cannot enter is left out before the ids are read
+            fresh, scores = fresh[scores >= best_score[-1]], scores[scores >= best_score[-1]]
+        elif len(scores) > k + 1:
+            least = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+            fresh, scores = fresh[scores >= least], scores[scores >= least]
         keep = ids[fresh] != own
-        best_score = np.concatenate([best_score, scores[keep]])
-        best_id = np.concatenate([best_id, ids[fresh][keep]])
-        if len(best_id) > k:
-            kth = np.partition(best_score, len(best_score) - k)[len(best_score) - k]
-            best_id, best_score = best_id[best_score >= kth], best_score[best_score >= kth]
-            order = np.lexsort((best_id, -best_score))[:k]
-            best_id, best_score = best_id[order], best_score[order]
+        best_score, best_id = np.concatenate([best_score, scores[keep]]), np.concatenate([best_id, ids[fresh][keep]])
+        order = np.lexsort((best_id, -best_score))[:k]
+        best_score, best_id = best_score[order], best_id[order]
         depth = to
         # A row not met may still tie with the k-th and have a smaller id, so the bound must be below it.
-        if len(best_id) == k and len(used) and int(met_bound(rows, lists, used, signs, q, depth)) < best_score.min():
+        if len(best_id) == k and left and len(used) and met_bound(rows, lists, used, signs, q, depth) < best_score[-1]:
             break
-        step *= 2
+        step = 3 * depth
     return best_score, best_id, depth
 
 
