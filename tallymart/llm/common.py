@@ -89,3 +89,44 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
         labels = step.select("node", "component")
         if step.filter("old <> component").limit(1).count() == 0:
             return labels
+
+
+def mix64(x):
+    """Finalising mix of 64-bit values, so that every output bit hangs on every input bit."""
+    import numpy as np
+
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def key_array(words: list[bytes], keys: word_keys):
+    """The 64-bit keys of words as an array."""
+    import numpy as np
+
+    return np.fromiter(map(keys.__getitem__, words), np.uint64, len(words))
+
+
+def run_keys(word, size: int):
+    """Keys of all runs of ``size`` neighbouring words; none if there are fewer words."""
+    import numpy as np
+
+    n = len(word) - size + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    key = word[:n].copy()
+    for j in range(1, size):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + word[j : n + j]
+    return mix64(key)
+
+
+def shingle_set(text: str | None, keys: word_keys, size: int):
+    """Distinct keys of the ``size``-word shingles in ascending order; fewer words make one shingle, none make none."""
+    import numpy as np
+
+    words = split_words(text.encode()) if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    return np.unique(run_keys(key_array(words, keys), min(size, len(words))))
