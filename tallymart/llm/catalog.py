@@ -10,4 +10,6 @@ for found in pkgutil.iter_modules(folder):
     if found.name != "catalog":
         importlib.import_module(f"{package}.{found.name}")
 
+import corpus_pipeline  # noqa: E402, F401  registers the pipeline
+
 __all__ = ["QUERIES", "SQL"]
