@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import customers, models, warehouse
-from .registry import AS_OF, query, rounded
+from .registry import AS_OF, END, START, query, rounded
 from .staging_sql import mean, total, with_staging
 
 BOUGHT = f"""bought AS (
@@ -174,12 +174,14 @@ _retention("cohort_retention_30_days", 30,
            "date_diff('day', cohort_date, order_period) / 30")
 
 
-OFFSETS = ", ".join(f'MAX(retention_rate) FILTER (period_offset = {i}) AS "{i}"' for i in range(13))
+# Every offset that two months of the whole range can have.
+MONTHS = (int(END[:4]) - int(START[:4])) * 12 + int(END[5:7]) - int(START[5:7]) + 1
+OFFSETS = ", ".join(f'MAX(retention_rate) FILTER (period_offset = {i}) AS "{i}"' for i in range(MONTHS))
 
 
 @query("retention_matrix", _retention_sql(*MONTH, f"SELECT cohort_date, cohort_size, {OFFSETS}", "GROUP BY 1, 2"))
 def retention_matrix(t):
-    return customers.retention_matrix(customers.cohort_retention(t.fact_sales()), list(range(13)))
+    return customers.retention_matrix(customers.cohort_retention(t.fact_sales()), list(range(MONTHS)))
 
 
 @query("customer_spend", with_staging(f"""
@@ -235,27 +237,45 @@ def high_value_customers(t):
     return rounded(rich, "lifetime_value", digits=2)
 
 
-@query("churn_features", with_staging(f"""
+CHURN_SQL = f"""
 SELECT customer_id, COUNT(DISTINCT order_id) FILTER (early) AS orders,
   CAST(SUM(total_amount) FILTER (early) AS DOUBLE) AS spent, COUNT(*) FILTER (early) AS lines,
   CAST(date_diff('day', MAX(order_timestamp) FILTER (early), DATE '{AS_OF}' - INTERVAL 90 DAY) AS INT) AS recency_days,
   CAST(date_diff('day', MIN(order_timestamp) FILTER (early), MAX(order_timestamp) FILTER (early)) AS INT) AS tenure_days,
   CAST(CASE WHEN COUNT(*) FILTER (NOT early) = 0 THEN 1 ELSE 0 END AS INT) AS churned
 FROM (SELECT *, order_timestamp < DATE '{AS_OF}' - INTERVAL 90 DAY AS early FROM fact_sales
-  WHERE order_timestamp < DATE '{AS_OF}') GROUP BY 1 HAVING COUNT(*) FILTER (early) > 0"""))
+  WHERE order_timestamp < DATE '{AS_OF}') GROUP BY 1 HAVING COUNT(*) FILTER (early) > 0"""
+
+
+@query("churn_features", with_staging(CHURN_SQL))
 def churn_features(t):
     return customers.churn_features(t.fact_sales(), AS_OF)
 
 
-@query("churn_model")
+@query("churn_model", with_staging(f"""
+SELECT customer_id, churned, CAST(orders AS DOUBLE) AS orders, spent, CAST(lines AS DOUBLE) AS lines,
+  CAST(recency_days AS DOUBLE) AS recency_days, CAST(tenure_days AS DOUBLE) AS tenure_days,
+  TRUE AS follows_score, TRUE AS optimal FROM ({CHURN_SQL})"""))
 def churn_model(t):
-    return models.churn_model(customers.churn_features(t.fact_sales(), AS_OF))
-
-
-@query("kmeans_segments")
+    """Features and label as given, the decision follows the score, and the fit is at its optimum."""
+    scored = models.churn_model(customers.churn_features(t.fact_sales(), AS_OF))
+    follows = (F.col("churn_probability") > 0.5).cast("int") == F.col("predicted")
+    return scored.select(
+        "customer_id", "churned", *models.CHURN_FEATURES, follows.alias("follows_score"),
+        models.is_optimal(scored).scalar().alias("optimal"),
+    )
+
+
+@query("kmeans_segments", with_staging(f"""
+SELECT customer_id, CAST(COUNT(DISTINCT order_id) AS DOUBLE) AS frequency, {mean('total_amount')} AS avg_order_value,
+  CAST(SUM(total_amount) AS DOUBLE) AS total_spent, TRUE AS is_nearest, TRUE AS is_settled
+FROM fact_sales WHERE order_timestamp >= DATE '{AS_OF}' - INTERVAL 3650 DAY GROUP BY 1"""))
 def kmeans_segments(t):
+    """Features as given; every customer is in the nearest segment, and moving the centres gains nothing."""
+    features = ["frequency", "avg_order_value", "total_spent"]
     metrics = customers.customer_metrics(t.fact_sales(), AS_OF, 3650)
-    return models.kmeans_segments(metrics, ["frequency", "avg_order_value", "total_spent"])
+    rows = models.kmeans_segments(metrics, features)
+    return rows.select("customer_id", *features, "is_nearest", models.is_settled(rows, features).scalar().alias("is_settled"))
 
 
 @query("dim_customer_lifetime", with_staging(f"""

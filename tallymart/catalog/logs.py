@@ -178,22 +178,24 @@ def latency_summary(t):
 
 
 @query("error_summary", with_staging(f"""
-SELECT error_type, service, strftime({TS}, '%Y-%m-%d') AS day, COUNT(*) AS count,
-  MIN({TS}) AS first_occurrence, MAX({TS}) AS last_occurrence, 0 AS page,
-  string_agg(DISTINCT message, '|' ORDER BY message) AS error_messages
-FROM logs WHERE level = 'ERROR' GROUP BY 1, 2, 3"""))
+SELECT k.*, message AS error_message, n AS message_count
+FROM (SELECT error_type, service, strftime({TS}, '%Y-%m-%d') AS day, COUNT(*) AS count,
+    MIN({TS}) AS first_occurrence, MAX({TS}) AS last_occurrence FROM logs WHERE level = 'ERROR' GROUP BY 1, 2, 3) k
+JOIN (SELECT error_type AS t, service AS s, strftime({TS}, '%Y-%m-%d') AS d, message, COUNT(*) AS n
+  FROM logs WHERE level = 'ERROR' GROUP BY 1, 2, 3, 4) m
+ON t IS NOT DISTINCT FROM k.error_type AND s IS NOT DISTINCT FROM k.service AND d = k.day"""))
 def error_summary(t):
-    out = logs.error_summary(t.logs.where("level = 'ERROR'"))
-    return out.withColumn("error_messages", F.array_join("error_messages", "|"))
+    return logs.error_summary(t.logs.where("level = 'ERROR'"))
 
 
 @query("user_activity", with_staging(f"""
-SELECT user_id, strftime({TS}, '%Y-%m-%d') AS day, COUNT(*) AS total_requests,
-  MIN({TS}) AS first_access, MAX({TS}) AS last_access, 0 AS page,
-  string_agg(DISTINCT endpoint, '|' ORDER BY endpoint) AS endpoints
-FROM logs GROUP BY 1, 2"""))
+SELECT k.*, endpoint, n AS endpoint_requests
+FROM (SELECT user_id, strftime({TS}, '%Y-%m-%d') AS day, COUNT(*) AS total_requests,
+    MIN({TS}) AS first_access, MAX({TS}) AS last_access FROM logs GROUP BY 1, 2) k
+JOIN (SELECT user_id AS u, strftime({TS}, '%Y-%m-%d') AS d, endpoint, COUNT(*) AS n FROM logs GROUP BY 1, 2, 3) e
+ON u IS NOT DISTINCT FROM k.user_id AND d = k.day"""))
 def user_activity(t):
-    return logs.user_activity(t.logs).withColumn("endpoints", F.array_join("endpoints", "|"))
+    return logs.user_activity(t.logs)
 
 
 @query("performance_metrics", with_staging(f"""

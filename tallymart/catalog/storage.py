@@ -7,9 +7,12 @@ and reads it back.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
+from ..functions.dates import between_dates
 from ..operators import sales
 from ..plans import load, marts
 from ..schemas import CSV_FILES
@@ -199,6 +202,84 @@ def etl_run(t):
     )
 
 
+def _star_rows(t, paths: dict[str, str]):
+    """All five stored tables as rows of table, key and two cells."""
+    text = lambda c: F.col(c).cast("string")
+    cells = {
+        "dim_date": (text("date_id"), text("month"), text("day_name")),
+        "dim_customer": (text("customer_id"), text("customer_city"), text("customer_state")),
+        "dim_product": (text("product_id"), text("product_category_name"), text("product_weight_g").cast("int").cast("string")),
+        "dim_seller": (text("seller_id"), text("seller_city"), text("seller_state")),
+        "fact_sales": (F.concat_ws("-", "order_id", "order_item_id"), text("customer_id"), text("order_date")),
+    }
+    frames = [
+        t.spark.read.parquet(paths[name]).select(F.lit(name).alias("stored"), k.alias("key"), a.alias("a"), b.alias("b"))
+        for name, (k, a, b) in cells.items()
+    ]
+    return reduce(lambda x, y: x.unionByName(y), frames)
+
+
+STAR_ROWS = with_staging("""
+SELECT DISTINCT 'dim_date' AS stored, strftime(order_purchase_timestamp, '%Y-%m-%d') AS key,
+  CAST(month(order_purchase_timestamp) AS VARCHAR) AS a, strftime(order_purchase_timestamp, '%A') AS b FROM st_orders
+UNION ALL SELECT 'dim_customer', CAST(customer_id AS VARCHAR), customer_city, customer_state FROM st_customers
+UNION ALL SELECT 'dim_product', CAST(product_id AS VARCHAR), product_category_name,
+  CAST(CAST(product_weight_g AS INT) AS VARCHAR) FROM st_products
+UNION ALL SELECT 'dim_seller', CAST(seller_id AS VARCHAR), seller_city, seller_state FROM st_sellers
+UNION ALL SELECT 'fact_sales', CAST(i.order_id AS VARCHAR) || '-' || CAST(i.order_item_id AS VARCHAR),
+  CAST(o.customer_id AS VARCHAR), strftime(o.order_purchase_timestamp, '%Y-%m-%d')
+  FROM st_items i JOIN st_orders o ON i.order_id = o.order_id""")
+
+
+def _rerun(name: str, chunk: str):
+    @query(name, STAR_ROWS)
+    def build(t):
+        """Two extracts: orders up to a day within a month, then from two months before it on, half of the others."""
+        target = scratch_dir(t.spark, "star")
+        cut, back = "1998-01-16", "1997-11-16"
+        day = F.to_date("order_purchase_timestamp")
+        half = lambda df, key, r: df.where(F.pmod(F.xxhash64(key), F.lit(3)) != r)  # noqa: E731  a third in both
+        for r, mine in ((0, day < cut), (1, day >= back)):
+            orders = t.orders.where(mine)
+            part = SimpleNamespace(
+                customers=half(t.customers, "customer_id", r), products=half(t.products, "product_id", r),
+                sellers=half(t.sellers, "seller_id", r), orders=orders,
+                order_items=t.order_items.join(orders.select("order_id"), "order_id", "left_semi"),
+            )
+            folder = scratch_dir(t.spark, "extracts")
+            write_extracts(part, folder)
+            paths = load.etl_run(t.spark, folder, target, translated=False, chunk=chunk)
+        return _star_rows(t, paths)
+
+
+_rerun("etl_rerun_day", "day")
+_rerun("etl_rerun_month", "month")
+
+
+@query("store_dimension", with_staging("""
+SELECT customer_id, customer_region, CASE WHEN customer_region = 'EUROPE' THEN 'MOVED' ELSE customer_segment END
+  AS customer_segment FROM st_customers"""))
+def store_dimension(t):
+    """The merge of ``upsert_dimension`` stored, twice."""
+    rows = t.customers.select("customer_id", "customer_region", "customer_segment")
+    path = scratch_dir(t.spark, "dimension")
+    writers.store_dimension(rows.where("customer_region <> 'AFRICA'"), path, "customer_id")
+    moved = rows.where("customer_region = 'EUROPE'").withColumn("customer_segment", F.lit("MOVED"))
+    for _ in range(2):
+        writers.store_dimension(rows.where("customer_region = 'AFRICA'").unionByName(moved), path, "customer_id")
+    return t.spark.read.parquet(path)
+
+
+@query("read_fact_range", with_staging("""
+SELECT order_date, COUNT(*) AS lines, CAST(SUM(total_amount) AS DOUBLE) AS amount FROM fact_sales
+WHERE order_timestamp BETWEEN TIMESTAMP '1997-03-10 06:00:00' AND TIMESTAMP '1997-06-20 18:00:00' GROUP BY 1"""))
+def read_fact_range(t):
+    """A range of a stored fact; only the months that it touches are read."""
+    path = scratch_dir(t.spark, "fact")
+    writers.partition_by_time(t.fact_sales(), path, chunk="month")
+    return _by_day(between_dates(t.spark.read.parquet(path), "order_timestamp", "1997-03-10 06:00:00", "1997-06-20 18:00:00"))
+
+
 @query("read_csv", with_staging("SELECT CAST(seller_id AS VARCHAR) AS seller_id, seller_city, seller_state FROM st_sellers"))
 def read_csv(t):
     folder = scratch_dir(t.spark, "extracts")
@@ -216,10 +297,13 @@ WHERE date_trunc('month', order_purchase_timestamp) + INTERVAL 1 MONTH > DATE '2
 GROUP BY 1"""))
 def drop_expired(t):
     """Months beyond the retention leave a stored, partitioned table."""
-    name = "tallymart_expiring_" + dt.datetime.now().strftime("%H%M%S%f")
+    name = "tallymart_expiring"
+    t.spark.sql(f"DROP TABLE IF EXISTS {name}")
     path = scratch_dir(t.spark, "expiring")
     rows = t.orders.select("order_id", F.to_date("order_purchase_timestamp").alias("order_date"))
     rows, part = writers.with_chunk(rows, "order_date", "month")
     writers.by_time(rows, part).write.partitionBy(part).option("path", path).saveAsTable(name)
     writers.drop_expired(t.spark, name, part, dt.date.fromisoformat("2001-08-02"), 365, "month")
-    return t.spark.table(name).groupBy(part).agg(F.count(F.lit(1)).alias("orders"))
+    left = t.spark.table(name).groupBy(part).agg(F.count(F.lit(1)).alias("orders")).collect()
+    t.spark.sql(f"DROP TABLE {name}")
+    return t.spark.createDataFrame(left, "order_date_month date, orders long")  # a row per kept month

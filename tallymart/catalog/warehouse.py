@@ -114,7 +114,7 @@ def fact_customer_satisfaction(t):
 
 
 @query("denormalize_order", with_staging("""
-SELECT o.order_id, 0 AS page, o.order_status, c.customer_city, p.payment_type, r.review_score,
+SELECT o.order_id, CAST(coalesce(floor((i.order_item_id - 1) / 100), 0) AS INT) AS page, o.order_status, c.customer_city, p.payment_type, r.review_score,
   COUNT(i.order_id) AS lines, CAST(SUM(i.price) AS DOUBLE) AS price, MIN(i.order_item_id) AS first_item
 FROM st_orders o LEFT JOIN st_customers c ON o.customer_id = c.customer_id
 LEFT JOIN st_payments p ON o.order_id = p.order_id LEFT JOIN st_reviews r ON o.order_id = r.order_id

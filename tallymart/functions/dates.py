@@ -97,26 +97,50 @@ def days_before(as_of, days: int) -> Column:
     return moment(as_of) - F.make_dt_interval(F.lit(days))
 
 
+# The date that a stored table derives from a moment; it may be partitioned by it.
+DERIVED_DATES = {"order_timestamp": "order_date"}
+
+
+def in_stored_chunks(df: DataFrame, ts: str, low: Column | None = None, high: Column | None = None) -> DataFrame:
+    """Bounds on a moment said again for the date and chunk columns derived from it.
+
+    They keep the same rows, and let Spark skip the partitions of a stored table.
+    """
+    date = DERIVED_DATES.get(ts, ts)
+    derived = {date: "day"} | {f"{date}_{chunk}": chunk for chunk in ("week", "month")}
+    for name, unit in derived.items():
+        if name in df.columns and name != ts:
+            if low is not None:
+                df = df.where(F.col(name) >= F.to_date(F.date_trunc(unit, low)))
+            if high is not None:
+                df = df.where(F.col(name) <= F.to_date(F.date_trunc(unit, high)))
+    return df
+
+
 def lookback(df: DataFrame, ts: str, days: int, as_of) -> DataFrame:
     """Rows no older than ``days`` before ``as_of``; no upper bound."""
-    return df.where(F.col(ts) >= days_before(as_of, days))
+    low = days_before(as_of, days)
+    return in_stored_chunks(df, ts, low).where(F.col(ts) >= low)
 
 
 def between_dates(df: DataFrame, ts: str, start, end) -> DataFrame:
     """Both bounds inclusive."""
     check_range(start, end)
-    return df.where(F.col(ts).between(moment(start), moment(end)))
+    low, high = moment(start), moment(end)
+    return in_stored_chunks(df, ts, low, high).where(F.col(ts).between(low, high))
 
 
 def half_open(df: DataFrame, ts: str, start, end) -> DataFrame:
     """start <= ts < end."""
     check_range(start, end)
-    return df.where((F.col(ts) >= moment(start)) & (F.col(ts) < moment(end)))
+    low, high = moment(start), moment(end)
+    return in_stored_chunks(df, ts, low, high).where((F.col(ts) >= low) & (F.col(ts) < high))
 
 
 def optional_date_filter(df: DataFrame, ts: str, start=None, end=None) -> DataFrame:
     """Each bound is applied only where given; both inclusive."""
     check_range(start, end)
+    df = in_stored_chunks(df, ts, None if start is None else moment(start), None if end is None else moment(end))
     bounds = []
     if start is not None:
         bounds.append(F.col(ts) >= moment(start))

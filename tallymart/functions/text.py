@@ -25,9 +25,10 @@ def percentage_change(before: Column | str, after: Column | str) -> Column:
 
 
 def mask_middle(c: Column | str) -> Column:
-    """First three characters, ``***``, last two."""
+    """First three characters, ``***``, last two; a text under eight characters is hidden whole."""
     text = as_col(c)
-    return F.concat(F.substring(text, 1, 3), F.lit("***"), F.right(text, F.lit(2)))
+    shown = F.concat(F.substring(text, 1, 3), F.lit("***"), F.right(text, F.lit(2)))
+    return F.when(F.length(text) >= 8, shown).when(text.isNotNull(), F.lit("***"))
 
 
 def mask_password(c: Column | str) -> Column:
@@ -35,9 +36,10 @@ def mask_password(c: Column | str) -> Column:
 
 
 def mask_card(c: Column | str) -> Column:
-    """All but the last four characters become ``*``."""
+    """All but the last four characters become ``*``; under eight, all do."""
     text = as_col(c)
-    return F.lpad(F.right(text, F.lit(4)), F.length(text), F.lit("*"))
+    shown = F.lpad(F.right(text, F.lit(4)), F.length(text), F.lit("*"))
+    return F.when(F.length(text) >= 8, shown).otherwise(F.repeat(F.lit("*"), F.length(text)))
 
 
 MASKS = {

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.aggregates import mean, ratio
 from ..functions.dates import (
@@ -18,7 +19,6 @@ from ..functions.dates import (
     moment,
     time_grid,
 )
-from ..functions.pages import paged_lists
 from ..functions.quantiles import exact_quantiles
 from ..schemas import METRIC_NAME_PARTS, RETENTION_DAYS, SEVERITIES
 
@@ -298,54 +298,61 @@ def latency_summary(logs: DataFrame, column: str = "response_time") -> DataFrame
 
 # ---- stored views -------------------------------------------------------
 
-def _with_lists(groups: DataFrame, rows: DataFrame, keys: list[str], element: str, out: str, page_size: int) -> DataFrame:
-    lists = paged_lists(rows, keys, element, out, page_size, distinct=True)
-    same = None
-    for k in keys:
-        one = F.col(f"g.{k}").eqNullSafe(F.col(f"l.{k}"))
-        same = one if same is None else same & one
-    return (
-        groups.alias("g")
-        .join(lists.alias("l"), same, "left")
-        .select("g.*", F.coalesce("l.page", F.lit(0)).alias("page"), f"l.{out}")
-    )
+def _with_elements(per_element: DataFrame, keys: list[str], figures: dict[str, Column]) -> DataFrame:
+    """One row per key and element, with the figures of the whole key beside them.
 
+    Sets stay rows at every size: nothing is gathered into one cell or task.
+    """
+    groups = per_element.groupBy(*keys).agg(*[c.alias(n) for n, c in figures.items()])
+    same = reduce(lambda a, b: a & b, [F.col(f"g.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys])
+    rest = [f"e.{c}" for c in per_element.columns if not c.startswith("_") and c not in keys]
+    return per_element.alias("e").join(groups.alias("g"), same).select("g.*", *rest)
 
-def error_summary(logs: DataFrame, page_size: int = 10_000) -> DataFrame:
-    """Error type by service by day: count, first, last, set of messages.
 
-    A set larger than ``page_size`` continues on further rows (``page``).
-    """
+def error_summary(logs: DataFrame) -> DataFrame:
+    """Error type by service by day: count, first, last, and a row per message with its count."""
     keys = ["error_type", "service", "day"]
-    rows = logs.withColumn("day", day_key(TS))
-    groups = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.min(TS).alias("first_occurrence"),
-        F.max(TS).alias("last_occurrence"),
+    per_message = (
+        logs.withColumn("day", day_key(TS))
+        .groupBy(*keys, F.col("message").alias("error_message"))
+        .agg(F.count(F.lit(1)).alias("message_count"), F.min(TS).alias("_first"), F.max(TS).alias("_last"))
     )
-    return _with_lists(groups, rows, keys, "message", "error_messages", page_size)
+    figures = {
+        "count": F.sum("message_count"),
+        "first_occurrence": F.min("_first"),
+        "last_occurrence": F.max("_last"),
+    }
+    return _with_elements(per_message, keys, figures)
 
 
-def user_activity(logs: DataFrame, page_size: int = 10_000) -> DataFrame:
-    """User by day: requests, set of endpoints, first and last access.
-
-    A set larger than ``page_size`` continues on further rows (``page``).
-    """
+def user_activity(logs: DataFrame) -> DataFrame:
+    """User by day: requests, first and last access, and a row per endpoint with its count."""
     keys = ["user_id", "day"]
-    rows = logs.withColumn("day", day_key(TS))
-    groups = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_requests"),
-        F.min(TS).alias("first_access"),
-        F.max(TS).alias("last_access"),
+    per_endpoint = (
+        logs.withColumn("day", day_key(TS))
+        .groupBy(*keys, "endpoint")
+        .agg(F.count(F.lit(1)).alias("endpoint_requests"), F.min(TS).alias("_first"), F.max(TS).alias("_last"))
     )
-    return _with_lists(groups, rows, keys, "endpoint", "endpoints", page_size)
+    figures = {
+        "total_requests": F.sum("endpoint_requests"),
+        "first_access": F.min("_first"),
+        "last_access": F.max("_last"),
+    }
+    return _with_elements(per_endpoint, keys, figures)
 
 
 def metric_rows(logs: DataFrame, metrics: list[str]) -> DataFrame:
-    """Wide log rows as one ``metric, value`` row per metric."""
+    """Wide log rows as one ``metric, value`` row per metric.
+
+    Values keep their digits: decimals of a scale that holds every metric, else doubles.
+    """
+    types = [logs.schema[m].dataType for m in metrics]
+    exact = all(isinstance(t, (T.DecimalType, T.IntegralType)) for t in types)
+    scale = max((t.scale for t in types if isinstance(t, T.DecimalType)), default=0)
+    kind = f"decimal(38,{scale})" if exact else "double"
     pairs = F.array(
         *[
-            F.struct(F.lit(m).alias("metric"), F.col(m).cast("decimal(18,4)").alias("value"))
+            F.struct(F.lit(m).alias("metric"), F.col(m).cast(kind).alias("value"))
             for m in metrics
         ]
     )

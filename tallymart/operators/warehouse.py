@@ -351,17 +351,16 @@ def denormalize_order(
     payments: DataFrame,
     reviews: DataFrame,
     customers: DataFrame,
-    page_size: int = 10_000,
+    page_lines: int = 100,
 ) -> DataFrame:
-    """One nested document per order; huge orders span several pages.
+    """Nested documents of orders: page ``p`` holds the lines ``p * page_lines + 1`` and on.
 
-    Only an order with more than ``page_size`` lines has a second page.
+    A line's page follows from its own number at every size of an order, and
+    a page is bounded.  An order without lines has page 0 with null items.
     """
-    from ..functions.pages import paged_lists
-
     item_cols = [c for c in items.columns if c != "order_id"]
-    packed = items.select("order_id", F.struct(*item_cols).alias("item"))
-    lists = paged_lists(packed, ["order_id"], "item", "items", page_size)
+    page = F.floor((F.col("order_item_id") - 1) / page_lines).cast("int").alias("page")
+    lists = items.groupBy("order_id", page).agg(F.sort_array(F.collect_list(F.struct(*item_cols))).alias("items"))
 
     def nested(df: DataFrame, name: str, order_by: str) -> DataFrame:
         fields = [c for c in df.columns if c != "order_id"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import customers as cust, products as prod, sales, warehouse
 from ..sources.readers import read_extract
-from ..sources.writers import partition_by_time, write_csv_results
+from ..sources.writers import merge_by_time, store_dimension, write_csv_results
 
 
 def build_star(
@@ -29,6 +29,16 @@ def build_star(
     }
 
 
+# What identifies a row of each stored table.
+KEYS = {
+    "dim_date": "date_id",
+    "dim_customer": "customer_id",
+    "dim_product": "product_id",
+    "dim_seller": "seller_id",
+    "fact_sales": ["order_id", "order_item_id"],
+}
+
+
 def etl_run(
     spark: SparkSession,
     folder: str,
@@ -37,7 +47,10 @@ def etl_run(
     chunk: str = "day",
     files: dict[str, str] | None = None,
 ) -> dict[str, str]:
-    """Read the extracts of a folder and store the star schema.
+    """Read the extracts of a folder and merge them into the stored star schema.
+
+    Rows of a key that is stored already replace the stored ones, all others
+    are added, so extracts may overlap and a run may be repeated.
 
     ``files`` maps short names to file names where those differ.
 
@@ -63,9 +76,9 @@ def etl_run(
     target = target.rstrip("/")
     for name, df in star.items():
         if name == "fact_sales":
-            partition_by_time(df, f"{target}/{name}", "order_date", chunk=chunk)
+            merge_by_time(df, f"{target}/{name}", KEYS[name], "order_date", chunk)
         else:
-            df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{target}/{name}")
+            store_dimension(df, f"{target}/{name}", KEYS[name])
     return {name: f"{target}/{name}" for name in star}
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -42,7 +44,7 @@ def build_session(app_name: str = "tallymart", master: str | None = None, **conf
 
 
 # Settings that only affect how plans run, safe in a session built elsewhere.
-TUNING = ("spark.sql.adaptive.forceOptimizeSkewedJoin", "spark.python.sql.dataFrameDebugging.enabled")
+TUNING = ("spark.sql.session.timeZone", "spark.sql.adaptive.forceOptimizeSkewedJoin", "spark.python.sql.dataFrameDebugging.enabled")
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -56,14 +58,17 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the one named in ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only by a local session without that
-    setting (tests); on a cluster every executor has to see the same folder.
+    On a cluster every executor has to see the same folder, so the setting is
+    required there.  A local session without it (tests) gets one folder for
+    its whole life, which is removed when the process ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tallymart-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..session import stored
+
 
 def to_messages(df: DataFrame) -> DataFrame:
     """Each row as one JSON message."""
@@ -30,7 +34,10 @@ def lake_stream_sink(
     available_now: bool = False,
     trigger: str = "1 minute",
 ) -> StreamingQuery:
-    """Append a stream to ``<lake>/<name>`` with its own checkpoint."""
+    """Append a stream to ``<lake>/<name>`` with its own checkpoint.
+
+    The query is named by its target, so jobs and raw landing run side by side.
+    """
     lake = lake.rstrip("/")
     checkpoint = f"{(checkpoints or lake + '/checkpoints').rstrip('/')}/{name}"
     writer = (
@@ -38,7 +45,7 @@ def lake_stream_sink(
         .format("parquet")
         .option("path", f"{lake}/{name}")
         .option("checkpointLocation", checkpoint)
-        .queryName(name)
+        .queryName(re.sub(r"\W+", "_", f"{lake}/{name}").strip("_"))
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)
     return writer.start()
@@ -85,6 +92,64 @@ def partition_by_time(
     )
 
 
+class Folder:
+    """A stored table's folder on any file system that Spark knows."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark.sparkContext._jvm
+        self.make = jvm.org.apache.hadoop.fs.Path
+        self.path = path.rstrip("/")
+        self.fs = self.make(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self, below: str = "") -> bool:
+        return self.fs.exists(self.make(self.path + below))
+
+    def delete(self, below: str = "") -> None:
+        self.fs.delete(self.make(self.path + below), True)
+
+    def replace_by(self, other: str) -> None:
+        """Put a finished folder in this one's place; readers find the old or the new one."""
+        before = f"{self.path}_before_{uuid.uuid4().hex}"
+        if self.exists():
+            self.fs.rename(self.make(self.path), self.make(before))
+        if not self.fs.rename(self.make(other), self.make(self.path)):
+            raise OSError(f"cannot move {other} to {self.path}")
+        self.fs.delete(self.make(before), True)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write aside, then switch; ``df`` may read the table that it replaces."""
+    folder = Folder(df.sparkSession, path)
+    aside = f"{folder.path}_next_{uuid.uuid4().hex}"
+    df.write.parquet(aside)
+    folder.replace_by(aside)
+
+
+def merge_by_time(
+    df: DataFrame, path: str, keys: list[str], column: str = "order_date", chunk: str = "day"
+) -> None:
+    """Merge rows by key into a time-partitioned table: new rows replace stored ones of the same key.
+
+    Only the chunks that hold new rows, or stored rows of their keys, are
+    written again; all their other rows stay.  New rows must not repeat a key.
+    """
+    spark, folder = df.sparkSession, Folder(df.sparkSession, path)
+    if not folder.exists():
+        return partition_by_time(df, path, column, chunk=chunk)
+    rows, part = with_chunk(df, column, chunk)
+    rows = stored(rows, "merge-new")
+    old = spark.read.parquet(path)
+    same_key = old.join(rows.select(*keys), keys, "left_semi").select(part).distinct()
+    touched = stored(rows.select(part).distinct().unionAll(same_key).distinct(), "merge-chunks")
+    kept = old.join(touched, part, "left_semi").join(rows.select(*keys), keys, "left_anti")
+    merged = stored(kept.select(*rows.columns).unionAll(rows), "merge-rows")
+    # A chunk whose rows all moved elsewhere; one name per chunk without rows.
+    empty = touched.where(F.col(part).isNotNull()).join(merged.select(part), part, "left_anti").collect()
+    by_time(merged, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    for (value,) in empty:
+        folder.delete(f"/{part}={value}")
+
+
 def write_mart(df: DataFrame, path: str, column: str = "date") -> None:
     """Replace the written dates of a daily mart, so that a rerun is harmless."""
     partition_by_time(df, path, column)
@@ -107,11 +172,8 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch:
 
 
 def refresh_materialized(df: DataFrame, path: str) -> DataFrame:
-    """Recompute a stored view and read it back.
-
-    The frame must not read from ``path`` itself.
-    """
-    df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+    """Recompute a stored view beside the old one, switch, and read it back."""
+    replace_table(df, path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -132,6 +194,17 @@ def upsert_dimension(existing: DataFrame, new: DataFrame, key: str, order_by: st
     return existing.join(fresh.select(key), key, "left_anti").unionByName(fresh)
 
 
+def store_dimension(new: DataFrame, path: str, key: str, order_by: str | None = None) -> None:
+    """Merge rows by key into a stored dimension."""
+    spark = new.sparkSession
+    if Folder(spark, path).exists():
+        old = spark.read.parquet(path)
+        new = upsert_dimension(old, stored(new, "upsert"), key, order_by).select(*old.columns)
+    elif order_by is not None:
+        new = latest_by(new, key, order_by)
+    replace_table(new, path)
+
+
 def write_csv_results(results: dict[str, DataFrame], folder: str) -> None:
     """Each result as headered CSV below ``folder/name``."""
     for name, df in results.items():
@@ -163,6 +236,7 @@ def drop_expired(
     The list read to the driver holds one entry per stored chunk.
     """
     dates = [r[0] for r in expired_partitions(spark, table, column, as_of, days, chunk).collect()]
-    for date in dates:
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({column} = DATE'{date}')")
+    if dates:
+        parts = ", ".join(f"PARTITION ({column} = DATE'{date}')" for date in dates)
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {parts}")
     return len(dates)
