@@ -77,7 +77,7 @@ class _Roll:
         if self.out is None:
             temporary = f"_tmp/{uuid.uuid4().hex}.warc.gz"
             self.store.create_dir(f"{self.path}/_tmp", recursive=True)
-            self.out, self.sha = self.store.open_output_stream(f"{self.path}/{temporary}"), hashlib.sha256()
+            self.out, self.sha = self.store.open_output_stream(f"{self.path}/{temporary}", compression=None), hashlib.sha256()
             self.row = {"shard": self.shard, "name": f"part-{self.shard:06d}-{self.number:05d}.warc.gz", "temporary": temporary, "records": 0, "bytes": 0, "first_key": key}
             self.number += 1
         self.out.write(member)
@@ -297,7 +297,7 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = False) -> D
         for batch in batches:
             for (name,) in arrow_rows(batch, "name"):
                 rows, held = [], 0
-                with store.open_input_stream(f"{path}/{name}") as source:
+                with store.open_input_stream(f"{path}/{name}", compression=None) as source:
                     for position, data in _Members(source):
                         row = parse_record(data) | {"file": name, "position": position}
                         rows.append({k: row[k] for k in kinds})
