@@ -87,7 +87,11 @@ def product_recommendations(
         .groupBy("product_id")
         .agg(F.sum(F.col("lines") * F.col("open")).alias("co_purchase_count"))
     )
-    value = fact.groupBy("product_id").agg(
+    # Only products that can be among the first get their averages.
+    best = counts.join(live.select("product_id"), "product_id", "left_semi")
+    best = best.withColumn("place", F.rank().over(W.orderBy(F.desc("co_purchase_count")))).where(F.col("place") <= limit)
+    counts = best.drop("place")
+    value = fact.join(counts.select("product_id"), "product_id", "left_semi").groupBy("product_id").agg(
         mean("price").alias("avg_price"), mean("review_score").alias("avg_rating")
     )
     return (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.aggregates import mean, ratio, total
 from ..functions.dates import between_dates, days_before, moment, optional_date_filter
@@ -77,14 +77,25 @@ def seller_analytics(
     """Per seller: orders, revenue, average rating, categories."""
     heads = _rated_orders(orders, reviews, start, end, fan_out)
     lines = _weighted_lines(items, heads, "seller_id", "product_id")
-    return (
+    # Sums per order and category, then per category: no row is expanded for a distinct count.
+    in_order = W.partitionBy("seller_id", "order_id").orderBy("product_category_name")
+    sums = [F.sum(c).alias(c) for c in ("price", "score", "scored")]
+    per_category = (
         lines.join(products.select("product_id", "product_category_name"), "product_id")
-        .groupBy("seller_id")
+        .repartition("seller_id", "order_id")
+        .groupBy("seller_id", "order_id", "product_category_name")
+        .agg(*sums)
+        .withColumn("orders", (F.row_number().over(in_order) == 1).cast("long"))
+        .groupBy("seller_id", "product_category_name")
+        .agg(*sums, F.sum("orders").alias("orders"))
+    )
+    return (
+        per_category.groupBy("seller_id")
         .agg(
-            F.countDistinct("order_id").alias("total_orders"),
+            F.sum("orders").alias("total_orders"),
             total("price").alias("total_revenue"),
             ratio(F.sum("score"), F.sum("scored")).alias("avg_rating"),
-            F.countDistinct("product_category_name").alias("unique_categories"),
+            F.count("product_category_name").alias("unique_categories"),
         )
         .join(sellers.select("seller_id", "seller_city", "seller_state"), "seller_id")
         .orderBy(F.desc("total_revenue"), "seller_id")

@@ -60,6 +60,54 @@ def foreign_key_rule(child: DataFrame, table: str, key: str, parent: DataFrame)
     ).select(F.lit(table).alias("table_name"), F.lit(f"known {key}").alias("rule"), "checked", "violations")
 
 
+def key_rules(
+    parents: dict[str, tuple[DataFrame, str, list[str], bool]], children: list[tuple[DataFrame, str, str]]
+) -> DataFrame:
+    """Key and reference rules of several tables from one grouping of all their keys.
+
+    ``parents``: domain to (table, its name, key columns, whether to report repeats);
+    ``children``: (table, its name, key column that is also the domain).  Every
+    table is read once; rows are summed per key before they meet.
+    """
+    roles = [("own", d) for d in parents] + [(name, d) for _, name, d in children]
+    columns = {role: f"n{i}" for i, role in enumerate(roles)}
+    by_table: dict[int, tuple[DataFrame, list[Column]]] = {}
+
+    def add(df: DataFrame, role: tuple[str, str], key: Column, counted: Column) -> None:
+        cell = F.struct(
+            F.lit(role[1]).alias("domain"), key.alias("key"),
+            *[(F.when(counted, 1).otherwise(0) if r == role else F.lit(0)).cast("long").alias(n) for r, n in columns.items()],
+        )
+        by_table.setdefault(id(df), (df, []))[1].append(cell)
+
+    for domain, (df, _, keys, _) in parents.items():
+        add(df, ("own", domain), F.concat_ws("\x00", *[F.col(k).cast("string") for k in keys]), F.lit(True))
+    for df, name, domain in children:
+        add(df, (name, domain), F.concat_ws("\x00", F.col(domain).cast("string")), F.col(domain).isNotNull())
+    rows = reduce(
+        DataFrame.unionAll,
+        [df.select(F.explode(F.array(*cells)).alias("k")).select("k.*") for df, cells in by_table.values()],
+    )
+    per_key = rows.groupBy("domain", "key").agg(*[F.sum(n).alias(n) for n in columns.values()])
+    zero = F.lit(0).cast("long")
+    total = lambda c: F.coalesce(F.sum(c), zero)
+    rules = []
+    for domain, (_, name, keys, report) in parents.items():
+        if report:
+            own = F.col(columns["own", domain])
+            mine = (F.col("domain") == domain) & (own > 0)
+            rules.append((name, "unique " + ", ".join(keys), total(F.when(mine, own)), total(F.when(mine, own - 1))))
+    for _, name, domain in children:
+        n, own = F.col(columns[name, domain]), F.col(columns["own", domain])
+        rules.append((name, f"known {domain}", total(n), total(F.when(own == 0, n))))
+    counts = per_key.agg(*[c.alias(f"{w}{i}") for i, (_, _, a, b) in enumerate(rules) for w, c in (("c", a), ("v", b))])
+    cells = [
+        F.struct(F.lit(t).alias("table_name"), F.lit(r).alias("rule"), F.col(f"c{i}").alias("checked"), F.col(f"v{i}").alias("violations"))
+        for i, (t, r, _, _) in enumerate(rules)
+    ]
+    return counts.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
+
+
 def data_quality_report(
     customers: DataFrame,
     orders: DataFrame,
@@ -97,13 +145,22 @@ def data_quality_report(
             payments, "order_payments", {"payment_type known": col("payment_type").isin(PAYMENT_TYPES)}
         ),
         check_rules(reviews, "order_reviews", {"score in 1..5": col("review_score").between(1, 5)}),
-        duplicate_rule(orders, "orders", ["order_id"]),
-        duplicate_rule(items, "order_items", ["order_id", "order_item_id"]),
-        foreign_key_rule(orders, "orders", "customer_id", customers),
-        foreign_key_rule(items, "order_items", "order_id", orders),
-        foreign_key_rule(items, "order_items", "product_id", products),
-        foreign_key_rule(items, "order_items", "seller_id", sellers),
-        foreign_key_rule(reviews, "order_reviews", "order_id", orders),
+        key_rules(
+            {
+                "order_id": (orders, "orders", ["order_id"], True),
+                "line": (items, "order_items", ["order_id", "order_item_id"], True),
+                "customer_id": (customers, "customers", ["customer_id"], False),
+                "product_id": (products, "products", ["product_id"], False),
+                "seller_id": (sellers, "sellers", ["seller_id"], False),
+            },
+            [
+                (orders, "orders", "customer_id"),
+                (items, "order_items", "order_id"),
+                (items, "order_items", "product_id"),
+                (items, "order_items", "seller_id"),
+                (reviews, "order_reviews", "order_id"),
+            ],
+        ),
     ]
     return reduce(DataFrame.unionByName, parts)
 

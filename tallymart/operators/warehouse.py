@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.aggregates import mean, ratio, total
 from ..functions.dates import elapsed_days_floor, moment
@@ -264,9 +264,10 @@ def _day_metrics(
 ) -> DataFrame:
     """Figures per key and day, with the most frequent category.
 
-    Lines are summed per product, then per category, then per day, so the
-    distinct products and the category counts fall out of the same sums.
-    Orders are counted beside them.  The greatest name wins a tie.
+    Lines are summed per order and product, then per product, category and
+    day, so distinct products and category counts fall out of the same sums.
+    One product of each order carries a mark that counts the order.  The
+    greatest name wins a tie.
     """
     keys = [key, "order_date"]
     sums = {"items": F.count(F.lit(1)), "amount": F.sum("total_amount")}
@@ -276,10 +277,15 @@ def _day_metrics(
     def named(exprs: dict[str, Column]) -> list[Column]:
         return [c.alias(n) for n, c in exprs.items()]
 
-    again = {n: F.sum(n) for n in sums}
+    again = {n: F.sum(n) for n in sums} | {"orders_count": F.sum("orders_count")}
+    in_order = W.partitionBy(*keys, "order_id").orderBy("product_id")
     by_category = (
-        fact.groupBy(*keys, "product_id")
+        fact.repartition(*keys, "order_id")
+        .groupBy(*keys, "order_id", "product_id")
         .agg(*named(sums))
+        .withColumn("orders_count", (F.row_number().over(in_order) == 1).cast("long"))
+        .groupBy(*keys, "product_id")
+        .agg(*named(again))
         .join(products.select("product_id", "product_category_name"), "product_id", "left")
         .groupBy(*keys, "product_category_name")
         .agg(F.count(F.lit(1)).alias("products"), *named(again))
@@ -289,8 +295,7 @@ def _day_metrics(
     per_day = by_category.groupBy(*keys).agg(
         best.alias(favorite), F.sum("products").alias("unique_products"), *named(again)
     )
-    orders = fact.groupBy(*keys).agg(F.countDistinct("order_id").alias("orders_count"))
-    return per_day.join(orders, keys).select(
+    return per_day.select(
         key,
         F.col("order_date").alias("date_id"),
         "orders_count",

@@ -321,14 +321,14 @@ def test_quality_rules(rows):
 
 def test_documents_of_a_huge_order_span_pages(spark, order_sides, rows):
     orders, _, payments, reviews = order_sides
-    items = spark.range(500).select(F.lit(1).alias("order_id"), F.col("id").alias("product_id"))
+    items = spark.range(12_000).select(F.lit(1).alias("order_id"), (F.col("id") + 1).cast("int").alias("order_item_id"), F.col("id").alias("product_id"))
     people = rows("customer_id int, customer_city string", (1, "x"))
     payments = payments.withColumn("payment_sequential", F.lit(1))
     reviews = reviews.withColumn("review_id", F.lit("r"))
-    docs = warehouse.denormalize_order(orders, items, payments, reviews, people, page_size=50).collect()
+    docs = warehouse.denormalize_order(orders, items, payments, reviews, people, page_lines=50).collect()
     first = [d for d in docs if d.order_id == 1]
-    assert sorted(i.product_id for d in first for i in d["items"]) == list(range(500))
-    assert len(first) > 5 and max(len(d["items"]) for d in first) < 150
+    assert sorted(i.product_id for d in first for i in d["items"]) == list(range(12_000))
+    assert len(first) == 240 and all([i.order_item_id for i in d["items"]] == list(range(50 * d.page + 1, 50 * d.page + 51)) for d in first)
     second = [d for d in docs if d.order_id == 2]
     assert len(second) == 1 and second[0]["items"] is None and second[0].customer.customer_city == "x"
 

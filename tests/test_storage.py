@@ -155,10 +155,50 @@ def test_scratch_follows_the_session():
     assert one.startswith("/shared/runs/lake-") and one != two
     with pytest.raises(ValueError):
         scratch_dir(session("spark://host:7077", None), "lake")
-    assert "tallymart-" in scratch_dir(session("local[2]", None), "lake")
+    kept = {}
+    local = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: kept.get(key, default), set=kept.__setitem__), sparkContext=SimpleNamespace(master="local[2]"))
+    roots = {scratch_dir(local, "lake").rsplit("/", 1)[0] for _ in range(2)}
+    assert len(roots) == 1 and "tallymart-" in roots.pop()
 
 
 def test_message_schemas():
     assert set(schemas.MESSAGES) == set(schemas.TOPICS)
     assert [f.name for f in schemas.ORDER_MESSAGE.fields][:3] == ["order_id", "customer_id", "order_status"]
     assert schemas.ITEMS_MESSAGE["items"].dataType.elementType["price"].dataType.typeName() == "double"
+
+
+@pytest.mark.parametrize("chunk", ["day", "week", "month"])
+def test_merging_keeps_the_other_rows_of_a_chunk(spark, rows, tmp_path, chunk):
+    schema, path = "id int, order_date date, x int", str(tmp_path / "fact")
+    read = lambda: sorted((r.id, str(r.order_date), r.x) for r in spark.read.parquet(path).collect())
+    merge = lambda *data: writers.merge_by_time(rows(schema, *data), path, ["id"], chunk=chunk)
+    merge((1, "2024-01-01", 1), (2, "2024-01-02", 2), (3, "2024-01-02", 3))
+    merge((4, "2024-01-02", 4), (2, "2024-01-02", 9))
+    assert read() == [(1, "2024-01-01", 1), (2, "2024-01-02", 9), (3, "2024-01-02", 3), (4, "2024-01-02", 4)]
+    merge((1, "2024-03-05", 7))  # the only row of its day moves to another chunk
+    assert read() == [(1, "2024-03-05", 7), (2, "2024-01-02", 9), (3, "2024-01-02", 3), (4, "2024-01-02", 4)]
+
+
+def test_a_stored_table_may_be_replaced_from_itself(spark, tmp_path):
+    path = str(tmp_path / "view")
+    for _ in range(3):
+        writers.replace_table(spark.range(2) if not (tmp_path / "view").exists() else spark.read.parquet(path).union(spark.range(1)), path)
+    assert spark.read.parquet(path).count() == 4 and [p.name for p in tmp_path.iterdir()] == ["view"]
+
+
+@pytest.mark.parametrize("chunk", ["day", "week", "month"])
+def test_ranges_prune_stored_facts(spark, tmp_path, chunk):
+    from tallymart.operators import customers
+
+    path = str(tmp_path / "fact")
+    fact = spark.sql("""SELECT id AS order_id, id AS customer_id, id AS product_id, id AS seller_id, 1.5BD AS price, 0.5BD AS freight_value, 2.0BD AS total_amount,
+        timestamp'2024-01-01 05:00:00' + make_dt_interval(id) AS order_timestamp, date'2024-01-01' + CAST(id AS INT) AS order_date, false AS is_returned FROM range(120)""")
+    writers.partition_by_time(fact, path, chunk=chunk)
+    stored = spark.read.parquet(path)
+    for df in (customers.customer_metrics(stored, "2024-04-30", 30), customers.customer_segmentation(stored, "2024-04-30")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: []" not in plan and "PartitionFilters: [" in plan
+    from tallymart.functions.dates import between_dates
+
+    got = between_dates(stored, "order_timestamp", "2024-02-03 05:00:00", "2024-02-20 05:00:00")
+    assert got.count() == 18 and "PartitionFilters: []" not in got._jdf.queryExecution().executedPlan().toString()

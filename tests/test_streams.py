@@ -107,6 +107,18 @@ def test_all_jobs_and_landing(spark, tmp_path):
         assert spark.read.parquet(f"{lake}/raw/{topic}").count() == 1
 
 
+def test_jobs_and_landing_run_at_the_same_time(spark, tmp_path):
+    for topic in schemas.TOPICS:
+        feed(tmp_path, topic, "1.json", {"order_id": "1", "timestamp": "2024-01-01T00:00:00"})
+    lake = str(tmp_path / "lake")
+    queries = jobs.start_landing(spark, lake, "text", path=str(tmp_path)) + jobs.start_jobs(spark, lake, "text", path=str(tmp_path))
+    try:
+        assert len({q.name for q in queries}) == 8 and all(q.isActive for q in queries)
+    finally:
+        for q in queries:
+            q.stop()
+
+
 def test_a_failing_job_stops_the_others(spark, tmp_path):
     for topic in ("customers", "orders"):
         feed(tmp_path, topic, "1.json", customer("2024-01-01T00:00:00"))
