@@ -130,12 +130,17 @@ def health_trends(t):
 
 @query("trend_report", with_staging("""
 SELECT string_agg(strftime(date, '%Y-%m-%d'), ',' ORDER BY date) AS dates,
-  string_agg(CAST(total_requests AS VARCHAR), ',' ORDER BY date) AS request_volume_trend FROM trends""", TRENDS))
+  string_agg(CAST(total_requests AS VARCHAR), ',' ORDER BY date) AS request_volume_trend,
+  list(round(error_rate, 9) ORDER BY date) AS error_rate_trend,
+  list(round(avg_response_time, 9) ORDER BY date) AS response_time_trend FROM trends""", TRENDS))
 def trend_report(t):
     report = logs.trend_report(logs.health_trends(t.logs, LOG_END, 30))
+    exact = lambda c: F.transform(c, lambda x: F.round(x, 9))
     return report.select(
         F.array_join(F.col("dates").cast("array<string>"), ",").alias("dates"),
         F.array_join(F.col("request_volume_trend").cast("array<string>"), ",").alias("request_volume_trend"),
+        exact("error_rate_trend").alias("error_rate_trend"),
+        exact("response_time_trend").alias("response_time_trend"),
     )
 
 

@@ -122,17 +122,19 @@ def product_score(t):
 
 
 @query("product_recommendations", with_staging(f"""
-SELECT cp.recommended_product_id, p.product_category_name, cp.co_purchase_count,
-  {mean('fs.price')} AS avg_price, {mean('fs.review_score')} AS avg_rating
-FROM (SELECT fs2.product_id AS recommended_product_id, COUNT(*) AS co_purchase_count
-  FROM fact_sales fs1 JOIN fact_sales fs2 ON fs1.customer_id = fs2.customer_id
-    AND fs1.order_id <> fs2.order_id AND fs2.order_timestamp > fs1.order_timestamp
-    AND fs2.order_timestamp <= fs1.order_timestamp + INTERVAL 30 DAY
-  JOIN st_products p1 ON fs1.product_id = p1.product_id JOIN st_products p2 ON fs2.product_id = p2.product_id
-  WHERE p1.product_id = 1 AND p1.is_current AND p2.is_current GROUP BY 1) cp
-JOIN st_products p ON cp.recommended_product_id = p.product_id
-JOIN fact_sales fs ON p.product_id = fs.product_id
-GROUP BY 1, 2, 3 ORDER BY co_purchase_count DESC, avg_rating DESC NULLS LAST, 1 LIMIT 10"""))
+SELECT found.item AS recommended_product_id, shelf.product_category_name, found.hits AS co_purchase_count,
+  line_price AS avg_price, line_score AS avg_rating
+FROM (SELECT item, CAST(SUM(openings) AS BIGINT) AS hits FROM (
+    SELECT late.product_id AS item,
+      (SELECT COUNT(*) FROM begun WHERE begun.buyer = late.customer_id
+        AND late.order_timestamp > begun.moment AND late.order_timestamp <= begun.moment + INTERVAL 30 DAY) AS openings
+    FROM fact_sales late) WHERE openings > 0 GROUP BY item) found
+JOIN (SELECT * FROM st_products WHERE is_current) shelf ON shelf.product_id = found.item
+JOIN (SELECT product_id AS item, {mean('price')} AS line_price, {mean('review_score')} AS line_score
+  FROM fact_sales GROUP BY product_id) figures ON figures.item = found.item
+ORDER BY hits DESC, line_score DESC NULLS LAST, found.item LIMIT 10""", """begun AS (
+  SELECT customer_id AS buyer, order_timestamp AS moment FROM fact_sales
+  WHERE product_id = 1 AND 1 IN (SELECT product_id FROM st_products WHERE is_current))"""))
 def product_recommendations(t):
     return baskets.product_recommendations(t.fact_sales(reviews=True), t.products, 1)
 
@@ -147,37 +149,32 @@ def recommend_for_customer(t):
     return baskets.recommend_for_customer(t.fact_sales(), 1, 10)
 
 
-BASKET = """n_orders AS (SELECT COUNT(DISTINCT order_id) AS n FROM fact_sales),
-cats AS (
-  SELECT p.product_category_name AS cat, COUNT(DISTINCT fs.order_id) AS k
-  FROM fact_sales fs JOIN st_products p ON fs.product_id = p.product_id WHERE p.is_current GROUP BY 1)"""
+# Per order and category the smallest and the largest product, orders in all and per category.
+SHELVES = """shelves AS (
+  SELECT order_id AS basket, product_category_name AS kind, bool_or(is_current) AS live,
+    MIN(product_id) FILTER (is_current) AS low, MAX(product_id) FILTER (is_current) AS high
+  FROM fact_sales JOIN st_products USING (product_id) GROUP BY 1, 2),
+baskets AS (SELECT COUNT(DISTINCT order_id) AS total FROM fact_sales),
+sizes AS (SELECT kind, COUNT(*) FILTER (live) AS held FROM shelves GROUP BY kind)"""
 
 
-@query("market_basket", with_staging("""
-SELECT category1, category2, pair_count / n AS support, pair_count / c1.k AS confidence_1_2,
-  pair_count / c2.k AS confidence_2_1, pair_count
-FROM (SELECT p1.product_category_name AS category1, p2.product_category_name AS category2,
-    COUNT(DISTINCT fs1.order_id) AS pair_count
-  FROM fact_sales fs1 JOIN fact_sales fs2 ON fs1.order_id = fs2.order_id AND fs1.product_id < fs2.product_id
-  JOIN st_products p1 ON fs1.product_id = p1.product_id JOIN st_products p2 ON fs2.product_id = p2.product_id
-  WHERE p1.is_current AND p2.is_current GROUP BY 1, 2) fp, n_orders, cats c1, cats c2
-WHERE fp.category1 = c1.cat AND fp.category2 = c2.cat AND pair_count / n >= 0.01
-  AND (pair_count / c1.k >= 0.05 OR pair_count / c2.k >= 0.05)""", BASKET))
+def _pair_sql(names: str, condition: str, least_support: float, least_confidence: float) -> str:
+    return with_staging(f"""
+SELECT category1, category2, together / total AS support, together / one.held AS confidence_1_2,
+  together / two.held AS confidence_2_1, together AS pair_count
+FROM (SELECT {names}, COUNT(*) AS together FROM shelves x JOIN shelves y USING (basket) WHERE {condition} GROUP BY 1, 2) pairs
+CROSS JOIN baskets JOIN sizes one ON one.kind = category1 JOIN sizes two ON two.kind = category2
+WHERE together / total >= {least_support}
+  AND greatest(together / one.held, together / two.held) >= {least_confidence}""", SHELVES)
+
+
+@query("market_basket", _pair_sql("x.kind AS category1, y.kind AS category2", "x.low < y.high", 0.01, 0.05))
 def market_basket(t):
     return baskets.market_basket(t.fact_sales(), t.products, 0.01, 0.05)
 
 
-@query("market_basket_unordered", with_staging("""
-SELECT category1, category2, pair_count / n AS support, pair_count / c1.k AS confidence_1_2,
-  pair_count / c2.k AS confidence_2_1, pair_count
-FROM (SELECT least(p1.product_category_name, p2.product_category_name) AS category1,
-    greatest(p1.product_category_name, p2.product_category_name) AS category2,
-    COUNT(DISTINCT fs1.order_id) AS pair_count
-  FROM fact_sales fs1 JOIN fact_sales fs2 ON fs1.order_id = fs2.order_id
-  JOIN st_products p1 ON fs1.product_id = p1.product_id JOIN st_products p2 ON fs2.product_id = p2.product_id
-  WHERE p1.product_category_name <> p2.product_category_name GROUP BY 1, 2) fp, n_orders, cats c1, cats c2
-WHERE fp.category1 = c1.cat AND fp.category2 = c2.cat AND pair_count / n >= 0.01
-  AND (pair_count / c1.k >= 0.1 OR pair_count / c2.k >= 0.1)""", BASKET))
+@query("market_basket_unordered", _pair_sql(
+    "x.kind AS category1, y.kind AS category2", "x.kind < y.kind", 0.01, 0.1))
 def market_basket_unordered(t):
     return baskets.market_basket(t.fact_sales(), t.products, oriented=False)
 

@@ -13,12 +13,12 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from ..functions.dates import between_dates
-from ..operators import sales
 from ..plans import load, marts
 from ..schemas import CSV_FILES
 from ..session import scratch_dir
 from ..sources import readers, writers
-from .registry import END, START, query
+from . import logs as _logs  # noqa: F401  its queries are used below
+from .registry import END, QUERIES, SQL, START, query
 from .sales import DAILY_SALES
 from .staging_sql import total, with_staging
 from .streams import CUSTOMER_MART, hourly, with_messages
@@ -96,19 +96,26 @@ def refresh_materialized(t):
 
 @query("write_csv_results", with_staging("SELECT * FROM daily_sales", DAILY_SALES))
 def write_csv_results(t):
+    """All five results stored and read back: each must equal what was computed."""
     folder = scratch_dir(t.spark, "results")
     results = load.analysis_results(t.fact_sales(), t.customers, t.products, t.sellers, START, END)
     load.store_analysis(results, folder)
-    daily = sales.daily_sales(t.fact_sales(), START, END)
-    return readers.read_csv(t.spark, f"{folder}/daily_sales", daily.schema)
+    for name, df in results.items():
+        back = readers.read_csv(t.spark, f"{folder}/{name}", df.schema)
+        text = lambda x: x.select([F.col(c).cast("string") for c in x.columns])
+        lost = text(df).exceptAll(text(back)).limit(1).count() + text(back).exceptAll(text(df)).limit(1).count()
+        if lost:
+            raise ValueError(f"{name} differs after it was stored")
+    return readers.read_csv(t.spark, f"{folder}/daily_sales", results["daily_sales"].schema)
 
 
-@query("write_json_report", with_staging("SELECT * FROM daily_sales", DAILY_SALES))
+@query("write_json_report", SQL["daily_log_report"])
 def write_json_report(t):
+    """The log report of a day as JSON rows, read back."""
     folder = scratch_dir(t.spark, "reports")
-    daily = sales.daily_sales(t.fact_sales(), START, END)
-    writers.write_json_report(daily, folder, "daily_sales")
-    return t.spark.read.schema(daily.schema).json(f"{folder}/daily_sales")
+    report = QUERIES["daily_log_report"](t)
+    writers.write_json_report(report, folder, "daily_log_report")
+    return t.spark.read.schema(report.schema).json(f"{folder}/daily_log_report")
 
 
 @query("read_query", with_staging(

@@ -186,10 +186,17 @@ def exact_daily_customers(t):
     return marts.exact_daily_customers(t.orders)
 
 
-@query("process_all_marts", with_messages(
-    "SELECT * FROM growth WHERE date >= DATE '2024-01-31' - INTERVAL 7 DAY", CUSTOMER_MART))
+LATE = "date >= DATE '2024-01-31' - INTERVAL 7 DAY"
+
+
+@query("process_all_marts", with_messages(f"""
+SELECT 'customer_growth_mart' AS mart, date, CAST(new_customers AS DOUBLE) AS a, CAST(total_customers AS DOUBLE) AS b FROM growth WHERE {LATE}
+UNION ALL SELECT * FROM (SELECT 'sales_trends_mart', CAST(window_start AS DATE) AS date, CAST(SUM(CAST(total_sales AS DECIMAL(24,2))) AS DOUBLE),
+  CAST(SUM(CAST(total_freight AS DECIMAL(24,2))) AS DOUBLE) FROM hour_sales GROUP BY 2) WHERE {LATE}
+UNION ALL SELECT * FROM (SELECT 'order_performance_mart', CAST(window_start AS DATE) AS date, CAST(SUM(total_orders) AS DOUBLE),
+  CAST(SUM(unique_customers) AS DOUBLE) FROM hour_orders GROUP BY 2) WHERE {LATE}""", CUSTOMER_MART))
 def process_all_marts(t):
-    """Store an hourly lake, run the marts twice, read the customer mart."""
+    """Store an hourly lake, run the marts twice, read all three marts."""
     import datetime as dt
 
     lake, target = scratch_dir(t.spark, "lake"), scratch_dir(t.spark, "marts")
@@ -198,4 +205,35 @@ def process_all_marts(t):
     day = dt.date.fromisoformat("2024-01-31")
     for _ in range(2):
         paths = marts.process_all_marts(t.spark, lake, target, day, days_ago=7)
-    return t.spark.read.parquet(paths[0])
+    # A mart without a day in the range has no file, so its schema is given.
+    figures = [("new_customers", "total_customers"), ("daily_revenue", "total_freight"), ("daily_orders", "unique_customers")]
+    read = [
+        t.spark.read.schema(mart(hourly(t, table)).schema).parquet(path).select(
+            F.lit(name).alias("mart"), "date", F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")
+        )
+        for (name, (table, mart)), path, (a, b) in zip(marts.MARTS.items(), paths, figures)
+    ]
+    return read[0].unionByName(read[1]).unionByName(read[2])
+
+
+@query("stream_all_topics", with_messages("""
+SELECT 'raw' AS kind, 'customers' AS name, COUNT(*) AS n FROM msg_customers UNION ALL SELECT 'raw', 'orders', COUNT(*) FROM msg_orders
+UNION ALL SELECT 'hourly', 'customers', COUNT(*) FROM hour_customers WHERE """ + closed("ts", "msg_customers") + """
+UNION ALL SELECT 'hourly', 'orders', COUNT(*) FROM hour_orders WHERE """ + closed("bought", "msg_orders")))
+def stream_all_topics(t):
+    """Landing of decoded rows and the hourly jobs over the same topics, started together in one session."""
+    lake = scratch_dir(t.spark, "lake")
+    started = []
+    for name in ("customers", "orders"):
+        topic, job = jobs.JOBS[name]
+        started.append(lake_stream_sink(decoded(t, topic), f"{lake}/raw", topic, available_now=True))
+        started.append(lake_stream_sink(job(decoded(t, topic)), lake, name, available_now=True))
+    jobs.run_until_failure(t.spark, started)
+    counts = [
+        t.spark.read.parquet(f"{lake}/{folder}{name}").select(F.lit(kind).alias("kind"), F.lit(name).alias("name"))
+        for kind, folder in (("raw", "raw/"), ("hourly", "")) for name in ("customers", "orders")
+    ]
+    rows = counts[0]
+    for more in counts[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
