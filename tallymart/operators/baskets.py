@@ -127,11 +127,6 @@ def recommend_for_customer(fact: DataFrame, customer_id, n: int = 10) -> DataFra
     )
 
 
-def _small_if_frequent(df: DataFrame, min_support: float) -> DataFrame:
-    """Values above a support are at most (values per order) / support many."""
-    return F.broadcast(df) if min_support >= 0.001 else df
-
-
 def market_basket(
     fact: DataFrame,
     products: DataFrame,
@@ -151,6 +146,8 @@ def market_basket(
     in the result and bounds the pairs of even the largest order.
     """
     require(fact, "order_id", "product_id")
+    if min_support <= 0:
+        raise ValueError("min_support must be above 0: it bounds the pairs of an order")
     cat = "product_category_name"
     live = current_rows(products).select("product_id", cat)
     total_orders = fact.agg(F.countDistinct("order_id")).scalar()
@@ -166,7 +163,7 @@ def market_basket(
         .agg(F.count(F.lit(1)).alias("orders"))
         .where(F.col("orders") / total_orders >= min_support)
     )
-    kept = in_order.join(_small_if_frequent(frequent, min_support), cat)
+    kept = in_order.join(frequent, cat)
     # Each pair of categories meets once; both directions are read off it.  Both
     # sides then carry the same columns, so Spark shuffles them only once.
     a, b = kept.alias("a"), kept.alias("b")
@@ -227,7 +224,7 @@ def frequent_baskets(lines: DataFrame, item: str, min_support: float) -> tuple[D
         .select(item)
     )
     baskets = (
-        pairs.join(_small_if_frequent(frequent, min_support), item, "left_semi")
+        pairs.join(frequent, item, "left_semi")
         .groupBy("order_id")
         .agg(F.collect_list(item).alias("items"))
     )

@@ -20,7 +20,7 @@ from ..functions.dates import (
     time_grid,
 )
 from ..functions.quantiles import exact_quantiles
-from ..schemas import METRIC_NAME_PARTS, RETENTION_DAYS, SEVERITIES
+from ..schemas import METRIC_NAME_PATTERN, RETENTION_DAYS, SEVERITIES
 
 TS = "timestamp"
 
@@ -107,7 +107,7 @@ def filter_telemetry(df: DataFrame, severity: str | None = None, metric: str | N
     if severity is not None:
         rows = rows.where(F.col(severity).isin(SEVERITIES))
     if metric is not None:
-        rows = rows.where(F.col(metric).rlike("|".join(METRIC_NAME_PARTS)))
+        rows = rows.where(F.col(metric).rlike(METRIC_NAME_PATTERN))
     return rows
 
 

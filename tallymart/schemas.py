@@ -52,7 +52,7 @@ ORDER_STATUS = ["created", "approved", "processing", "shipped", "delivered", "ca
 PAYMENT_TYPES = ["credit_card", "boleto", "voucher", "debit_card"]
 TOPICS = ["customers", "orders", "order_items", "payments", "reviews"]
 SEVERITIES = ["ERROR", "WARN", "INFO"]
-METRIC_NAME_PARTS = ["duration", "request", "error", "active"]
+METRIC_NAME_PATTERN = "duration|request|error|active"
 
 # Days that each kind of log is kept.
 RETENTION_DAYS = {
