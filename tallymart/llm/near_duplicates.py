@@ -28,7 +28,7 @@ from .registry import query
 REGISTERS = 241  # a prime, so that steps of any width visit every register
 BAND_ROWS, BANDS = 5, 48
 BASE, RATE, LIMIT = 1.001, 20.0, 65535
-BLOCK = 256
+BLOCK = 512
 # Of a register's agreement at the limit of 0.8, five standard deviations over 241 registers.
 MARGIN = 0.13
 
@@ -182,34 +182,46 @@ class _Links:
         """Pairs whose ends are in different components."""
         return self.label(self.label(pairs, "a", "c_a"), "b", "c_b").filter("c_a <> c_b").drop("c_a", "c_b")
 
+    def add(self, pairs: DataFrame) -> None:
+        """Confirm pairs and join the components of those that hold."""
+        if pairs.limit(1).count() == 0:
+            return
+        found = stored(_confirmed(pairs.select("a", "b"), self.sets, self.percent), "near-links")
+        self.edges = found if self.edges is None else self.edges.unionAll(found)
+        self.labels = components(self.edges, "near-components")
+
     def resolve(self, pairs: DataFrame) -> None:
-        """Confirm pairs, the likeliest of each document first, until none is left between components."""
-        take: int | None = 2
-        tested: DataFrame | None = None
-        while True:
-            left = self.between(pairs)
-            if tested is not None:
-                left = left.join(tested, ["a", "b"], "left_anti")
-            if take is not None:
-                rank = Window.partitionBy("b").orderBy(F.desc("est"), "a")
-                left = left.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= take).drop("r")
-            now = stored(left.select("a", "b"), "near-tested")
-            if now.limit(1).count() == 0:
-                return
-            found = stored(_confirmed(now, self.sets, self.percent), "near-links")
-            self.edges = found if self.edges is None else self.edges.unionAll(found)
-            self.labels = components(self.edges, "near-components")
-            if take is None:
-                return
-            tested = now if tested is None else tested.unionAll(now)
-            take = 32 if take == 2 else None
-
-
-def _block_pairs(members: DataFrame, least: float) -> DataFrame:
-    """``(a, b, est)`` between components of a band, for bands that hold several.
-
-    ``members(key, id, component, n, registers)``.  Members outside the band's largest
-    component meet all members, in blocks of about ``BLOCK`` rows each.
+        """Confirm the likeliest pairs of each document, then all others that still lie between components."""
+        rank = Window.partitionBy("b").orderBy(F.desc("est"), "a")
+        first = stored(pairs.withColumn("r", F.row_number().over(rank)).filter("r <= 4").select("a", "b"), "near-first")
+        self.add(first)
+        self.add(stored(self.between(pairs.select("a", "b").join(first, ["a", "b"], "left_anti")), "near-others"))
+
+
+def _compact(classes: DataFrame, sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, n, bands, short)``: the low halves of band keys and of the shingle keys, in ascending order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bands = band_keys(_registers(batch.column(2))).astype("<u4")
+                short = [np.sort(np.frombuffer(e, "<u8").astype("<u4")).tobytes() for e in batch.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array([b.tobytes() for b in bands], pa.binary()), pa.array(short, pa.binary())], ["id", "n", "bands", "short"]
+                )
+
+    whole = classes.join(ids, "id", "left_semi").join(sets, "id").select("id", "n", "registers", "elements")
+    return whole.mapInArrow(run, "id long, n long, bands binary, short binary")
+
+
+def _block_links(members: DataFrame, compact: DataFrame, percent: int) -> DataFrame:
+    """``(a, b, est)``: likely links between components of a band, for bands that hold several.
+
+    ``members(key, id, component)``.  Members outside the band's largest component meet
+    all members, in blocks of about ``BLOCK`` rows each.  The sets of shortened shingle
+    keys are compared in the task: that may count a chance agreement as common but never
+    misses a link.  A pair is looked at in the first band that it shares only, and of
+    the links between a member and one component the three best are given out.
     """
     by_part = members.groupBy("key", "component").agg(F.count("*").alias("size"))
     bands = by_part.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("n_all"), F.count("*").alias("parts"))
@@ -218,48 +230,60 @@ def _block_pairs(members: DataFrame, least: float) -> DataFrame:
         F.ceil(F.col("n_all") / BLOCK).cast("int").alias("cols"),
     )
     spread = F.xxhash64("key")
-    known = members.withColumn("_s", spread).join(bands.withColumn("_s", spread), ["key", "_s"]).drop("_s")
+    known = members.withColumn("_s", spread).join(bands.withColumn("_s", spread), ["key", "_s"]).drop("_s").join(compact, "id")
     known = known.withColumn("outside", F.col("component") != F.col("main"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    base = ("key", "id", "component", "n", "registers")
+    base = ("key", "id", "component", "n", "bands", "short")
     asking = known.filter("outside").select(*base, place("rows").alias("i"), every("cols").alias("j"), F.lit(0).alias("side"))
     asked = known.select(*base, every("rows").alias("i"), place("cols").alias("j"), F.lit(1).alias("side"))
     cells = asking.unionAll(asked).withColumn("cell", F.xxhash64("key", "i", "j"))
 
+    def cell_links(t: pa.Table) -> pa.RecordBatch:
+        side, ids, part, n, key = (t.column(c).to_numpy() for c in ("side", "id", "component", "n", "key"))
+        band = np.frombuffer(b"".join(t.column("bands").to_pylist()), "<u4").reshape(len(ids), BANDS)
+        here = key.astype(np.int64).astype(np.uint32)
+        short = [np.frombuffer(e, "<u4") for e in t.column("short").to_pylist()]
+        out: list[tuple[int, int, float]] = []
+        others = np.flatnonzero(side == 1)
+        for q in np.flatnonzero(side == 0):
+            fit = others[(part[others] != part[q]) & (100 * np.minimum(n[others], n[q]) >= percent * np.maximum(n[others], n[q]))]
+            if not len(fit):
+                continue
+            same = band[fit] == band[q]
+            fit = fit[band[q][same.argmax(axis=1)] == here[q]]
+            if not len(fit):
+                continue
+            mine = short[q]
+            flat = np.concatenate([short[o] for o in fit])
+            at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+            starts = np.cumsum([0, *(len(short[o]) for o in fit[:-1])])
+            common = np.add.reduceat((mine[at] == flat).astype(np.int64), starts)
+            union = n[fit] + n[q] - common
+            fit, share = fit[100 * common >= percent * union], (common / np.maximum(union, 1))[100 * common >= percent * union]
+            given: dict[int, int] = {}
+            for o, x in sorted(zip(fit.tolist(), share.tolist()), key=lambda z: -z[1]):
+                c = int(part[o])
+                if given.get(c, 0) < 3:
+                    given[c] = given.get(c, 0) + 1
+                    out.append((int(min(ids[o], ids[q])), int(max(ids[o], ids[q])), x))
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["a", "b", "est"])
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("est", pa.float64())])
         rest: pa.Table | None = None
-
-        def cell_pairs(t: pa.Table) -> pa.RecordBatch:
-            side, ids, part, n = (t.column(c).to_numpy() for c in ("side", "id", "component", "n"))
-            regs = _registers(t.column("registers").combine_chunks())
-            found = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-            others = np.flatnonzero(side == 1)
-            for q in np.flatnonzero(side == 0):
-                fit = others[(part[others] != part[q]) & (np.minimum(n[others], n[q]) >= least * np.maximum(n[others], n[q]))]
-                # Cheap bound first: registers that agree are close to the similarity.
-                agree = (regs[fit] == regs[q]).mean(axis=1)
-                fit = fit[agree >= least - MARGIN - 0.05]
-                if len(fit):
-                    est = estimate(regs[fit], np.broadcast_to(regs[q], (len(fit), REGISTERS)), n[fit], np.full(len(fit), n[q]))
-                    ok = est >= least - MARGIN
-                    lo, hi = np.minimum(ids[fit], ids[q])[ok], np.maximum(ids[fit], ids[q])[ok]
-                    found = [np.concatenate(x) for x in zip(found, (lo, hi, est[ok]))]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=schema)
-
         for batch in batches:
             t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
             cell = t.column("cell").to_numpy()
             cuts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.empty(0, np.int64)
             for at, to in zip(cuts[:-1], cuts[1:]):
-                yield cell_pairs(t.slice(at, to - at))
+                yield cell_links(t.slice(at, to - at))
             rest = t.slice(cuts[-1]) if len(cuts) else None
         if rest is not None and rest.num_rows:
-            yield cell_pairs(rest)
+            yield cell_links(rest)
 
     dealt = cells.repartition("cell").sortWithinPartitions("cell")
-    return dealt.select("cell", "side", "id", "component", "n", "registers").mapInArrow(search, "a long, b long, est double")
+    return dealt.select("cell", "side", *base).mapInArrow(search, "a long, b long, est double")
 
 
 def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -305,9 +329,10 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     members = links.label(shared.select("key", "id"), "id", "component")
     mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     members = members.withColumn("_s", spread).join(mixed.withColumn("_s", spread), ["key", "_s"]).drop("_s")
-    members = members.join(classes.select("id", "n", "registers"), "id")
-    rest = _block_pairs(members, least).groupBy("a", "b").agg(F.max("est").alias("est")).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    links.resolve(stored(rest, "near-rest"))
+    members = stored(members, "near-mixed")
+    compact = stored(_compact(classes, sets, members.select("id").distinct()), "near-compact")
+    # Full sets have the last word; what is confirmed here joins components for good.
+    links.add(stored(_block_links(members, compact, percent).groupBy("a", "b").agg(F.max("est").alias("est")), "near-rest"))
     own = drawn.select("doc_id", "n_shingles", "digest").join(classes.select("digest", F.col("id").alias("class_id")), "digest", "left")
     return links.label(own, "class_id", "component").select(
         "doc_id", "n_shingles",
