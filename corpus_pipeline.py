@@ -7,18 +7,40 @@ but the last return the columns of ``documents``, whatever further columns they
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallymart.llm import language_id, near_duplicates, packing, quality, repeats
-from tallymart.llm.common import session, stored, table
+from tallymart.llm.common import drop_scratch, noted_scratch, scratch_dir, session, table
 from tallymart.llm.registry import query
 
 
+# Scratch folders of stages whose results may still be read.
+_LEFT: list[str] = []
+
+
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """A stage first removes what earlier stages left in the scratch folder: their results are written by then."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_scratch(session(spark), _LEFT, docs)
+        with noted_scratch() as made:
+            result = work(spark, docs, sf_dir)
+        _LEFT.extend(made)
+        return result
+
+    return run_stage
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without the rows of the given ids; rows without an id stay."""
     return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
 
 
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language is rejected: no letter, or a score below the calibrated limit.
 
@@ -32,6 +54,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.predict(docs, model).filter("accepted").select(docs.columns)
 
 
+@_stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose perplexity is over their language's limit; rows without an id stay."""
     rated = quality.rate_documents(docs, quality.trusted_ids(spark, sf_dir))
@@ -40,6 +63,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return _without(docs, rejected)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group linked by four fifths of its five-word shingles: the smallest id, once."""
     linked = near_duplicates.link_documents(docs)
@@ -54,11 +78,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return one.unionByName(kept.filter("doc_id IS NULL"))
 
 
+@_stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of fifty or more words that occurred before; a document without words left goes."""
     return repeats.without_repeats(docs)
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place every document, by words and an end token, in sequences of the permitted lengths."""
     return packing.pack_documents(docs, packing.token_count(F.col("text")))
@@ -81,5 +107,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(session(spark), sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        result = stage(spark, docs, sf_dir)
+        path = scratch_dir(spark, f"stage-{name}")
+        result.write.parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
     return docs

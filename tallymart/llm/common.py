@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import DEFAULTS, configure, scratch_dir, stored
+from ..session import DEFAULTS, configure, scratch_dir as _scratch_dir
+from ..sources.writers import Folder
 
 __all__ = ["session", "table", "scratch_dir", "stored", "words_of", "split_words", "components", "word_keys"]
 
@@ -14,6 +16,44 @@ __all__ = ["session", "table", "scratch_dir", "stored", "words_of", "split_words
 BATCH_ROWS, BATCH_BYTES = "1000", str(8 << 20)
 
 
+# Where ``scratch_dir`` notes the folders that it makes, if anyone asks for it.
+_NOTES: list[list[str]] = []
+
+
+@contextmanager
+def noted_scratch() -> Iterator[list[str]]:
+    """The scratch folders that are made inside, for a caller who removes them when results are written."""
+    _NOTES.append([])
+    try:
+        yield _NOTES[-1]
+    finally:
+        _NOTES.pop()
+
+
+def scratch_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder in the shared scratch folder."""
+    path = _scratch_dir(spark, purpose)
+    for note in _NOTES:
+        note.append(path)
+    return path
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame written once to the shared scratch folder and read back: lost executors cost nothing."""
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession, paths: list[str], but_for: DataFrame) -> None:
+    """Remove scratch folders, except those that ``but_for`` reads, and forget them."""
+    read = but_for.inputFiles() if paths else []
+    for path in list(paths):
+        if not any(path in name for name in read):
+            Folder(spark, path).delete()
+            paths.remove(path)
+
+
 def session(spark: SparkSession) -> SparkSession:
     """Session settings that bound a task's Arrow batches and let hot join keys be split."""
     configure(spark)
