@@ -51,15 +51,16 @@ def anchors(words: np.ndarray, min_words: int, window: int) -> tuple[np.ndarray,
     if n < min_words:
         return none, none, none
     seeds = run_keys(words, SEED_WORDS)[: n - min_words + window]
-    least = seeds
-    # Smallest seed of each window, by doubling the width.
+    # The high bits of the hash, then the position: the smallest is the leftmost of the smallest hashes.
+    low_bits = np.uint64((1 << 24) - 1)
+    least = (seeds & ~low_bits) | (np.arange(len(seeds), dtype=np.uint64) & low_bits)
     width = 1
-    while width < window:
+    while width < window:  # smallest of each window, by doubling the width
         by = min(width, window - width)
         least = np.minimum(least[: len(least) - by], least[by:])
         width += by
-    windows = np.lib.stride_tricks.sliding_window_view(seeds, window)
-    first = np.arange(len(least)) + (windows == least[:, None]).argmax(axis=1)
+    start = np.arange(len(least))
+    first = start + (((least & low_bits).astype(np.int64) - start) & int(low_bits))
     # The position of a start's own window hangs on the passage alone; it never goes back as starts go on.
     at, low, many = np.unique(first, return_index=True, return_counts=True)
     return at, low, low + many - 1
