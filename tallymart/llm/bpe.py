@@ -23,13 +23,13 @@ import pyarrow.fs as pafs
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import arrow_rows, scratch_dir, session, table
+from .common import arrow_rows, scratch_dir, session, stored, table
 from .registry import query
 from .warc import open_store
 
 # Fixed values of the vocabulary file's normaliser and word rule.
-SPACES = r"[\t-\r \x85\xa0  -     　]+"
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^ \p{L}\p{N}]+"
+SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACES + r"\p{L}\p{N}]+"
 
 
 def byte_letters() -> list[str]:
@@ -72,12 +72,19 @@ class Merger:
         return [i for p in parts if (i := self.ids.get(p)) is not None]
 
     def _short(self, parts: list[str]) -> list[str]:
-        ranks = self.ranks
-        while len(parts) > 1:
-            rank, at = min((ranks.get(pair, 1 << 30), i) for i, pair in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 30:
+        get, none = self.ranks.get, 1 << 30
+        found = [get(pair, none) for pair in zip(parts, parts[1:])]
+        while found:
+            least = min(found)
+            if least == none:
                 break
+            at = found.index(least)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del found[at]
+            if at:
+                found[at - 1] = get((parts[at - 1], parts[at]), none)
+            if at < len(found):
+                found[at] = get((parts[at], parts[at + 1]), none)
         return parts
 
     def _long(self, parts: list[str]) -> list[str]:
@@ -159,7 +166,7 @@ def save_lexicon(parts: dict[str, np.ndarray], uri: str) -> None:
     """One flat file: the lengths of the arrays, then the arrays."""
     store, path = open_store(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(path) as out:
+    with store.open_output_stream(path, compression=None) as out:
         out.write(np.array([len(parts[p]) for p in PARTS], "<i8").tobytes())
         for p in PARTS:
             out.write(parts[p].astype("<i8").tobytes())
@@ -171,9 +178,9 @@ class Lexicon:
     def __init__(self, uri: str):
         store, path = open_store(uri)
         if isinstance(store, pafs.LocalFileSystem):
-            flat = np.memmap(path, "<i8", "r")
+            flat = np.memmap(path, "<i8", "r").view(np.ndarray)
         else:
-            with store.open_input_stream(path) as source:
+            with store.open_input_stream(path, compression=None) as source:
                 flat = np.frombuffer(source.read(), "<i8")
         at = len(PARTS)
         for part, n in zip(PARTS, flat[:at].tolist()):
@@ -215,42 +222,55 @@ class Splitter:
     """Text to words as UTF-8 bytes; special strings come as their id."""
 
     def __init__(self, special: dict[str, int]):
-        self.spaces, self.words, self.special = regex.compile(SPACES), regex.compile(WORDS), special
+        self.words, self.special = regex.compile(WORDS), special
         self.marks = regex.compile("|".join(map(regex.escape, special))) if special else None
 
     def _plain(self, text: str) -> list[str]:
-        text = self.spaces.sub(" ", unicodedata.normalize("NFC", text))
-        # Lower case letter by letter: no special form of sigma at the end of a word.
-        return self.words.findall(text.replace("Σ", "σ").lower())
-
-    def split(self, text: str) -> Iterator[str | int]:
-        at = 0
-        for mark in self.marks.finditer(text) if self.marks else ():
-            yield from self._plain(text[at : mark.start()])
-            yield self.special[mark[0]]
+        # Blanks of any kind only part words here, so they need not become one space first.
+        if not text.isascii():
+            # Lower case letter by letter: no special form of sigma at the end of a word.
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return self.words.findall(text.lower())
+
+    def split(self, text: str) -> list[str | int]:
+        if not self.marks or not self.marks.search(text):
+            return self._plain(text)
+        out, at = [], 0
+        for mark in self.marks.finditer(text):
+            out += [*self._plain(text[at : mark.start()]), self.special[mark[0]]]
             at = mark.end()
-        yield from self._plain(text[at:] if at else text)
+        return out + self._plain(text[at:])
 
 
 def frequent_words(docs: DataFrame, text: str, special: dict[str, int], top: int) -> list[bytes]:
-    """The ``top`` most frequent words of all texts; counted in tasks first, then by Spark."""
+    """The most frequent words of all texts, ``top`` at most; counted in tasks first, then by Spark."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, counts = Splitter(special), Counter()
-        flush = lambda: pa.RecordBatch.from_arrays(
-            [pa.array([w.encode() for w in counts], pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"]
-        )
+
+        def flush() -> pa.RecordBatch:
+            rows = [(w.encode(), n) for w, n in counts.items() if isinstance(w, str) and len(w) <= 64]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.binary(), pa.int64()))], ["word", "n"])
+
         for batch in batches:
             for (t,) in arrow_rows(batch, text):
                 if t:
-                    counts.update(w for w in splitter.split(t) if isinstance(w, str) and len(w) <= 64)
+                    counts.update(splitter.split(t))
                 if len(counts) > 500_000:
                     yield flush()
                     counts.clear()
         yield flush()
 
-    counted = docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(top).collect()]
+    counted = stored(docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    # The lowest class of counts whose words are not too many; only those words reach the driver.
+    level = F.floor(F.log2("n") * 8).cast("int")
+    room, least = top, 1 << 30
+    for r in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    return [bytes(r.word) for r in counted.filter(level >= least).collect()]
 
 
 def build_lexicon(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, text: str = "text", top: int = 32_768) -> str:
@@ -272,7 +292,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> Iterator[list[list[int]]]:
         """For each text the ids of each of its words."""
-        split = [list(self.splitter.split(t)) if t else [] for t in texts]
+        split = [self.splitter.split(t) if t else [] for t in texts]
         new = [w for w in {w for words in split for w in words} if isinstance(w, str)]
         raw = [w.encode() for w in new]
         ids: dict[str | int, list[int]] = {i: [i] for i in self.splitter.special.values()}
