@@ -107,15 +107,17 @@ def edited_fingerprints(docs: DataFrame, bins: int = BINS) -> DataFrame:
     """
     session(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = rows.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.max(F.char_length("text")).alias("n"))
+    named = rows.filter("doc_id IS NOT NULL")
+    ids = named.groupBy(F.col("doc_id").alias("id")).agg(F.max(F.char_length("text")).alias("n"))
     chain = stored(neighbours(ids), "chain")
-    linked = rows.join(chain, rows.doc_id == chain.id, "left")  # this shuffle of the texts is used again below
+    linked = named.join(chain, named.doc_id == chain.id)  # this shuffle of the texts is used again below
     starts = (
-        linked.filter("prev_id IS NOT NULL").groupBy(F.col("prev_id").alias("id"))
+        linked.groupBy(F.col("prev_id").alias("id"))
         .agg(F.min(F.left("text", F.floor(F.col("prev_n") / 4).cast("int"))).alias("start"))
     )
     n, take = F.char_length("text"), F.floor(F.char_length("text") / 4).cast("int")
-    both = rows.join(starts, rows.doc_id == starts.id, "left").select(
+    started = named.join(starts, named.doc_id == starts.id, "left").select("doc_id", "text", "start")
+    both = started.unionAll(rows.filter("doc_id IS NULL").withColumn("start", F.lit(None).cast("string"))).select(
         "doc_id", "text", n.cast("long").alias("n_chars"),
         F.concat(F.left("text", n - take), F.left(F.coalesce("start", F.lit("")), take)).alias("edited"),
     )
