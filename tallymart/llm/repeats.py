@@ -117,25 +117,25 @@ def _shared_with_neighbour(sorted_rows: DataFrame) -> DataFrame:
 
 
 def _windows(docs: DataFrame, open_rows: DataFrame, min_words: int, window: int) -> DataFrame:
-    """Every start of the given suffixes with two keys: of the suffix and of its ``min_words`` words."""
+    """Every start of the given suffixes with two keys: of the suffix and of its ``min_words`` words; ``at`` is the suffix's place."""
     first_words = min_words - window + 1
     wanted = open_rows.groupBy("doc_id").agg(F.collect_set(F.struct("at", "low", "high")).alias("pieces"))  # bounded by the text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = word_keys()
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[np.empty(0, np.int64)] * 4]
+            parts: list[list[np.ndarray]] = [[np.empty(0, np.int64)] * 5]
             for doc_id, text, pieces in arrow_rows(batch, "doc_id", "text", "pieces"):
                 runs = RunHashes(key_array(split_words(text.encode()), keys))
                 at, low, high = (np.array([p[c] for p in pieces], np.int64) for c in ("at", "low", "high"))
                 many = high - low + 1
                 start = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
                 key = np.repeat(runs.of(at, at + first_words, 0), many)
-                parts.append([key.view(np.int64), runs.of(start, start + min_words, 1).view(np.int64), np.full(len(start), doc_id), start])
-            cols = [np.concatenate([p[i] for p in parts]) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if i < 3 else np.int32)) for i, c in enumerate(cols)], ["key", "piece", "doc_id", "start"])
+                parts.append([key.view(np.int64), runs.of(start, start + min_words, 1).view(np.int64), np.full(len(start), doc_id), start, np.repeat(at, many)])
+            cols = [np.concatenate([p[i] for p in parts]) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if i < 3 else np.int32)) for i, c in enumerate(cols)], ["key", "piece", "doc_id", "start", "at"])
 
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "pieces").mapInArrow(run, "key long, piece long, doc_id long, start int")
+    return docs.join(wanted, "doc_id").select("doc_id", "text", "pieces").mapInArrow(run, "key long, piece long, doc_id long, start int, at int")
 
 
 def _with_first(rows: DataFrame, start: str, min_words: int) -> DataFrame:
@@ -148,6 +148,13 @@ def _with_first(rows: DataFrame, start: str, min_words: int) -> DataFrame:
     )
 
 
+def _seen_earlier(pieces: DataFrame, starts: DataFrame) -> DataFrame:
+    """Kinds of pieces of which a start was first seen in an earlier document than the whole piece, with the smallest such id."""
+    leading = pieces.filter("first_doc_id = doc_id AND first_start = at").select("key", "piece", "doc_id", "at")
+    earlier = starts.filter("first_doc_id < doc_id").groupBy("doc_id", "at").agg(F.min("first_doc_id").alias("earlier"))
+    return leading.join(earlier, ["doc_id", "at"]).groupBy("key", "piece").agg(F.min("earlier").alias("first_doc_id"))
+
+
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, window: int | None = None) -> DataFrame:
     """``(doc_id, start_word, n_words, first_doc_id)``: maximal spans of words that occurred before.
 
@@ -168,7 +175,12 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, window: int | No
     pieces = stored(_with_first(shared, "at", min_words), "repeat-pieces")
     # A piece that repeats settles all its starts; the first of its kind stands for the others in the finer step.
     starts = stored(_with_first(_windows(docs, pieces.filter("NOT repeats"), min_words, window), "start", min_words).filter("repeats"), "repeat-starts")
+    # What the finer step finds for the first of its kind holds for the copies: they get a second row with the earlier document.
+    kinds = stored(_seen_earlier(pieces, starts).withColumn("_s", F.xxhash64("key", "piece")), "repeat-kinds")
+    copies = pieces.filter("repeats").drop("first_doc_id").withColumn("_s", F.xxhash64("key", "piece")).join(kinds, ["key", "piece", "_s"])
     found = pieces.filter("repeats").select("doc_id", "low", "high", "first_doc_id").unionAll(
+        copies.select("doc_id", "low", "high", "first_doc_id")
+    ).unionAll(
         starts.select("doc_id", F.col("start").alias("low"), F.col("start").alias("high"), "first_doc_id")
     ).select("doc_id", "low", (F.col("high") + min_words).alias("end"), "first_doc_id")
     along = Window.partitionBy("doc_id").orderBy("low", "end")

@@ -49,6 +49,15 @@ def test_passages_of_random_place_and_length(spark, seed):
     assert got == brute(rows, 20) and got
 
 
+def test_copies_of_a_document_that_holds_an_earlier_passage(spark):
+    run = lambda k, n: [f"{k}{i}" for i in range(n)]
+    passage = run("p", 55)
+    both = " ".join(run("c", 80) + passage + run("d", 80))
+    rows = [(1, " ".join(run("a", 60) + passage + run("b", 60))), (20, both), (30, both), (40, both + " z")]
+    got = spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == brute(rows, 50) and (30, 0, 215, 1) in got
+
+
 def test_passages_are_cut_once(spark, docs, corpus):
     out = without_repeats(docs.withColumn("extra", F.lit("x"))).collect()
     by_id = {r.doc_id: r for r in out}
