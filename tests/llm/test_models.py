@@ -99,6 +99,13 @@ def test_quality_keeps_prose_and_drops_junk(spark, docs, words, corpus):
     assert got[9001].n_tokens == 1 and got[None].perplexity > 0
 
 
+def test_quality_learns_from_five_hundred_documents_of_a_language(spark, monkeypatch):
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda sample: seen.append(sample.count()) or fit(sample))
+    df = spark.createDataFrame([(i, f"some plain words {i % 7}", "en") for i in range(1300)], "doc_id long, text string, lang string")
+    assert quality.rate_documents(df, df.select("doc_id")).count() == 1300 and seen == [500]
+
+
 def test_quality_model_is_a_distribution(spark):
     """Over all words of the vocabulary, the unknown class and the end, every context's shares add up to one."""
     rng = np.random.default_rng(3)
