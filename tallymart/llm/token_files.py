@@ -16,6 +16,8 @@ how many ids stand before each.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import uuid
 import zlib
 from array import array
@@ -29,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from .bpe import byte_letters
 from .common import arrow_rows, scratch_dir, session, stored, table
 from .registry import query
 from .warc import open_store
@@ -37,77 +40,115 @@ MAGIC = b"TOKENID1"
 HEADER, TAIL = len(MAGIC) + 32, 16 + len(MAGIC)
 DICTIONARY_BYTES, SAMPLES, SAMPLE_IDS = 112_640, 512, 2048  # a dictionary is learned from this many runs of so many ids
 SHARD_BYTES = 32 << 20  # frames of a file
-MEMO = 400_000  # words that a task remembers
+MEMO = 500_000  # words that a task remembers
 LEVEL = 3
 MARK = "\x01"  # parts words that are encoded in one call
-ENDS = b".,;:!?)]\""
+ENDS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)  # no apostrophe, which joins what follows
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")  # UTF-8 of a-z and of the small letters from U+00DF to U+00FF
+# What byte vocabularies write for those letters: one printable character for each byte.
+BYTES = {c: "".join(byte_letters()[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 MANIFEST = "shard int, name string, temporary string, documents long, tokens long, bytes long, sha256 string, dictionary string"
 ENCODED = "doc_id long, tie long, turn long, n_tokens long, crc long, frame binary"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+class _Numbers(dict):
+    """Numbers of words in the order in which they are met first."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        number = self[word] = len(self)
+        return number
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library.
 
-    ``parted``: no token of the vocabulary reaches over blanks, and a mark after a letter
-    or digit begins a token of its own.  A text's ids then are those of its words, and
-    words that occur again are remembered.  Otherwise texts are encoded whole.
+    ``parted`` is for vocabularies whose words are runs of letters, single digits or runs
+    of marks, put in small letters, with blanks left out.  A text's ids then are those of
+    its words, which are numbered: a word is encoded once, and a text's ids are gathered
+    by the numbers of its words.  Words that are letters throughout go straight to the
+    library's model.  Otherwise texts are encoded whole.
     """
 
     def __init__(self, path: str, parted: bool, memo: int = MEMO):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are what runs side by side
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.parted, self.memo, self.limit = parted, {}, memo
-        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.parted, self.limit = parted, memo
+        # Texts that may hold a special string are encoded whole, as it is written in them.
+        self.special = sorted({t.content[:2].encode() for t in self.library.get_added_tokens_decoder().values()})
         mark = self.library.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self._forget()
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _forget(self) -> None:
+        self.numbers = _Numbers()
+        self.at, self.size, self.flat = (np.empty(0, k) for k in (np.int64, np.int64, np.uint32))
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode words that are not known yet, many in one call, parted by the mark."""
-        plain, rest = [], []
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[bytes]) -> dict[bytes, list[int]]:
+        """Ids of distinct words: by the model if they are letters, else many in one call, parted by the mark."""
+        out, rest, model = {}, [], self.library.model
         for w in words:
-            (rest if self.mark is None or b"\x01" in w or any(s in w for s in self.special) else plain).append(w)
-        groups = [plain[i : i + 64] for i in range(0, len(plain), 64)]
-        joined = self._whole([f" {MARK} ".join([w.decode() for w in g]) for g in groups])
-        for group, ids in zip(groups, joined):
-            at = [-1, *np.flatnonzero(np.frombuffer(ids, "<u4") == self.mark).tolist(), len(ids) // 4]
-            if len(at) != len(group) + 1:
+            if w.isalpha() or LETTERS.fullmatch(w):  # each letter is its own normal form
+                text = w.decode()
+                out[w] = [token.id for token in model.tokenize(text if w.isascii() else text.translate(BYTES))]
+            else:
+                rest.append(w)
+        groups = [rest[i : i + 32] for i in range(0, len(rest), 32)] if self.mark is not None else [[w] for w in rest]
+        for group, ids in zip(groups, self._whole([f" {MARK} ".join([w.decode() for w in g]) for g in groups])):
+            cut = [-1, *(i for i, x in enumerate(ids) if x == self.mark), len(ids)]
+            if len(cut) != len(group) + 1:
                 raise ValueError("the vocabulary does not keep words apart")
-            for w, a, b in zip(group, at, at[1:]):
-                self.memo[w] = ids[4 * a + 4 : 4 * b]
-        self.memo.update(zip(rest, self._whole([w.decode() for w in rest])))
+            out.update((w, ids[a + 1 : b]) for w, a, b in zip(group, cut, cut[1:]))
+        return out
+
+    def _learn(self) -> None:
+        """Encode the words that were met first since the last time."""
+        words, self.numbers.new = self.numbers.new, []
+        cores = [w.rstrip(ENDS) for w in words]
+        # A mark after a letter or a digit begins a token.
+        cores = [c if c[-1:].isalnum() else w for c, w in zip(cores, words)]
+        parts = {*cores, *(w[len(c) :] for c, w in zip(cores, words) if len(c) < len(w))}
+        known = self._words(list(parts))
+        lists = [known[c] if len(c) == len(w) else known[c] + known[w[len(c) :]] for c, w in zip(cores, words)]
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as bytes; a null text has none."""
+        """The ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
         if not self.parted:
-            return self._whole([t or "" for t in texts])
-        split = []
-        for t in texts:
+            return [np.array(ids, "<u4").tobytes() for ids in self._whole([t or "" for t in texts])]
+        if len(self.numbers) > self.limit:
+            self._forget()
+        number, held, odd = self.numbers.__getitem__, [], {}
+        for i, t in enumerate(texts):
             data = (t or "").encode()
-            # The library makes letters small anyway, but for its special strings, which are as written.
-            split.append((data if any(s[:2] in data for s in self.special) else data.lower()).split())
-        if len(self.memo) > self.limit:
-            self.memo.clear()
-        memo = self.memo
-        ended, lone = [], []
-        for w in {w for words in split for w in words if w not in memo}:
-            core = w.rstrip(ENDS)
-            if len(core) < len(w) and core[-1:].isalnum():
-                ended.append((w, core, w[len(core) :]))
-            else:
-                lone.append(w)
-        new = {p for _, core, end in ended for p in (core, end) if p not in memo}
-        new.update(lone)
-        self._learn(sorted(new))
-        for w, core, end in ended:
-            memo[w] = memo[core] + memo[end]
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
+            if b"\x01" in data or any(s in data for s in self.special):
+                odd[i], data = t, b""
+            words = data.lower().split()
+            held.append(np.fromiter(map(number, words), np.int64, len(words)))
+        if self.numbers.new:
+            self._learn()
+        out = []
+        for which in held:
+            size = self.size[which]
+            place = np.repeat(self.at[which] - np.cumsum(size) + size, size)
+            out.append(self.flat[place + np.arange(len(place))].astype("<u4", copy=False).tobytes())
+        for i, ids in zip(odd, self._whole(list(odd.values()))):
+            out[i] = np.array(ids, "<u4").tobytes()
+        return out
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
