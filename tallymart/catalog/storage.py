@@ -17,6 +17,7 @@ from ..plans import load, marts
 from ..schemas import CSV_FILES
 from ..session import scratch_dir
 from ..sources import readers, writers
+from ..sources.store import Conflict, Store, merge_fact
 from . import logs as _logs  # noqa: F401  its queries are used below
 from .registry import END, QUERIES, SQL, START, query
 from .sales import DAILY_SALES
@@ -196,8 +197,7 @@ FROM st_items i JOIN st_orders o ON i.order_id = o.order_id"""))
 def etl_run(t):
     folder, target = scratch_dir(t.spark, "extracts"), scratch_dir(t.spark, "star")
     write_extracts(t, folder)
-    paths = load.etl_run(t.spark, folder, target, translated=False, chunk="month")
-    fact = t.spark.read.parquet(paths["fact_sales"])
+    fact = load.etl_run(t.spark, folder, target, translated=False, chunk="month").read("fact_sales")
     return fact.select(
         "order_id",
         "order_item_id",
@@ -209,7 +209,7 @@ def etl_run(t):
     )
 
 
-def _star_rows(t, paths: dict[str, str]):
+def _star_rows(store):
     """All five stored tables as rows of table, key and two cells."""
     text = lambda c: F.col(c).cast("string")
     cells = {
@@ -220,7 +220,7 @@ def _star_rows(t, paths: dict[str, str]):
         "fact_sales": (F.concat_ws("-", "order_id", "order_item_id"), text("customer_id"), text("order_date")),
     }
     frames = [
-        t.spark.read.parquet(paths[name]).select(F.lit(name).alias("stored"), k.alias("key"), a.alias("a"), b.alias("b"))
+        store.read(name).select(F.lit(name).alias("stored"), k.alias("key"), a.alias("a"), b.alias("b"))
         for name, (k, a, b) in cells.items()
     ]
     return reduce(lambda x, y: x.unionByName(y), frames)
@@ -255,14 +255,42 @@ def _rerun(name: str, chunk: str):
             )
             folder = scratch_dir(t.spark, "extracts")
             write_extracts(part, folder)
-            paths = load.etl_run(t.spark, folder, target, translated=False, chunk=chunk)
-        return _star_rows(t, paths)
+            store = load.etl_run(t.spark, folder, target, translated=False, chunk=chunk)
+        return _star_rows(store)
 
 
 _rerun("etl_rerun_day", "day")
 _rerun("etl_rerun_month", "month")
 
 
+@query("etl_crash_safe", with_staging("""
+SELECT order_id, CAST(order_item_id AS INT) AS order_item_id, CASE WHEN pmod2 = 0 THEN NULL ELSE order_date END AS order_date,
+  CAST(total_amount AS DOUBLE) + CASE WHEN pmod2 = 1 THEN 1 ELSE 0 END AS amount
+FROM (SELECT *, order_id % 3 AS pmod2 FROM fact_sales)"""))
+def etl_crash_safe(t):
+    """A fact with rows that have no date, merged; a run lost before it is published and one that was overtaken change nothing."""
+    store = Store(t.spark, scratch_dir(t.spark, "star"))
+    third = F.col("order_id") % 3
+    fact = t.fact_sales().select(
+        "order_id", F.col("order_item_id").cast("int").alias("order_item_id"), F.when(third != 0, F.col("order_date")).alias("order_date"),
+        F.col("total_amount").cast("double").alias("amount"),
+    )
+    keys, moved = ["order_id", "order_item_id"], F.when(third == 1, F.col("amount") + 1).otherwise(F.col("amount")).alias("amount")
+    with store.transaction() as change:
+        merge_fact(change, "fact", fact, keys, chunk="month")
+    lost = store.transaction()
+    change = lost.__enter__()
+    merge_fact(change, "fact", fact.withColumn("amount", F.lit(-1.0)), keys, chunk="month")  # never published
+    try:
+        with store.transaction() as slow:
+            slow.replace("fact", fact.limit(0))
+            with store.transaction() as fast:  # some rows change, some come anew
+                merge_fact(fast, "fact", fact.where(third != 2).select(*keys, "order_date", moved), keys, chunk="month")
+    except Conflict:
+        return store.read("fact").select(*keys, "order_date", "amount")
+    raise ValueError("a writer that was overtaken has published")
+
+
 @query("store_dimension", with_staging("""
 SELECT customer_id, customer_region, CASE WHEN customer_region = 'EUROPE' THEN 'MOVED' ELSE customer_segment END
   AS customer_segment FROM st_customers"""))

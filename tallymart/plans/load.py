@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import customers as cust, products as prod, sales, warehouse
 from ..sources.readers import read_extract
-from ..sources.writers import merge_by_time, store_dimension, write_csv_results
+from ..sources.store import Store, merge_dimension, merge_fact
+from ..sources.writers import write_csv_results
 
 
 def build_star(
@@ -46,11 +47,13 @@ def etl_run(
     translated: bool = True,
     chunk: str = "day",
     files: dict[str, str] | None = None,
-) -> dict[str, str]:
+) -> Store:
     """Read the extracts of a folder and merge them into the stored star schema.
 
     Rows of a key that is stored already replace the stored ones, all others
-    are added, so extracts may overlap and a run may be repeated.
+    are added, so extracts may overlap and a run may be repeated.  All five
+    tables change at once: a run that fails leaves the old version, and of two
+    runs at a time one raises ``Conflict``.
 
     ``files`` maps short names to file names where those differ.
 
@@ -73,13 +76,14 @@ def etl_run(
         frames["sellers"],
         names,
     )
-    target = target.rstrip("/")
-    for name, df in star.items():
-        if name == "fact_sales":
-            merge_by_time(df, f"{target}/{name}", KEYS[name], "order_date", chunk)
-        else:
-            store_dimension(df, f"{target}/{name}", KEYS[name])
-    return {name: f"{target}/{name}" for name in star}
+    store = Store(spark, target)
+    with store.transaction() as change:
+        for name, df in star.items():
+            if name == "fact_sales":
+                merge_fact(change, name, df, KEYS[name], "order_date", chunk)
+            else:
+                merge_dimension(change, name, df, KEYS[name])
+    return store
 
 
 def analysis_results(

@@ -141,13 +141,15 @@ def merge_by_time(
     old = spark.read.parquet(path)
     same_key = old.join(rows.select(*keys), keys, "left_semi").select(part).distinct()
     touched = stored(rows.select(part).distinct().unionAll(same_key).distinct(), "merge-chunks")
-    kept = old.join(touched, part, "left_semi").join(rows.select(*keys), keys, "left_anti")
+    known = touched.select(F.col(part).alias("_chunk"))  # a row without a date is in a chunk too
+    kept = old.join(known, F.col(part).eqNullSafe(F.col("_chunk")), "left_semi").join(rows.select(*keys), keys, "left_anti")
     merged = stored(kept.select(*rows.columns).unionAll(rows), "merge-rows")
     # A chunk whose rows all moved elsewhere; one name per chunk without rows.
-    empty = touched.where(F.col(part).isNotNull()).join(merged.select(part), part, "left_anti").collect()
+    left = merged.select(F.col(part).alias("_chunk")).distinct()
+    empty = touched.join(left, F.col(part).eqNullSafe(F.col("_chunk")), "left_anti").collect()
     by_time(merged, part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
     for (value,) in empty:
-        folder.delete(f"/{part}={value}")
+        folder.delete(f"/{part}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}")
 
 
 def write_mart(df: DataFrame, path: str, column: str = "date") -> None:

@@ -98,13 +98,13 @@ def test_load_from_extracts(spark, tmp_path):
     put(folder / "category_translation.csv",
         "product_category_name,product_category_name_english\nbeleza,health_beauty\n", "utf-8-sig")
     for _ in range(2):
-        paths = load.etl_run(spark, str(folder), str(tmp_path / "star"))
-    fact = {r.order_id: r for r in spark.read.parquet(paths["fact_sales"]).collect()}
+        star = load.etl_run(spark, str(folder), str(tmp_path / "star"))
+    fact = {r.order_id: r for r in star.read("fact_sales").collect()}
     assert float(fact["o1"].total_amount) == 11.75 and fact["o1"].delivery_delay_days == -1 and fact["o1"].shipping_days == 3
     assert fact["o2"].delivery_delay_days is None and str(fact["o2"].order_date) == "2024-01-02"
-    dim = {r.product_id: r for r in spark.read.parquet(paths["dim_product"]).collect()}
+    dim = {r.product_id: r for r in star.read("dim_product").collect()}
     assert dim["p1"].product_category_name_english == "health_beauty" and dim["p2"].product_volume_cm3 == 64
-    assert spark.read.parquet(paths["dim_date"]).count() == 2 and spark.read.parquet(paths["dim_seller"]).count() == 1
+    assert star.read("dim_date").count() == 2 and star.read("dim_seller").count() == 1 and star.version() == 2
 
 
 def test_date_partitions_are_pruned(spark, rows, tmp_path):
@@ -202,3 +202,15 @@ def test_ranges_prune_stored_facts(spark, tmp_path, chunk):
 
     got = between_dates(stored, "order_timestamp", "2024-02-03 05:00:00", "2024-02-20 05:00:00")
     assert got.count() == 18 and "PartitionFilters: []" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("chunk", ["day", "week", "month"])
+def test_merging_keeps_rows_without_a_date(spark, rows, tmp_path, chunk):
+    schema, path = "id int, order_date date, x int", str(tmp_path / "fact")
+    read = lambda: sorted((r.id, str(r.order_date), r.x) for r in spark.read.parquet(path).collect())
+    merge = lambda *data: writers.merge_by_time(rows(schema, *data), path, ["id"], chunk=chunk)
+    merge((1, None, 1), (2, None, 2), (3, "2024-01-02", 3))
+    merge((9, None, 9), (1, "2024-01-02", 10))  # a key leaves the rows without a date, another one comes
+    assert read() == [(1, "2024-01-02", 10), (2, "None", 2), (3, "2024-01-02", 3), (9, "None", 9)]
+    merge((2, "2024-01-02", 2), (9, "2024-01-02", 9))  # none is left without a date
+    assert read() == [(1, "2024-01-02", 10), (2, "2024-01-02", 2), (3, "2024-01-02", 3), (9, "2024-01-02", 9)]
