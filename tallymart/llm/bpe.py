@@ -59,36 +59,96 @@ class Vocabulary:
         )
 
 
+NO_PAIR = 1 << 30
+
+
 class Merger:
-    """Exact merging of a word, given as a string of byte letters."""
+    """Exact merging of words, given in UTF-8; many words side by side."""
+
+    WIDTHS = (4, 8, 12, 16, 24, 48)  # words of about one length share a matrix; longer ones go one by one
 
     def __init__(self, vocabulary: Vocabulary):
         self.ids, self.ranks, self.end = vocabulary.ids, vocabulary.ranks, vocabulary.word_end
+        self.letters = byte_letters()
+        # Numbers of parts: ids where they have one, else numbers above them.
+        number = dict(self.ids)
+        for part in [x for letter in self.letters for x in (letter, letter + self.end)] + [x for pair in self.ranks for x in (*pair, pair[0] + pair[1])]:
+            number.setdefault(part, len(number))
+        self.known = np.zeros(len(number), bool)
+        self.known[[number[p] for p in self.ids]] = True
+        self.inner, self.last = (np.array([number[letter + end] for letter in self.letters], np.int64) for end in ("", self.end))
+        pairs = np.array([(number[a] << 32 | number[b], rank, number[a + b]) for (a, b), rank in self.ranks.items()], np.int64).reshape(-1, 3)
+        self.pairs, self.rank, _ = pairs[np.argsort(pairs[:, 0])].T.copy()
+        self.merged = np.zeros(int(pairs[:, 1].max(initial=0)) + 1, np.int64)  # by rank
+        self.merged[pairs[:, 1]] = pairs[:, 2]
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair of parts, NO_PAIR for parts that never merge."""
+        key = a << 32 | np.maximum(b, 0)
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == key) & (b >= 0), self.rank[at], NO_PAIR)
+
+    def _side_by_side(self, words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Parts of each word, filled up with -1, and their number: in every step each word merges its first pair of least rank."""
+        n, size = len(words), np.fromiter(map(len, words), np.int64, len(words))
+        raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(n, width)
+        column, row = np.arange(width), np.arange(n)
+        part = np.where(column < size[:, None], self.inner[raw], -1)
+        part[row, size - 1] = self.last[raw[row, size - 1]]
+        rank = np.full((n, width), NO_PAIR)
+        rank[:, :-1] = self._ranks(part[:, :-1].ravel(), part[:, 1:].ravel()).reshape(n, width - 1)
+        done, live = np.full((n, width), -1), row
+        while len(live):
+            at = rank.argmin(1)
+            i = np.arange(len(live))
+            least = rank[i, at]
+            over = least == NO_PAIR
+            if over.any():
+                done[live[over]] = part[over]
+                live, part, rank, at, least = live[~over], part[~over], rank[~over], at[~over], least[~over]
+                if not len(live):
+                    break
+                i = np.arange(len(live))
+            # What stands after the pair moves up by one.
+            source = np.minimum(column + (column > at[:, None]), width - 1)
+            part, rank = np.take_along_axis(part, source, 1), np.take_along_axis(rank, source, 1)
+            part[i, -1], rank[i, -1] = -1, NO_PAIR
+            part[i, at] = self.merged[least]
+            right = np.minimum(at + 1, width - 1)
+            rank[i, at] = np.where(at + 1 < width, self._ranks(part[i, at], part[i, right]), NO_PAIR)
+            left = at > 0
+            rank[i[left], at[left] - 1] = self._ranks(part[i[left], at[left] - 1], part[i[left], at[left]])
+        return done, (done >= 0).sum(1)
+
+    def merge_all(self, words: list[bytes], together: int = 20_000) -> list[np.ndarray]:
+        """The ids of each word; a part without an id is left out, as the library does where there is no unknown token."""
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        low = 0
+        for width in self.WIDTHS if len(self.pairs) else ():
+            mine = np.flatnonzero((size > low) & (size <= width))
+            for k in range(0, len(mine), together):
+                which = mine[k : k + together].tolist()
+                parts, number = self._side_by_side([words[i] for i in which], width)
+                flat = parts[parts >= 0]
+                if not self.known.all() and not self.known[flat].all():
+                    number = np.array([int(self.known[p[p >= 0]].sum()) for p in parts])
+                    flat = flat[self.known[flat]]
+                ends = np.cumsum(number).tolist()
+                for i, a, b in zip(which, [0, *ends], ends):
+                    out[i] = flat[a:b]
+            low = width
+        for i in np.flatnonzero(size > low).tolist():
+            out[i] = np.array(self.merge(words[i]), np.int64)
+        return out
 
-    def merge(self, word: str) -> list[int]:
-        parts = [*word[:-1], word[-1] + self.end]
-        parts = self._short(parts) if len(parts) < 48 else self._long(parts)
-        # The file has no unknown token: a part without an id is left out, as the library does.
+    def merge(self, word: bytes) -> list[int]:
+        """One word of any length in n log n, with a heap and linked parts."""
+        letters = [self.letters[b] for b in word]
+        parts = self._linked([*letters[:-1], letters[-1] + self.end]) if letters else []
         return [i for p in parts if (i := self.ids.get(p)) is not None]
 
-    def _short(self, parts: list[str]) -> list[str]:
-        get, none = self.ranks.get, 1 << 30
-        found = [get(pair, none) for pair in zip(parts, parts[1:])]
-        while found:
-            least = min(found)
-            if least == none:
-                break
-            at = found.index(least)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del found[at]
-            if at:
-                found[at - 1] = get((parts[at - 1], parts[at]), none)
-            if at < len(found):
-                found[at] = get((parts[at], parts[at + 1]), none)
-        return parts
-
-    def _long(self, parts: list[str]) -> list[str]:
-        """The same with a heap and linked parts: a word of any length in n log n."""
+    def _linked(self, parts: list[str]) -> list[str]:
         ranks, n = self.ranks, len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, p) for i, p in enumerate(zip(parts, parts[1:])) if (r := ranks.get(p)) is not None]
@@ -214,8 +274,8 @@ class Lexicon:
             depth += 1
         return out
 
-    def ids_of(self, number: int) -> list[int]:
-        return self.ids[self.starts[number] : self.starts[number + 1]].tolist()
+    def ids_of(self, number: int) -> np.ndarray:
+        return self.ids[self.starts[number] : self.starts[number + 1]]
 
 
 class Splitter:
@@ -242,23 +302,54 @@ class Splitter:
         return out + self._plain(text[at:])
 
 
+# Marks that begin a word of their own after a letter or digit; an apostrophe may join what follows.
+ENDS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+
+
+def split_pieces(splitter: Splitter, pieces: list[bytes]) -> list[list[bytes]]:
+    """The words of each piece between blanks; most are letters and a few marks after them."""
+    out = []
+    for piece in pieces:
+        core = piece.rstrip(ENDS)
+        if core.isalpha():  # ASCII letters
+            out.append([core, piece[len(core) :]] if len(core) < len(piece) else [core])
+        else:
+            out.append([w.encode() for w in splitter._plain(piece.decode())])
+    return out
+
+
+def plain_pieces(text: str, special: list[bytes]) -> list[bytes] | None:
+    """The pieces between blanks, A-Z in lower case; None if the text may hold a special string, which is as written."""
+    data = text.encode()
+    return None if any(s in data for s in special) else data.lower().split()
+
+
 def frequent_words(docs: DataFrame, text: str, special: dict[str, int], top: int) -> list[bytes]:
     """The most frequent words of all texts, ``top`` at most; counted in tasks first, then by Spark."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, counts = Splitter(special), Counter()
+        splitter, counts, pieces = Splitter(special), Counter(), Counter()
+        begins = sorted({s[:2].encode() for s in special})
 
         def flush() -> pa.RecordBatch:
-            rows = [(w.encode(), n) for w, n in counts.items() if isinstance(w, str) and len(w) <= 64]
+            for words, n in zip(split_pieces(splitter, list(pieces)), pieces.values()):
+                for w in words:
+                    counts[w] += n
+            rows = [(w, n) for w, n in counts.items() if len(w) <= 64]
+            pieces.clear()
+            counts.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.binary(), pa.int64()))], ["word", "n"])
 
         for batch in batches:
             for (t,) in arrow_rows(batch, text):
-                if t:
-                    counts.update(splitter.split(t))
-                if len(counts) > 500_000:
+                if not t:
+                    continue
+                if (found := plain_pieces(t, begins)) is not None:
+                    pieces.update(found)
+                else:
+                    counts.update(w.encode() for w in splitter.split(t) if isinstance(w, str))
+                if len(pieces) + len(counts) > 400_000:
                     yield flush()
-                    counts.clear()
         yield flush()
 
     counted = stored(docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
@@ -274,39 +365,85 @@ def frequent_words(docs: DataFrame, text: str, special: dict[str, int], top: int
 
 
 def build_lexicon(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, text: str = "text", top: int = 32_768) -> str:
-    """Compile the ``top`` most frequent words (of up to 64 characters) to a file in the shared folder; its place."""
+    """Compile the ``top`` most frequent words (of up to 64 bytes) to a file in the shared folder; its place."""
     session(spark)
-    merger, letters = Merger(vocabulary), byte_letters()
-    words = {w: merger.merge("".join(letters[b] for b in w)) for w in frequent_words(docs, text, vocabulary.special, top)}
+    words = frequent_words(docs, text, vocabulary.special, top)
     uri = f"{scratch_dir(spark, 'lexicon')}/words.bin"
-    save_lexicon(compile_lexicon(words), uri)
+    save_lexicon(compile_lexicon({w: ids.tolist() for w, ids in zip(words, Merger(vocabulary).merge_all(words))}), uri)
     return uri
 
 
+class _Numbers(dict):
+    """Numbers of pieces in the order in which they are met first."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        self.new.append(piece)
+        number = self[piece] = len(self)
+        return number
+
+
 class Encoder:
-    """Encodes batches of texts with the automaton, and unknown words by merging."""
+    """Encodes batches of texts with the automaton, and unknown words by merging.
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, memo: int = 300_000):
+    Pieces between blanks are numbered as they are met.  Only a piece that is new is split
+    into words, which the automaton looks up or which are merged; a text's ids are gathered
+    by the numbers of its pieces.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, memo: int = 400_000):
         self.lexicon, self.merger, self.splitter = lexicon, Merger(vocabulary), Splitter(vocabulary.special)
-        self.letters, self.memo, self.limit = byte_letters(), {}, memo
-
-    def encode(self, texts: list[str | None]) -> Iterator[list[list[int]]]:
-        """For each text the ids of each of its words."""
-        split = [self.splitter.split(t) if t else [] for t in texts]
-        new = [w for w in {w for words in split for w in words} if isinstance(w, str)]
-        raw = [w.encode() for w in new]
-        ids: dict[str | int, list[int]] = {i: [i] for i in self.splitter.special.values()}
-        for word, data, number in zip(new, raw, self.lexicon.numbers(raw).tolist()):
-            if number >= 0:
-                ids[word] = self.lexicon.ids_of(number)
-                continue
-            if (found := self.memo.get(word)) is None:
-                if len(self.memo) >= self.limit:
-                    self.memo.clear()
-                found = self.memo[word] = self.merger.merge("".join(self.letters[b] for b in data))
-            ids[word] = found
-        for words in split:
-            yield [ids[w] for w in words]
+        self.begins, self.limit = sorted({s[:2].encode() for s in vocabulary.special}), memo
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = _Numbers()
+        self.at, self.size, self.flat = (np.empty(0, k) for k in (np.int64, np.int64, np.uint32))
+
+    def _words(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
+        """Ids of distinct words."""
+        number = self.lexicon.numbers(words)
+        out = {words[i]: self.lexicon.ids_of(int(number[i])) for i in np.flatnonzero(number >= 0).tolist()}
+        rest = [words[i] for i in np.flatnonzero(number < 0).tolist()]
+        out.update(zip(rest, self.merger.merge_all(rest)))
+        return out
+
+    def _learn(self) -> None:
+        pieces, self.numbers.new = self.numbers.new, []
+        split = split_pieces(self.splitter, pieces)
+        ids = self._words(list({w for words in split for w in words}))
+        lists = [ids[w] for words in split for w in words]
+        flat = np.concatenate([np.empty(0, np.int64), *lists]).astype(np.uint32)
+        word_ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
+        ends = word_ends[np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]
+        size = np.diff(ends, prepend=0)
+        self.at = np.concatenate([self.at, len(self.flat) + ends - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self.numbers) > self.limit:
+            self._forget()
+        number, held, odd = self.numbers.__getitem__, [], {}
+        for i, t in enumerate(texts):
+            pieces = plain_pieces(t, self.begins) if t else []
+            if pieces is None:
+                odd[i], pieces = self.splitter.split(t), []
+            held.append(np.fromiter(map(number, pieces), np.int64, len(pieces)))
+        if self.numbers.new:
+            self._learn()
+        out = []
+        for which in held:
+            size = self.size[which]
+            place = np.repeat(self.at[which] - np.cumsum(size) + size, size)
+            out.append(self.flat[place + np.arange(len(place))])
+        ids = self._words(list({w.encode() for words in odd.values() for w in words if isinstance(w, str)}))
+        for i, words in odd.items():
+            out[i] = np.concatenate([np.empty(0, np.int64), *([w] if isinstance(w, int) else ids[w.encode()] for w in words)]).astype(np.uint32)
+        return out
 
 
 def encode_texts(docs: DataFrame, vocabulary: Vocabulary, lexicon_uri: str, text: str = "text", with_ids: bool = True) -> DataFrame:
@@ -326,13 +463,13 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, lexicon_uri: str, text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         encoder = Encoder(vocabulary, Lexicon(lexicon_uri))
-        token = {i: t for t, i in vocabulary.ids.items()} | {i: t for t, i in vocabulary.special.items()}
+        names = {i: t for t, i in vocabulary.ids.items()} | {i: t for t, i in vocabulary.special.items()}
+        token = np.array([names.get(i) for i in range(max(names, default=-1) + 1)], object)
         for batch in batches:
             rows = []
-            for words in encoder.encode([t for (t,) in arrow_rows(batch, text)]):
-                ids = np.array([i for w in words for i in w], "<u4")
-                decoded = " ".join([token[i] for i in ids.tolist()])
-                row = [len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
+            for ids in encoder.encode([t for (t,) in arrow_rows(batch, text)]):
+                decoded = " ".join(token[ids].tolist())
+                row = [len(ids), hashlib.sha256(ids.astype("<u4", copy=False)).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
                 rows.append(row + ([ids, decoded] if with_ids else []))
             kinds = [pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32()), pa.string()] if with_ids else [])]
             arrays = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]

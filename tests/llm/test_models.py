@@ -151,13 +151,20 @@ def test_bpe_lexicon_is_minimal_and_exact(tmp_path):
     lexicon = bpe.Lexicon(str(tmp_path / "x/words.bin"))
     numbers = lexicon.numbers(list(words))
     assert sorted(numbers.tolist()) == list(range(len(words)))
-    assert [lexicon.ids_of(n) for n in numbers.tolist()] == list(words.values())
+    assert [lexicon.ids_of(n).tolist() for n in numbers.tolist()] == list(words.values())
     assert lexicon.numbers([b"thin", b"ringsx", b"zz"]).tolist() == [-1] * 3
     starts = {w[:i] for w in words for i in range(len(w) + 1)}
     assert len(flat["final"]) == len({frozenset(w[len(p) :] for w in words if w.startswith(p)) for p in starts})
     assert bpe.Lexicon.numbers(lexicon, []).tolist() == []
 
 
+def test_bpe_merges_side_by_side_as_one_by_one():
+    merger = bpe.Merger(bpe.Vocabulary.load(bpe.vocabulary_path()))
+    rng = random.Random(8)
+    words = [bytes(rng.choice(b"abeinrst\xc3\xa9\xff0.") for _ in range(rng.choice([1, 2, 3, 5, 8, 9, 13, 20, 40, 48, 49, 90]))) for _ in range(3000)]
+    assert [ids.tolist() for ids in merger.merge_all(words, together=500)] == [merger.merge(w) for w in words] and merger.merge_all([]) == []
+
+
 def test_bpe_of_no_rows(spark, nothing):
     vocabulary = bpe.Vocabulary.load(bpe.vocabulary_path())
     uri = bpe.build_lexicon(spark, nothing, vocabulary)
