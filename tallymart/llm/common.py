@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from ..session import DEFAULTS, configure, scratch_dir as _scratch_dir
 from ..sources.writers import Folder
@@ -68,6 +69,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def smallest_of(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
+    """The ``k`` first rows of each group by ``order``, whose first part is a hash.
+
+    A group is first cut by that hash, so no task sees all rows of a large one: the last
+    step has at most ``k`` rows of each cut.
+    """
+    cut = F.pmod(order[0], F.lit(256))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    rank = F.row_number().over(Window.partitionBy(*group, cut).orderBy(*order))
+    few = df.select(*columns, rank.alias("_rank")).filter(F.col("_rank") <= k).select(*columns)
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return few.select(*columns, rank.alias("_rank")).filter(F.col("_rank") <= k).select(*columns)
+
+
 def split_words(data: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes, A-Z in lower case.
 

@@ -300,16 +300,14 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     least = percent / 100
     drawn = stored(sketch_documents(docs, size), "near-sketches")
     usable = drawn.filter("doc_id IS NOT NULL AND n_shingles > 0")
+    # Rows that repeat an id with different sets are linked as rows first.
+    if usable.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").limit(1).count():
+        return _link_rows(docs, size, percent)
     classes = stored(
         usable.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "registers")).alias("c"))
         .select("digest", F.col("c.id").alias("id"), F.col("c.n").alias("n"), F.col("c.registers").alias("registers")),
         "near-classes",
     )
-    # An id that stands for several classes (rows that repeat an id) is kept apart from the others.
-    single = classes.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select("id")
-    repeated = single.limit(1).count() > 0
-    if repeated:
-        return _link_rows(docs, size, percent)
     bands = stored(_bands(classes), "near-bands")
     full = bands.groupBy("key").agg(
         F.count("*").alias("k"),

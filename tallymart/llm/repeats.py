@@ -2,9 +2,9 @@
 
 Of all suffixes of all texts only those that begin at content-selected positions are
 kept: in every window of neighbouring positions, the one whose next words have the
-smallest hash.  Equal passages select equal positions.  The kept suffixes are sorted over
-the whole cluster, and a suffix that shares its first words with neither neighbour is
-dropped.  From the others, matches are extended to the left as far as the selected
+smallest hash.  Equal passages select equal positions.  The kept suffixes are sorted in
+every task, which holds all suffixes with the same first words, and one that shares these
+with neither neighbour is dropped.  From the others, matches are extended to the left as far as the selected
 position before, and to the right to the wanted length: first in one piece for each
 suffix, then word by word where the whole piece did not match.
 """
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
-from .common import arrow_rows, key_array, mix64, run_keys, session, split_words, stored, table, word_keys
+from .common import arrow_rows, free_name, key_array, mix64, run_keys, session, split_words, stored, table, word_keys
 from .registry import query
 
 MIN_WORDS = 50
@@ -66,9 +66,26 @@ def anchors(words: np.ndarray, min_words: int, window: int) -> tuple[np.ndarray,
     return at, low, low + many - 1
 
 
-def _suffixes(docs: DataFrame, min_words: int, window: int) -> DataFrame:
-    """A row for each kept suffix: key of its first words, key of its whole piece, place, and starts that hang on it."""
+HOT_RATE, HOT_KEYS, HOT_SALTS = 64, 10_000, 1024  # one document in so many is asked for frequent suffixes, so many of which are dealt so wide
+
+
+def _frequent(docs: DataFrame, min_words: int, window: int) -> np.ndarray:
+    """Keys of suffixes that occur often in a sample of the documents, a bounded number, in ascending order.
+
+    They only decide which task a suffix goes to, never whether it is found.
+    """
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(HOT_RATE)) == 0)
+    counted = _suffixes(some, min_words, window).groupBy("key").agg(F.count("*").alias("n")).filter("n >= 8")
+    return np.sort(np.array([r.key for r in counted.orderBy(F.desc("n"), "key").limit(HOT_KEYS).collect()], np.int64))
+
+
+def _suffixes(docs: DataFrame, min_words: int, window: int, frequent: np.ndarray | None = None) -> DataFrame:
+    """A row for each kept suffix: key of its first words, key of its whole piece, place, and starts that hang on it.
+
+    ``salt`` is above 0 for suffixes with one of the ``frequent`` keys.
+    """
     first_words = min_words - window + 1
+    hot = np.empty(0, np.int64) if frequent is None else frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = word_keys()
@@ -85,15 +102,19 @@ def _suffixes(docs: DataFrame, min_words: int, window: int) -> DataFrame:
                     piece = mix64(runs.of(low, high + min_words, 1) + (high - low).astype(np.uint64) * np.uint64(4096) + (at - low).astype(np.uint64))
                     parts.append([key.view(np.int64), piece.view(np.int64), np.full(len(at), doc_id), at, low, high])
             cols = [np.concatenate([p[i] for p in parts]) for i in range(6)]
+            salt = np.zeros(len(cols[0]), np.int64)
+            if len(hot):
+                known = hot[np.minimum(np.searchsorted(hot, cols[0]), len(hot) - 1)] == cols[0]
+                salt[known] = (mix64(cols[2][known].astype(np.uint64) * np.uint64(1 << 20) + cols[3][known].astype(np.uint64)) % np.uint64(HOT_SALTS)).astype(np.int64) + 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c.astype(np.int64 if i < 3 else np.int32)) for i, c in enumerate(cols)], ["key", "piece", "doc_id", "at", "low", "high"]
+                [pa.array(c.astype(np.int64 if i < 3 else np.int32)) for i, c in enumerate([*cols, salt])], ["key", "piece", "doc_id", "at", "low", "high", "salt"]
             )
 
-    return docs.mapInArrow(run, "key long, piece long, doc_id long, at int, low int, high int")
+    return docs.mapInArrow(run, "key long, piece long, doc_id long, at int, low int, high int, salt int")
 
 
 def _shared_with_neighbour(sorted_rows: DataFrame) -> DataFrame:
-    """Rows whose key equals a neighbour's; the edge rows of a partition stay, as their neighbour is elsewhere."""
+    """Rows whose key equals a neighbour's, and those of frequent keys; the edge rows of a partition stay, as their neighbour may be elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last row so far, whose next neighbour is not known yet
@@ -105,15 +126,16 @@ def _shared_with_neighbour(sorted_rows: DataFrame) -> DataFrame:
             rows = batch if held is None else pa.concat_batches([held, batch])
             key = rows.column(0).to_numpy()
             same = key[1:] == key[:-1]
-            keep = np.concatenate([[at_edge or before == key[0]], same[:-1]]) if len(key) > 1 else np.empty(0, bool)
-            yield rows.slice(0, len(key) - 1).filter(pa.array(keep | same if len(key) > 1 else keep))
+            keep = np.concatenate([[at_edge or before == key[0]], same[:-1]]) | same if len(key) > 1 else np.empty(0, bool)
+            keep |= rows.column(6).to_numpy()[:-1] > 0
+            yield rows.slice(0, len(key) - 1).filter(pa.array(keep)).select(list(range(6)))
             if len(key) > 1:
                 before, at_edge = int(key[-2]), False
             held = rows.slice(len(key) - 1)
         if held is not None:
-            yield held
+            yield held.select(list(range(6)))
 
-    return sorted_rows.mapInArrow(run, sorted_rows.schema)
+    return sorted_rows.mapInArrow(run, sorted_rows.drop("salt").schema)
 
 
 def _windows(docs: DataFrame, open_rows: DataFrame, min_words: int, window: int) -> DataFrame:
@@ -169,8 +191,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, window: int | No
     session(docs.sparkSession)
     window = window or min(20, min_words - SEED_WORDS)
     docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    order = ("key", "doc_id", "at")
-    suffixes = _suffixes(docs, min_words, window).repartitionByRange(*order).sortWithinPartitions(*order)
+    # Keys are even hashes, so a task gets its share of them without sampling; a frequent one goes to many tasks.
+    suffixes = _suffixes(docs, min_words, window, _frequent(docs, min_words, window)).repartition("key", "salt").sortWithinPartitions("key", "doc_id", "at")
     shared = stored(_shared_with_neighbour(suffixes), "repeat-suffixes")
     pieces = stored(_with_first(shared, "at", min_words), "repeat-pieces")
     # A piece that repeats settles all its starts; the first of its kind stands for the others in the finer step.
@@ -204,26 +226,41 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(out).decode()
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number in the order of ids and, where rows repeat an id, of a hash of their texts; none without an id.
+
+    Rows that are equal in both have one number.
+    """
+    number = F.col("doc_id").cast("long")
+    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").limit(1).count() == 0:
+        return docs.withColumn(name, number)
+    keys = docs.filter("doc_id IS NOT NULL").select(number.alias("_id"), F.xxhash64("text").alias("_hash")).distinct()
+    # After a range sort, Spark's increasing ids follow its order.
+    ranked = stored(keys.repartitionByRange("_id", "_hash").sortWithinPartitions("_id", "_hash").select("*", F.monotonically_increasing_id().alias("_number")), "repeat-numbers")
+    found = docs.alias("d").join(ranked.alias("k"), (F.col("d.doc_id").cast("long") == F.col("k._id")) & (F.xxhash64("d.text") == F.col("k._hash")), "left")
+    return found.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("k._number").alias(name))
+
+
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with every repeated passage cut out of ``text`` and ``n_chars`` made anew.
 
-    A document that loses all its words is left out.  Other rows and columns stay as they
-    are, null and short texts and rows without an id among them.  Rows that repeat an id
-    with different texts are compared as documents of their own, numbered by a hash.
+    A document that loses all its words is left out.  Other rows and columns, of whatever
+    name, stay as they are, null and short texts and rows without an id among them.  What
+    comes first is what stays: rows are ordered by id, rows that repeat an id by a hash of
+    their texts, and equal ones of these are one document.
     """
     schema = docs.schema
-    several = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").limit(1).count() > 0
-    number = F.xxhash64("doc_id", "text") if several else F.col("doc_id").cast("long")
-    rows = docs.withColumn("_number", F.when(F.col("doc_id").isNotNull(), number))
-    spans = repeated_spans(rows.select(F.col("_number").alias("doc_id"), "text"), min_words)
-    cuts = spans.groupBy(F.col("doc_id").alias("_number")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("_cuts"))  # bounded by the text
-    joined = rows.join(cuts, "_number", "left").select(*[F.col(f"`{c}`") for c in schema.names], "_cuts")
+    mine, cuts_name = free_name(docs, "number"), free_name(docs, "cuts")
+    rows = _numbered(docs, mine)
+    spans = repeated_spans(rows.select(F.col(mine).alias("doc_id"), "text"), min_words)
+    cuts = spans.groupBy(F.col("doc_id").alias(mine)).agg(F.collect_list(F.struct("start_word", "n_words")).alias(cuts_name))  # bounded by the text
+    joined = rows.join(cuts, mine, "left").select(*[F.col(f"`{c}`") for c in schema.names], cuts_name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts, keep, chars = [], [], []
-            for text, cuts in arrow_rows(batch, "text", "_cuts"):
+            for text, cuts in arrow_rows(batch, "text", cuts_name):
                 if cuts:
                     text = cut_words(text, [(c["start_word"], c["n_words"]) for c in cuts])
                 keep.append(not cuts or WORD.search(text.encode()) is not None)

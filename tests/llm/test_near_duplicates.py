@@ -72,3 +72,10 @@ def test_sketches_merge_and_estimates_are_close():
     assert (np.maximum(s[0], s[1]) == s[2]).all() and s.shape[1] == REGISTERS
     got = estimate(s[:1], s[1:2], np.array([900]), np.array([850]))[0]
     assert abs(got - 0.75) < 0.1
+
+
+def test_an_id_that_is_not_the_smallest_of_its_class_may_repeat(spark):
+    x, y = (" ".join(f"{k}{i}" for i in range(40)) for k in "xy")
+    rows = [(3, x), (7, x), (7, y), (8, y), (9, "z")]
+    got = link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), (7, 3, False), (7, 3, False), (8, 3, False), (9, 9, True)]

@@ -84,5 +84,26 @@ def test_an_id_with_different_texts(spark):
     assert sum(t.startswith("a0 ") for t in texts) == 1 and sum("b0 " in t for t in texts) == 1
 
 
+@pytest.mark.parametrize("others", [[], [(99, "x"), (99, "y")]])
+def test_order_does_not_hang_on_other_ids(spark, others):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{i} {passage}") for i in range(1, 6)] + others
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_number", F.col("doc_id") + 70).withColumn("_cuts", F.lit("x")).repartition(4)
+    out = {r.doc_id: (r.text, r["_number"], r["_cuts"]) for r in without_repeats(df).collect() if r.doc_id < 9}
+    assert out == {i: (f"{i} {passage}" if i == 1 else f"{i} ", i + 70, "x") for i in range(1, 6)}
+
+
+def test_a_frequent_passage_is_dealt_to_many_tasks(spark, monkeypatch):
+    from tallymart.llm import repeats
+
+    monkeypatch.setattr(repeats, "HOT_RATE", 1)
+    passage = [f"p{i}" for i in range(70)]
+    rows = [(i, " ".join([f"a{i}_{k}" for k in range(i % 7)] + passage + [f"b{i}"])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    frequent = repeats._frequent(df, 50, 20)
+    assert len(frequent) and repeats._suffixes(df, 50, 20, frequent).filter("salt > 0").select("salt").distinct().count() > 20
+    assert spans(df) == brute(rows, 50)
+
+
 def test_empty_table(nothing):
     assert repeated_spans(nothing).collect() == [] and without_repeats(nothing).collect() == []
