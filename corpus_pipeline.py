@@ -2,12 +2,14 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes every
 result as Parquet to the shared folder and hands it, read again, to the next stage.  All
-but the last return the columns of ``documents``, whatever further columns they carry.
+but the last return the columns of ``documents`` as they were, whatever further columns
+there are and however they are named.  Rows without an id are never near duplicates, have
+no repeats and are rated for their language only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,27 +19,35 @@ from tallymart.llm.common import drop_scratch, noted_scratch, scratch_dir, sessi
 from tallymart.llm.registry import query
 
 
-# Scratch folders of stages whose results may still be read.
-_LEFT: list[str] = []
+# Scratch folders of each stage's result, by the mark that its id column carries.
+_LEFT: dict[str, list[str]] = {}
 
 
-def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]):
-    """A stage first removes what earlier stages left in the scratch folder: their results are written by then."""
+def _written(spark: SparkSession, docs: DataFrame) -> None:
+    """Remove the scratch folders of the result that ``docs`` was written from, but for those that it still reads."""
+    mark = docs.schema["doc_id"].metadata.get("stage") if "doc_id" in docs.columns else None
+    if mark in _LEFT:
+        drop_scratch(spark, _LEFT[mark], docs)
+
+
+def _stage(work):
+    """A stage marks its result; when that comes back from a file, as the next stage's input, what it was made from goes."""
 
     @wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_scratch(session(spark), _LEFT, docs)
+        _written(session(spark), docs)
         with noted_scratch() as made:
             result = work(spark, docs, sf_dir)
-        _LEFT.extend(made)
-        return result
+        mark = uuid.uuid4().hex
+        _LEFT[mark] = made
+        return result.withMetadata("doc_id", {"stage": mark})
 
     return run_stage
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without the rows of the given ids; rows without an id stay."""
-    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(ids, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @_stage
@@ -69,13 +79,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     linked = near_duplicates.link_documents(docs)
     rejected = linked.filter("NOT kept").select("doc_id").distinct()
     kept = _without(docs, rejected)
-    repeated = kept.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    if repeated.limit(1).count() == 0:
+    if kept.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() == 0:
         return kept
-    # Rows that repeat an id are one document: the first by its text stays.
-    first = kept.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("gone"), "text", *[c for c in kept.columns if c not in ("doc_id", "text")])).alias("row"))
-    one = first.select(*["doc_id" if c == "doc_id" else F.col(f"row.`{c}`") for c in kept.columns])
-    return one.unionByName(kept.filter("doc_id IS NULL"))
+    # Rows that repeat an id are one document: the first by its text stays; maps have no order, their text has.
+    cells = [F.col(f"`{c}`") for c in kept.columns]
+    order = F.struct(F.col("text").isNull(), F.col("text"), F.to_json(F.struct(*cells)))
+    first = kept.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.min_by(F.struct(*cells), order).alias("row"))
+    return first.select("row.*").unionByName(kept.filter("doc_id IS NULL"))
 
 
 @_stage
@@ -105,10 +115,15 @@ ORACLE_SQL = None
 @query("pipeline")
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = table(session(spark), sf_dir, "documents")
+    return run_stages(spark, table(session(spark), sf_dir, "documents"), sf_dir)
+
+
+def run_stages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All stages over ``docs``, each written and read again."""
     for name, stage in STAGES:
         result = stage(spark, docs, sf_dir)
         path = scratch_dir(spark, f"stage-{name}")
         result.write.parquet(path)
         docs = spark.read.schema(result.schema).parquet(path)
+    _written(spark, docs)
     return docs
