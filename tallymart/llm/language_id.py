@@ -10,15 +10,15 @@ descent does not see.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
-from pyspark.sql.window import Window
 
-from .common import arrow_rows, session, table
+from .common import arrow_rows, session, smallest_of, table
 from .registry import query
 
 BUCKETS = 1 << 15
@@ -30,6 +30,22 @@ def letter_table() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
+PART = 1 << 18  # code points that are looked at together
+BREAK = re.compile(r"\s")
+
+
+def parts_of(text: str, size: int = PART) -> Iterator[str]:
+    """A text in parts of about ``size`` code points, cut at white space only, so no subword is cut."""
+    at = 0
+    while len(text) - at > size:
+        cut = BREAK.search(text, at + size)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.end()
+    yield text[at:]
+
+
 def subwords(text: str, letters: np.ndarray) -> np.ndarray:
     """Bucket numbers of a text's subwords; none if it has no letter."""
     codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -65,16 +81,20 @@ class Model:
     temperature: float = 1.0
     threshold: float = 0.0
 
-    def score(self, ids: np.ndarray) -> np.ndarray:
-        z = (self.table[ids].mean(axis=0, dtype=np.float64) + self.bias) / self.temperature
+    def score(self, mean: np.ndarray) -> np.ndarray:
+        z = (mean + self.bias) / self.temperature
         e = np.exp(z - z.max())
         return e / e.sum()
 
     def predict(self, text: str | None, letters: np.ndarray) -> tuple[str, float, bool]:
-        ids = subwords(text, letters) if text else np.empty(0, np.int64)
-        if not len(ids) or not self.langs:
+        mean, n = 0.0, 0
+        for part in parts_of(text or ""):  # a very long text is never held as subwords as a whole
+            if len(ids := subwords(part, letters)):
+                mean = mean + (self.table[ids].mean(axis=0, dtype=np.float64) - mean) * (len(ids) / (n + len(ids)))
+                n += len(ids)
+        if not n or not self.langs:
             return UNDECIDED, 0.0, False
-        p = self.score(ids)
+        p = self.score(mean)
         best = int(p.argmax())
         return self.langs[best], float(p[best]), bool(p[best] >= self.threshold)
 
@@ -130,21 +150,19 @@ def fit(labelled: DataFrame, per_lang: int = 300, dims: int = 16, epochs: int =
     """
     spark = session(labelled.sparkSession)
     letters = spark.sparkContext.broadcast(letter_table())
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     usable = labelled.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     # Far under per_lang * languages rows of two values: a bounded broadcast.
-    chosen = (
-        usable.select("doc_id", "lang").withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= per_lang)
-        .select("doc_id", "lang").distinct()
-    )
+    chosen = smallest_of(usable.select("doc_id", "lang"), ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], per_lang).distinct()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, langs, cells = [], [], []
             for doc_id, text, lang in arrow_rows(batch, "doc_id", "text", "lang"):
-                found = subwords(text, letters.value)
-                if len(found):
-                    bucket, count = np.unique(found, return_counts=True)
+                total = np.zeros(BUCKETS, np.int64)
+                for part in parts_of(text):
+                    total += np.bincount(subwords(part, letters.value), minlength=BUCKETS)
+                if bucket := np.flatnonzero(total).tolist():
+                    count = total[bucket]
                     ids.append(doc_id)
                     langs.append(lang)
                     cells.append(np.stack([bucket, count]).astype("<u4").tobytes())

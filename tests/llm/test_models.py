@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -169,3 +170,24 @@ def test_bpe_of_no_rows(spark, nothing):
     vocabulary = bpe.Vocabulary.load(bpe.vocabulary_path())
     uri = bpe.build_lexicon(spark, nothing, vocabulary)
     assert bpe.encode_texts(nothing, vocabulary, uri).collect() == []
+
+
+def test_language_of_a_very_long_text_in_parts():
+    letters = language_id.letter_table()
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcÉß日1. \n ") for _ in range(5000))
+    for size in (1, 7, 300):
+        parts = list(language_id.parts_of(text, size))
+        assert len(parts) > 3
+        got = Counter(i for p in parts for i in language_id.subwords(p, letters).tolist())
+        assert got == Counter(language_id.subwords(text, letters).tolist())
+    assert list(language_id.parts_of("x" * 50, 3)) == ["x" * 50] and list(language_id.parts_of("")) == [""]
+
+
+def test_language_sample_of_one_language_over_many_partitions(spark):
+    from tallymart.llm.common import smallest_of
+
+    df = spark.range(0, 20_000, 1, 50).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"))
+    got = {r.doc_id for r in smallest_of(df, ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], 40).collect()}
+    want = {r.doc_id for r in df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(40).collect()}
+    assert got == want
