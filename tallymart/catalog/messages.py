@@ -58,10 +58,33 @@ def item_messages(lineitem: DataFrame) -> DataFrame:
     )
 
 
+def payment_messages(orders: DataFrame) -> DataFrame:
+    return orders.select(
+        F.col("o_orderkey").cast("string").alias("order_id"),
+        F.lit(1).alias("payment_sequential"),
+        F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'credit_card' WHEN 1 THEN 'boleto' WHEN 2 THEN 'voucher' ELSE 'debit_card' END").alias("payment_type"),
+        F.expr("CAST(1 + o_orderkey % 12 AS INT)").alias("payment_installments"),
+        F.col("o_totalprice").alias("payment_value"),
+        iso(F.col("o_orderdate")).alias("timestamp"),
+    )
+
+
+def review_messages(orders: DataFrame) -> DataFrame:
+    written = F.col("o_orderdate") + F.expr("interval 20 days")
+    return orders.where("o_orderkey % 10 >= 2").select(
+        F.concat(F.lit("r"), "o_orderkey").alias("review_id"),
+        F.col("o_orderkey").cast("string").alias("order_id"),
+        F.expr("CAST(1 + o_orderkey % 5 AS INT)").alias("review_score"),
+        iso(written).alias("review_creation_date"),
+    )
+
+
 SOURCES = {
     "customers": ("events", customer_messages),
     "orders": ("orders", order_messages),
     "order_items": ("lineitem", item_messages),
+    "payments": ("orders", payment_messages),
+    "reviews": ("orders", review_messages),
 }
 
 

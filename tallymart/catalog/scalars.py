@@ -107,6 +107,28 @@ def entry_key(t):
     )
 
 
+@query("uuid_key", """
+SELECT event_id, regexp_replace(md5(event_id || chr(31) || event_type || chr(31) || coalesce(CAST(nullif(user_id % 3, 0) AS VARCHAR), chr(0))),
+  '^(.{8})(.{4})(.{4})(.{4})', '\\1-\\2-\\3-\\4-') AS key FROM events""")
+def uuid_key(t):
+    third = F.nullif(F.col("user_id") % 3, F.lit(0))
+    return t.raw("events").select("event_id", text.uuid_key("event_id", "event_type", third).alias("key"))
+
+
+@query("date_range", """
+SELECT CAST(o_orderdate AS DATE) AS date, COUNT(*) AS orders FROM orders
+WHERE o_orderdate BETWEEN TIMESTAMP '1995-03-01' AND TIMESTAMP '1996-02-29 12:00:00' GROUP BY 1""")
+def date_range(t):
+    """Orders between two bounds that were parsed and checked; a range that ends before it starts is refused."""
+    first, last = dates.date_range("1995-03-01", "1996-02-29T12:00:00")
+    try:
+        dates.date_range("1996-02-29", "1995-03-01")
+    except ValueError:
+        orders = t.raw("orders").where(F.col("o_orderdate").between(F.lit(first), F.lit(last)))
+        return orders.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count(F.lit(1)).alias("orders"))
+    raise ValueError("a range that ends before it starts was taken")
+
+
 @query("api_filter", with_staging("""
 SELECT product_id, product_category_name, product_weight_g FROM st_products
 WHERE product_weight_g >= 10 AND product_weight_g <= 40 AND product_category_name LIKE 'Brand#1%'

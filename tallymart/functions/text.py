@@ -69,6 +69,15 @@ def query_key(*parts: Column | str) -> Column:
     return F.concat(F.lit("query:"), F.sha2(F.concat_ws(":", *[as_col(p).cast("string") for p in parts]), 256))
 
 
+def uuid_key(*parts: Column | str) -> Column:
+    """A key in the form of a UUID, the same for the same parts; null is a part of its own.
+
+    Drawn from the values, so a task that runs again gives the same key.
+    """
+    cells = [F.coalesce(as_col(p).cast("string"), F.lit("\x00")) for p in parts]
+    return F.regexp_replace(F.md5(F.concat_ws("\x1f", *cells)), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
+
+
 def lookup(c: Column | str, table: dict[str, str], default: str) -> Column:
     """Dictionary lookup with a default for unknown and null keys."""
     if not table:

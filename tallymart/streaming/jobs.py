@@ -6,8 +6,12 @@ frame, apart from late rows, which only a stream drops.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions.aggregates import mean, ratio, total
 from ..functions.dates import calendar_days, parse_iso
@@ -139,6 +143,76 @@ def run_until_failure(spark: SparkSession, queries: list[StreamingQuery]) -> Non
                 q.stop()
 
 
+def supervise(
+    spark: SparkSession, starts: dict[str, Callable[[], StreamingQuery]], tries: int = 3, pause: float = 0.0
+) -> dict[str, int]:
+    """Run several queries until all have ended; how often each was started again.
+
+    A query that fails is started again by its own function, which goes on from its
+    checkpoint, up to ``tries`` starts in all, with ``pause`` seconds before each further
+    one; the others go on meanwhile.  If any has used up its tries, its error is raised
+    once the others have ended.
+    """
+    running = {name: start() for name, start in starts.items()}
+    restarts: dict[str, int] = {}
+    failed: dict[str, Exception] = {}
+    try:
+        while running:
+            try:
+                spark.streams.awaitAnyTermination(1)
+            except StreamingQueryException:  # whose it is, the queries tell
+                pass
+            spark.streams.resetTerminated()
+            for name, query in list(running.items()):
+                if query.isActive:
+                    continue
+                error = query.exception()
+                if error is None:
+                    del running[name]
+                elif restarts.get(name, 0) + 1 >= tries:
+                    failed[name] = error
+                    del running[name]
+                else:
+                    restarts[name] = restarts.get(name, 0) + 1
+                    time.sleep(pause)
+                    running[name] = starts[name]()
+    finally:
+        for query in running.values():
+            if query.isActive:
+                query.stop()
+    if failed:
+        name, error = next(iter(failed.items()))
+        raise RuntimeError(f"gave up on {', '.join(sorted(failed))} after {tries} tries") from error
+    return restarts
+
+
+class Watcher(StreamingQueryListener):
+    """Batches, rows, starts and errors of the session's queries by name; register with ``spark.streams.addListener``."""
+
+    def __init__(self):
+        self.names: dict[str, str] = {}
+        self.figures: dict[str, dict] = {}
+
+    def _of(self, query_id: str) -> dict:
+        return self.figures.setdefault(self.names.get(query_id, query_id), {"starts": 0, "batches": 0, "rows": 0, "errors": []})
+
+    def onQueryStarted(self, event) -> None:
+        self.names[str(event.id)] = event.name or str(event.id)
+        self._of(str(event.id))["starts"] += 1
+
+    def onQueryProgress(self, event) -> None:
+        seen = self._of(str(event.progress.id))
+        seen["batches"] += 1
+        seen["rows"] += max(0, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception:
+            self._of(str(event.id))["errors"].append(event.exception)
+
+
 # ---- alerts over streams ------------------------------------------------
 
 def rate_windows(logs: DataFrame) -> DataFrame:
@@ -167,6 +241,29 @@ def rate_windows(logs: DataFrame) -> DataFrame:
     )
 
 
+def held_alerts(logs: DataFrame, error_share: float = 0.05, mean_latency: float = 0.5, hold_minutes: int = 2) -> DataFrame:
+    """Windows of ``rate_windows`` that are over a limit, as are those of the ``hold_minutes`` minutes before.
+
+    A window is counted in every stretch of that many minutes that it ends in; one in
+    which all minutes are over the limit alerts.  The counts are state, so a breach may
+    reach over micro-batches.
+    """
+    steps = hold_minutes + 1
+    over = rate_windows(logs).withColumns(
+        {"errors_over": F.col("error_rate") > error_share, "latency_over": F.col("avg_latency") > mean_latency}
+    ).where("errors_over OR latency_over")
+    ends = F.window_time("window")
+    held = over.groupBy("service", F.window(ends, f"{steps} minutes", "1 minute").alias("held")).agg(
+        F.count_if("errors_over").alias("errors_over"),
+        F.count_if("latency_over").alias("latency_over"),
+        F.max(F.struct("window", "requests", "error_rate", "avg_latency")).alias("last"),
+    )
+    return held.where((F.col("errors_over") == steps) | (F.col("latency_over") == steps)).select(
+        "service", "last.window", "last.requests", "last.error_rate", "last.avg_latency",
+        (F.col("errors_over") == steps).alias("high_error_rate"), (F.col("latency_over") == steps).alias("high_latency"),
+    )
+
+
 def request_windows(logs: DataFrame, keys: list[str], window: str, limit: int) -> DataFrame:
     """Keys that reach a request limit in a clock-aligned window."""
     return (

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymart import schemas
-from tallymart.sources import readers, writers
+from tallymart.sources import landing, readers, store, writers
 from tallymart.streaming import jobs
 
 
@@ -140,3 +140,100 @@ def test_publish_round_trip(spark, tmp_path):
     raw = spark.read.text(str(tmp_path / "customers"))
     back = readers.good_rows(readers.parse_json(raw, schemas.CUSTOMER_MESSAGE))
     assert sorted(r.customer_id for r in back.collect()) == ["0", "1", "2"]
+
+
+# ---- landing by day, supervision, alerts that hold -----------------------
+
+def day_rows(rows, *data):
+    return landing.by_date(rows("id int, at timestamp", *data), F.to_date("at"))
+
+
+def test_a_batch_is_landed_once(spark, rows, tmp_path):
+    root = str(tmp_path / "lake/clicks")
+    one, two = day_rows(rows, (1, "2024-01-01 10:00:00"), (2, None)), day_rows(rows, (3, "2024-01-02 10:00:00"))
+    assert landing.land_batch(one, 0, root, "q") and not landing.land_batch(one, 0, root, "q")
+    assert landing.land_batch(two, 1, root, "q") and not landing.land_batch(one, 0, root, "q") and landing.land_batch(two, 0, root, "another")
+    assert sorted(r.id for r in landing.read_landed(spark, str(tmp_path / "lake"), "clicks").collect()) == [1, 2, 3, 3]
+
+
+def test_a_range_reads_its_days_only_and_small_files_go(spark, rows, tmp_path):
+    lake, root = str(tmp_path / "lake"), str(tmp_path / "lake/clicks")
+    for i in range(6):
+        landing.land_batch(day_rows(rows, *[(10 * i + d, f"2024-01-0{d} 10:00:00") for d in (1, 2, 3)]), i, root, "q", compact_after=2)
+    chunks = store.Store(spark, root).manifest()["tables"][landing.ROWS]["chunks"]
+    assert set(chunks) == {"2024-01-01", "2024-01-02", "2024-01-03"} and all(len(w) <= 3 for w in chunks.values())
+    got = landing.read_landed(spark, lake, "clicks", "2024-01-02", "2024-01-03")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+    assert sorted(r.id for r in got.collect()) == [2 + 10 * i for i in range(6)]
+    assert all("event_date=2024-01-02" in f for f in got.select("id").where("event_date = '2024-01-02'").inputFiles()) or len(got.inputFiles()) > 1
+    with pytest.raises(ValueError):
+        landing.by_date(rows("at timestamp"), F.to_date("at"), "year")
+
+
+def test_a_landed_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    lake = str(tmp_path / "lake")
+    for file, hours in (("1.json", (0, 1, 6)), ("2.json", (30,)), ("3.json", (54,))):
+        feed(tmp_path, "customers", file, *[customer(f"2024-01-0{1 + h // 24}T{h % 24:02d}:10:00") for h in hours])
+        messages = readers.read_json_stream(spark, "customers", schemas.CUSTOMER_MESSAGE, "text", path=str(tmp_path))
+        landing.land_stream(jobs.new_customers(messages), lake, "customers", available_now=True).awaitTermination()
+    got = landing.read_landed(spark, lake, "customers").collect()
+    assert sorted((str(r.event_date), r.window.start.hour, r["count"]) for r in got) == [
+        ("2024-01-01", 0, 1), ("2024-01-01", 1, 1), ("2024-01-01", 6, 1), ("2024-01-02", 6, 1)]
+
+
+def test_a_query_that_fails_once_is_started_again(spark, tmp_path):
+    for topic in ("customers", "reviews"):
+        feed(tmp_path, topic, "1.json", customer("2024-01-01T00:10:00"), customer("2024-01-01T09:00:00"))
+    lake, failures = str(tmp_path / "lake"), {"customers": 1}
+    watcher = jobs.Watcher()
+    spark.streams.addListener(watcher)
+
+    def start(topic):
+        def begin():
+            messages = readers.read_json_stream(spark, topic, schemas.CUSTOMER_MESSAGE, "text", path=str(tmp_path))
+            if failures.get(topic, 0):
+                failures[topic] -= 1
+                messages = messages.withColumn("customer_id", F.raise_error(F.lit("broken once")).cast("string"))
+            return landing.land_stream(messages, lake, topic, available_now=True, day=F.to_date("timestamp"))
+
+        return begin
+
+    try:
+        assert jobs.supervise(spark, {t: start(t) for t in ("customers", "reviews")}, tries=2) == {"customers": 1}
+        for topic in ("customers", "reviews"):
+            assert landing.read_landed(spark, lake, topic).count() == 2
+        failures["customers"] = 9
+        feed(tmp_path, "customers", "2.json", customer("2024-01-02T00:10:00"))
+        feed(tmp_path, "reviews", "2.json", customer("2024-01-02T00:10:00"))
+        with pytest.raises(RuntimeError, match="gave up on customers after 3 tries"):
+            jobs.supervise(spark, {t: start(t) for t in ("customers", "reviews")}, tries=3)
+        assert landing.read_landed(spark, lake, "customers").count() == 2 and landing.read_landed(spark, lake, "reviews").count() == 3
+    finally:
+        spark.streams.removeListener(watcher)
+    starts = {n.rpartition("_")[2]: f["starts"] for n, f in watcher.figures.items()}
+    assert starts["customers"] == 5 and starts["reviews"] == 2
+    assert sum(len(f["errors"]) for f in watcher.figures.values()) == 4
+
+
+def test_alerts_hold_over_batches_and_late_rows(spark, tmp_path):
+    from tallymart.operators import logs
+
+    def log(minute, status, service="a", latency=1.0):
+        return {"timestamp": f"2024-01-01T{minute // 60:02d}:{minute % 60:02d}:30", "service": service, "status_code": status, "response_time": latency}
+
+    batches = [
+        [log(m, 500 if m in (10, 11) else 200) for m in range(0, 12)] + [log(m, 200, "b", 9.0 if m > 3 else 0.125) for m in range(0, 12)],
+        [log(m, 500 if m < 14 else 200) for m in range(12, 60)] + [log(5, 500)],  # a late row that is still in time
+        [log(m, 200, latency=5.0) for m in range(200, 204)],
+        [log(600, 200)],
+    ]
+    schema = "timestamp timestamp, service string, status_code int, response_time double"
+    for i, batch in enumerate(batches):
+        feed(tmp_path, "logs", f"{i}.json", *batch)
+        stream = spark.readStream.schema(schema).json(str(tmp_path / "logs"))
+        writers.lake_stream_sink(jobs.held_alerts(stream), str(tmp_path / "lake"), "alerts", available_now=True).awaitTermination()
+    key = lambda r: (r.service, r.window_start, r.requests, r.error_rate, r.avg_latency, r.high_error_rate, r.high_latency)
+    got = spark.read.parquet(str(tmp_path / "lake/alerts")).select("*", "window.start").withColumnRenamed("start", "window_start")
+    want = [key(r) for r in logs.rate_alerts(spark.read.schema(schema).json(str(tmp_path / "logs"))).collect() if r.window_end.hour < 9]
+    assert sorted(map(key, got.collect())) == sorted(want) and len(want) > 10
