@@ -278,6 +278,19 @@ def kmeans_segments(t):
     return rows.select("customer_id", *features, "is_nearest", models.is_settled(rows, features).scalar().alias("is_settled"))
 
 
+@query("churn_scores")
+def churn_scores(t):
+    """What the model says of each customer; whether that is right, ``churn_model`` compares."""
+    return models.churn_model(customers.churn_features(t.fact_sales(), AS_OF)).select("customer_id", "churned", "churn_probability", "predicted")
+
+
+@query("kmeans_rows")
+def kmeans_rows(t):
+    """Each customer's segment and distance; whether these are right, ``kmeans_segments`` compares."""
+    metrics = customers.customer_metrics(t.fact_sales(), AS_OF, 3650)
+    return models.kmeans_segments(metrics, ["frequency", "avg_order_value", "total_spent"]).select("customer_id", "segment", "distance")
+
+
 @query("dim_customer_lifetime", with_staging(f"""
 SELECT c.customer_id, c.customer_city, c.customer_state, c.customer_region, c.customer_city_size,
   c.customer_segment, c.is_current, MIN(order_date) AS first_order_date, MAX(order_date) AS last_order_date,

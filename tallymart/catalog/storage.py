@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import between_dates
 from ..plans import load, marts
+from ..plans.views import refresh_view
 from ..schemas import CSV_FILES
 from ..session import scratch_dir
 from ..sources import readers, writers
@@ -263,6 +264,44 @@ _rerun("etl_rerun_day", "day")
 _rerun("etl_rerun_month", "month")
 
 
+@query("views_incremental", with_staging(f"""
+SELECT CAST(date_trunc('month', order_date) AS DATE) AS order_date_month, product_category_name, COUNT(DISTINCT order_id) AS total_orders,
+  COUNT(DISTINCT customer_id) AS unique_customers, {total('total_amount')} AS total_revenue
+FROM (SELECT f.* REPLACE (CASE WHEN f.order_id % 10 = 3 THEN order_date + 40 ELSE order_date END AS order_date), p.product_category_name
+  FROM fact_sales f JOIN st_products p ON f.product_id = p.product_id WHERE f.order_id % 10 <> 7 OR f.order_date < DATE '1996-01-01')
+GROUP BY 1, 2"""))
+def views_incremental(t):
+    """A view by month and category over a fact that gets new, moved and removed rows; each refresh computes changed months."""
+    store = Store(t.spark, scratch_dir(t.spark, "star"))
+    keys, last = ["order_id", "order_item_id"], F.col("order_id") % 10
+    fact = t.fact_sales().select(*keys, "customer_id", "product_id", "total_amount", F.to_date("order_date").alias("order_date"))
+
+    def view(rows):
+        lines = rows.join(store.read("products"), "product_id")
+        by = ["order_date_month", "product_category_name"]
+        return (
+            lines.groupBy(*by, "order_id", "customer_id").agg(F.sum("total_amount").alias("amount"))
+            .groupBy(*by).agg(F.count(F.lit(1)).alias("total_orders"), F.countDistinct("customer_id").alias("unique_customers"), F.sum("amount").cast("double").alias("total_revenue"))
+        )
+
+    with store.transaction() as change:
+        change.replace("products", t.products.select("product_id", "product_category_name"))
+        merge_fact(change, "fact", fact.where(last != 3), keys, chunk="month")
+    refresh = lambda: refresh_view(store, "by_category", "fact", view, ("products",))
+    refresh()
+    moved = fact.where(last == 3).withColumn("order_date", F.date_add("order_date", 40))
+    with store.transaction() as change:  # these come late, and to another month
+        merge_fact(change, "fact", moved, keys, chunk="month")
+    refresh()
+    stale = [c for c in store.manifest()["tables"]["fact"]["chunks"] if c >= "1996-01-01"]
+    with store.transaction() as change:  # rows are taken back from some months
+        rows = change.read("fact", stale)
+        change.replace_chunks("fact", rows.where((F.col("order_id") % 10 != 7)), "order_date_month", stale)
+    if sorted(refresh()) != sorted(stale) or refresh():
+        raise ValueError("a refresh computed other months than those that changed")
+    return store.read("by_category")
+
+
 @query("etl_crash_safe", with_staging("""
 SELECT order_id, CAST(order_item_id AS INT) AS order_item_id, CASE WHEN pmod2 = 0 THEN NULL ELSE order_date END AS order_date,
   CAST(total_amount AS DOUBLE) + CASE WHEN pmod2 = 1 THEN 1 ELSE 0 END AS amount

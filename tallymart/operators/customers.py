@@ -8,6 +8,7 @@ from ..functions.aggregates import mean, ratio, total
 from ..functions.checks import require
 from ..functions.dates import days_before, elapsed_days_floor, elapsed_days_trunc, lookback, moment
 from ..functions.quantiles import quantile_bins
+from ..session import stored
 from .sales import order_totals
 from .warehouse import current_rows
 
@@ -166,8 +167,9 @@ def segment_treemap(segments: DataFrame) -> DataFrame:
 def rfm_scores(fact: DataFrame, analysis_date) -> DataFrame:
     """Recency, frequency and monetary quintiles (5 is best).
 
-    One aggregate instead of three scans; the quintile edges of all three
-    measures come from one pass.  With repeated edges the lowest bin wins.
+    One aggregate instead of three scans; it is stored, a row per customer,
+    as the quintile edges take several passes over it.  With repeated edges
+    the lowest bin wins.
     """
     require(fact, "customer_id", "order_date", "total_amount")
     rfm = fact.groupBy("customer_id").agg(
@@ -176,7 +178,7 @@ def rfm_scores(fact: DataFrame, analysis_date) -> DataFrame:
         total("total_amount").alias("monetary"),
     )
     last = F.col("last_purchase_date").cast("timestamp")
-    rfm = rfm.withColumn("recency", elapsed_days_floor(moment(analysis_date), last))
+    rfm = stored(rfm.withColumn("recency", elapsed_days_floor(moment(analysis_date), last)), "rfm")
     scored = quantile_bins(
         rfm,
         {

@@ -69,37 +69,38 @@ def key_rules(
     ``children``: (table, its name, key column that is also the domain).  Every
     table is read once; rows are summed per key before they meet.
     """
-    roles = [("own", d) for d in parents] + [(name, d) for _, name, d in children]
-    columns = {role: f"n{i}" for i, role in enumerate(roles)}
+    # A key is counted in the places of its own domain only: first as a parent's, then for each child.
+    number = {domain: i for i, domain in enumerate(parents)}
+    users = {domain: [name for _, name, d in children if d == domain] for domain in parents}
+    places = [f"n{i}" for i in range(1 + max(map(len, users.values()), default=0))]
     by_table: dict[int, tuple[DataFrame, list[Column]]] = {}
 
-    def add(df: DataFrame, role: tuple[str, str], key: Column, counted: Column) -> None:
+    def add(df: DataFrame, domain: str, place: int, key: Column, counted: Column) -> None:
         cell = F.struct(
-            F.lit(role[1]).alias("domain"), key.alias("key"),
-            *[(F.when(counted, 1).otherwise(0) if r == role else F.lit(0)).cast("long").alias(n) for r, n in columns.items()],
+            F.lit(number[domain]).alias("domain"), key.alias("key"),
+            *[(F.when(counted, 1).otherwise(0) if i == place else F.lit(0)).cast("long").alias(n) for i, n in enumerate(places)],
         )
         by_table.setdefault(id(df), (df, []))[1].append(cell)
 
     for domain, (df, _, keys, _) in parents.items():
-        add(df, ("own", domain), F.concat_ws("\x00", *[F.col(k).cast("string") for k in keys]), F.lit(True))
+        add(df, domain, 0, F.concat_ws("\x00", *[F.col(k).cast("string") for k in keys]), F.lit(True))
     for df, name, domain in children:
-        add(df, (name, domain), F.concat_ws("\x00", F.col(domain).cast("string")), F.col(domain).isNotNull())
+        add(df, domain, 1 + users[domain].index(name), F.concat_ws("\x00", F.col(domain).cast("string")), F.col(domain).isNotNull())
     rows = reduce(
         DataFrame.unionAll,
         [df.select(F.explode(F.array(*cells)).alias("k")).select("k.*") for df, cells in by_table.values()],
     )
-    per_key = rows.groupBy("domain", "key").agg(*[F.sum(n).alias(n) for n in columns.values()])
-    zero = F.lit(0).cast("long")
+    per_key = rows.groupBy("domain", "key").agg(*[F.sum(n).alias(n) for n in places])
+    zero, own = F.lit(0).cast("long"), F.col(places[0])
     total = lambda c: F.coalesce(F.sum(c), zero)
     rules = []
     for domain, (_, name, keys, report) in parents.items():
         if report:
-            own = F.col(columns["own", domain])
-            mine = (F.col("domain") == domain) & (own > 0)
+            mine = (F.col("domain") == number[domain]) & (own > 0)
             rules.append((name, "unique " + ", ".join(keys), total(F.when(mine, own)), total(F.when(mine, own - 1))))
     for _, name, domain in children:
-        n, own = F.col(columns[name, domain]), F.col(columns["own", domain])
-        rules.append((name, f"known {domain}", total(n), total(F.when(own == 0, n))))
+        mine, n = F.col("domain") == number[domain], F.col(places[1 + users[domain].index(name)])
+        rules.append((name, f"known {domain}", total(F.when(mine, n)), total(F.when(mine & (own == 0), n))))
     counts = per_key.agg(*[c.alias(f"{w}{i}") for i, (_, _, a, b) in enumerate(rules) for w, c in (("c", a), ("v", b))])
     cells = [
         F.struct(F.lit(t).alias("table_name"), F.lit(r).alias("rule"), F.col(f"c{i}").alias("checked"), F.col(f"v{i}").alias("violations"))

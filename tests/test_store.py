@@ -103,3 +103,31 @@ def test_nothing_to_change_publishes_nothing(store, rows):
     assert store.read("empty").count() == 0 and store.read("empty").columns == ["id", "order_date", "x"]
     with pytest.raises(ValueError), store.transaction() as change:
         change.append("empty", rows("id int", (1,)), "order_date")
+
+
+def test_a_view_follows_the_changed_chunks(store, rows):
+    from tallymart.plans.views import refresh_view
+
+    def build(facts):
+        return facts.join(store.read("names"), "id", "left").groupBy("order_date_month", "name").agg(F.count("*").alias("n"), F.countDistinct("x").alias("kinds"))
+
+    def refresh():
+        done = sorted(refresh_view(store, "view", "fact", build, ("names",)))
+        key = lambda r: tuple((v is not None, v) for v in r)
+        columns = store.read("view").columns
+        assert sorted(store.read("view").collect(), key=key) == sorted(build(store.read("fact")).select(*columns).collect(), key=key)
+        return done
+
+    with store.transaction() as change:
+        change.replace("names", rows("id int, name string", (1, "a"), (2, "a"), (3, "b")))
+        merge_fact(change, "fact", rows(FACT, *FIRST), ["id"], chunk="month")
+    assert len(refresh()) == 3 and refresh() == []
+    with store.transaction() as change:  # one row changes in place, one leaves the rows without a date
+        merge_fact(change, "fact", rows(FACT, (4, "2024-02-05", 9), (1, "2024-02-07", 9)), ["id"], chunk="month")
+    assert refresh() == sorted(["2024-02-01", NULL_CHUNK])
+    with store.transaction() as change:  # the only row of January goes
+        change.replace_chunks("fact", change.read("fact", ["2024-01-01"]).where("false"), "order_date_month", ["2024-01-01"])
+    assert refresh() == ["2024-01-01"]
+    with store.transaction() as change:
+        merge_dimension(change, "names", rows("id int, name string", (2, "c")), "id")
+    assert len(refresh()) == 2  # all that are left, as the names may be anywhere
