@@ -15,6 +15,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -39,6 +40,13 @@ def _record_id(key) -> str:
     return f"<urn:x-record:{'' if key is None else key}>"
 
 
+def target_uri(key, url: str | None) -> str:
+    """The address of a record: the url with what an address may not hold percent-encoded; for rows without a url one made from the key."""
+    if not url:
+        return f"urn:x-page:{'' if key is None else key}"
+    return quote(url.encode("utf-8", "surrogatepass"), safe="%:/?#[]@!$&'()*+,;=-._~")
+
+
 def _record(key, url, payload: bytes, kind: str, digest: str, refers_to, date: str) -> bytes:
     """One archive record; a revisit has the response's headers but not its payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -49,7 +57,9 @@ def _record(key, url, payload: bytes, kind: str, digest: str, refers_to, date: s
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
-    if url is not None:  # any text may stand in a url column, so it is carried in a form without line ends
+    address = target_uri(key, url)
+    head.append(f"WARC-Target-URI: {address}")
+    if url is not None and address != url:  # any text may stand in a url column; what it was is kept beside its address
         head.append("X-Source-URI-Base64: " + base64.b64encode(url.encode("utf-8", "surrogatepass")).decode())
     if kind == "revisit":
         head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_record_id(refers_to)}"]
@@ -143,7 +153,7 @@ def shard_bounds(sizes: DataFrame, shard_bytes: int) -> list[int]:
 
 
 def write_warc(
-    spark: SparkSession, records: DataFrame, folder: str, file_bytes: int = 64 << 20, shard_bytes: int = 16 << 20,
+    spark: SparkSession, records: DataFrame, folder: str, file_bytes: int = 8 << 20, shard_bytes: int = 64 << 20,
     revisit_from: int = 100, date: str = "1970-01-01T00:00:00Z",
 ) -> DataFrame:
     """Archive ``records(key, url, payload)`` below ``folder``; gives the manifest.
@@ -151,7 +161,8 @@ def write_warc(
     A null payload is an empty one.  Of records with equal payloads of at least
     ``revisit_from`` bytes, the one with the smallest key is a response and the others
     revisit it; rows that repeat that key are revisits of it, except one.  Rows without a
-    key are responses, as nothing could refer to them.  An empty table gives an empty
+    key are responses, as nothing could refer to them, and stand in shards of their own in
+    front.  An empty table gives an empty
     manifest and no file.  ``file_bytes`` bounds a file's compressed size (a single
     larger record has a file of its own); ``shard_bytes`` is the payload that one task
     sorts and writes.
@@ -172,6 +183,8 @@ def write_warc(
         .select("key", "digest", "first").distinct()
     )
     bounds = shard_bounds(narrow.select("key", "size"), shard_bytes)
+    # Rows without a key have shards of their own before the others, by a hash of what they hold.
+    keyless = -(-(narrow.filter("key IS NULL").agg(F.sum("size") + F.count("*")).first()[0] or 0) // shard_bytes)
     shared = spark.sparkContext.broadcast(bounds)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,14 +192,16 @@ def write_warc(
 
         at = np.array(shared.value, np.int64)
         for batch in batches:
-            keys = batch.column(0)
-            place = np.searchsorted(at, keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(place), *batch.columns], ["shard", *batch.schema.names])
+            keys, mixed = batch.column(0), batch.column(batch.num_columns - 1).to_numpy()
+            place = keyless + np.searchsorted(at, keys.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+            place = np.where(keys.is_null().to_numpy(zero_copy_only=False), mixed % max(keyless, 1), place).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(place), *batch.columns[:-1]], ["shard", *batch.schema.names[:-1]])
 
     # Rows and notes on later copies meet by key in one sort: the notes (kind 0) come first.
     wide = rows.select("key", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("first"))
     notes = later.select("key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "first")
-    placed = wide.unionAll(notes).mapInArrow(shard, "shard int, key long, kind int, url string, payload binary, digest string, first long")
+    mixed = F.when(F.col("key").isNull(), F.xxhash64("url", "payload")).otherwise(0)
+    placed = wide.unionAll(notes).withColumn("mixed", mixed).mapInArrow(shard, "shard int, key long, kind int, url string, payload binary, digest string, first long")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, notes, notes_key, given = None, {}, None, set()
@@ -217,7 +232,7 @@ def write_warc(
     store, path = open_store(folder)
     store.create_dir(path, recursive=True)
     order = ("shard", F.col("key").asc_nulls_first(), "kind", "url", "payload")
-    sharded = placed.repartition(len(bounds) + 1, "shard").sortWithinPartitions(*order)
+    sharded = placed.repartitionById(keyless + len(bounds) + 1, F.col("shard")).sortWithinPartitions(*order)
     draft = stored(sharded.mapInArrow(write, MANIFEST), "warc-draft")  # every file is written before the first is named
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,9 +291,10 @@ def parse_record(data: bytes) -> dict:
     if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"damaged payload {fields['WARC-Record-ID']}")
     number = lambda name: int(x) if (x := fields.get(name, "").removeprefix("<urn:x-record:").rstrip(">")) else None
-    url = fields.get("X-Source-URI-Base64")
+    raw, address = fields.get("X-Source-URI-Base64"), fields["WARC-Target-URI"]
+    url = base64.b64decode(raw).decode("utf-8", "surrogatepass") if raw is not None else None if address.startswith("urn:x-page:") else address
     return {
-        "key": number("WARC-Record-ID"), "url": None if url is None else base64.b64decode(url).decode("utf-8", "surrogatepass"),
+        "key": number("WARC-Record-ID"), "url": url,
         "record_type": kind, "payload_bytes": size, "payload_digest": digest, "refers_to": number("WARC-Refers-To"), "payload": payload,
     }
 

@@ -1,6 +1,8 @@
 import gzip
 import hashlib
 import os
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -51,3 +53,40 @@ def test_files_are_equal_on_a_second_run(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     empty = spark.createDataFrame([], "key long, url string, payload string")
     assert write_warc(spark, empty, str(tmp_path / "w")).collect() == [] and read_warc(spark, str(tmp_path / "w")).collect() == []
+
+
+def plain_records(folder):
+    """Headers of all records, read by nothing but gzip and line splitting."""
+    out = []
+    for name, data in sorted(files(folder).items()):
+        whole = gzip.decompress(data)
+        while whole:
+            head, _, rest = whole.partition(b"\r\n\r\n")
+            fields = dict(line.split(": ", 1) for line in head.decode("ascii").split("\r\n")[1:])
+            n = int(fields["Content-Length"])
+            block, whole = rest[:n], rest[n + 4 :]
+            assert rest[n : n + 4] == b"\r\n\r\n"
+            out.append((name, fields, block.partition(b"\r\n\r\n")[2]))
+    return out
+
+
+def test_a_plain_reader_finds_address_type_and_digest(spark, tmp_path):
+    written(spark, tmp_path / "w")
+    found = plain_records(tmp_path / "w")
+    assert sorted(f["WARC-Target-URI"] for _, f, _ in found) == sorted(
+        ["http://a/", "urn:x-page:1", "urn:x-page:1", "http://b/%0D%0AEvil:%201", "u", "u", "u", "u", "u", "%C3%A9", "%C3%A9"])
+    assert all("X-Source-URI-Base64" in f for _, f, _ in found if "%" in f["WARC-Target-URI"])
+    for _, fields, payload in found:
+        if fields["WARC-Type"] == "response":
+            assert fields["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(payload).hexdigest()
+
+
+def test_files_roll_within_a_shard_and_rows_without_a_key_are_spread(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(i if i % 3 else None, f"http://h/{i}", "".join(rng.choice("abcdef ") for _ in range(900))) for i in range(240)]
+    manifest = written(spark, tmp_path / "w", rows, file_bytes=5000, shard_bytes=40_000)
+    by_shard = Counter(m.shard for m in manifest)
+    assert len(by_shard) >= 6 and min(by_shard.values()) >= 2 and sum(m.records for m in manifest) == 240
+    empty = [m for m in manifest if m.first_key is None]
+    assert len({m.shard for m in empty}) >= 2 and max(m.shard for m in empty) < min(m.shard for m in manifest if m.first_key is not None)
+    assert sum(m.records for m in empty) == 80
