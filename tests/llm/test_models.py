@@ -81,6 +81,11 @@ def test_suffix_tree_distributions_are_whole(spark, docs):
     assert sum(map(len, tree.codes)) > 0
 
 
+def test_suffix_tree_grows_with_the_text():
+    limits = [suffix_tree.context_limit(n) for n in (1e3, 4e6, 1e8, 1e10, 1e13)]
+    assert limits == sorted(limits) and limits[0] == 512 and limits[-1] > 10_000
+
+
 def test_suffix_tree_without_training_rows(docs, nothing):
     got = suffix_tree.score_documents(docs.withColumn("learn", F.lit(False))).collect()
     assert {(r.n_known, r.train_tokens) for r in got} == {(0, 0)} and all(math.isfinite(r.score) for r in got)
