@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import logs
+from ..session import scratch_dir
 from .registry import LOG_AS_OF, LOG_END, LOG_START, query, rounded
 from .staging_sql import mean, with_staging
 
@@ -171,6 +172,19 @@ def slow_queries(t):
     return logs.slow_queries(t.logs, LOG_AS_OF)
 
 
+@query("health_from_hours", with_staging(f"""
+SELECT date_trunc('day', {TS}) AS day, COUNT(*) AS requests,
+  CAST(SUM(CASE WHEN status_code >= 400 THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*) AS error_rate,
+  COUNT(DISTINCT user_id) AS unique_users, CAST(quantile_disc(response_time, 0.5) AS DOUBLE) AS p50,
+  CAST(quantile_disc(response_time, 0.95) AS DOUBLE) AS p95, CAST(quantile_disc(response_time, 0.99) AS DOUBLE) AS p99
+FROM logs GROUP BY 1"""))
+def health_from_hours(t):
+    """Days from stored hours; the sketches are exact for as many rows a day as the given tables have."""
+    path = scratch_dir(t.spark, "hours")
+    logs.hourly_sketches(t.logs).write.parquet(path)
+    return logs.health_from_hours(t.spark.read.parquet(path))
+
+
 @query("latency_summary", with_staging(f"""
 SELECT CAST(MIN(response_time) AS DOUBLE) AS min, CAST(MAX(response_time) AS DOUBLE) AS max,
   {mean('response_time')} AS avg, COUNT(response_time) AS count,

@@ -203,6 +203,42 @@ def system_health(logs: DataFrame, start=None, end=None) -> DataFrame:
     )
 
 
+# Sizes of the sketches: users within about 0.8 % (one standard error), response times within about 0.1 % of rank.
+USERS_LG_K, TIMES_K = 14, 4096
+
+
+def hourly_sketches(logs: DataFrame) -> DataFrame:
+    """Requests and errors of each hour with sketches of its users and response times.
+
+    Stored, an hour is a row of bounded size that merges with others, so any range of
+    hours is answered without the raw rows.  Up to some thousand values the sketches are
+    exact.
+    """
+    return logs.groupBy(F.date_trunc("hour", TS).alias("hour")).agg(
+        F.count(F.lit(1)).alias("requests"),
+        F.count_if(is_http_error()).alias("errors"),
+        F.hll_sketch_agg("user_id", USERS_LG_K).alias("users"),
+        F.kll_sketch_agg_double(F.col("response_time").cast("double"), TIMES_K).alias("times"),
+    )
+
+
+def health_from_hours(hours: DataFrame, by: str = "day", probs: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Requests, error rate, users and response times per ``by`` (a day, a week, a month) from hourly sketches.
+
+    A quantile is the smallest value of at least that share of the values; without any
+    it is null.
+    """
+    merged = hours.groupBy(F.date_trunc(by, "hour").alias(by)).agg(
+        F.sum("requests").alias("requests"),
+        ratio(F.sum("errors"), F.sum("requests")).alias("error_rate"),
+        F.hll_sketch_estimate(F.hll_union_agg("users")).alias("unique_users"),
+        F.kll_merge_agg_double("times").alias("_times"),
+    )
+    known = F.kll_sketch_get_n_double("_times") > 0
+    quantiles = {f"p{round(100 * p)}": F.when(known, F.kll_sketch_get_quantile_double("_times", F.lit(p))) for p in probs}
+    return merged.withColumns(quantiles).drop("_times")
+
+
 def health_trends(logs: DataFrame, end, days: int = 7) -> DataFrame:
     """Error rate, response time and volume per 24 hours before ``end``.
 

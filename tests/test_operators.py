@@ -437,3 +437,29 @@ def test_missing_columns_raise(rows):
         baskets.market_basket(wrong, wrong)
     with pytest.raises(ValueError):
         sales.sales_forecast(wrong, "2024-01-01")
+
+
+def test_days_from_hourly_sketches(spark):
+    """Within the stated errors over ranges of hours, and exact where there are few values; hours merge in any order."""
+    from tallymart.operators import logs
+
+    raw = spark.range(0, 120_000, 1, 8).select(
+        (F.timestamp_seconds(1_704_067_200 + F.col("id") * 13 % 864_000)).alias("timestamp"), (F.xxhash64("id") % 40_000).alias("user_id"),
+        F.when(F.col("id") % 50 == 0, 500).otherwise(200).alias("status_code"), F.when(F.col("id") % 9 != 0, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(100_000)) / 7).alias("response_time"),
+    )
+    hours = logs.hourly_sketches(raw)
+    for by in ("day", "week"):
+        got = {r[by]: r for r in logs.health_from_hours(hours.repartition(5), by).collect()}
+        exact = raw.groupBy(F.date_trunc(by, "timestamp").alias(by)).agg(
+            F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.count("response_time").alias("timed"), F.sort_array(F.collect_list("response_time")).alias("times")).collect()
+        assert len(got) == len(exact) > 1
+        for e in exact:
+            r = got[e[by]]
+            assert r.requests == e.n and abs(r.unique_users - e.users) <= 3 * 1.04 / 2**7 * e.users
+            for p, v in ((0.5, r.p50), (0.95, r.p95), (0.99, r.p99)):
+                rank = sum(t <= v for t in e.times) / e.timed
+                assert abs(rank - p) < 0.004
+    few = raw.where("user_id = 7")
+    got = logs.health_from_hours(logs.hourly_sketches(few.withColumn("response_time", F.lit(None).cast("double")))).collect()
+    assert sum(r.unique_users for r in got) == len(got) and all(r.p50 is None for r in got)
+    assert logs.health_from_hours(logs.hourly_sketches(raw.limit(0))).collect() == []
