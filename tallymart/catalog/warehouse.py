@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import quality, warehouse
@@ -232,6 +234,50 @@ def delivery_time_analysis(t):
 FAR = "TIMESTAMP '9999-12-31'"
 
 
+# What was known of each customer and when: seen at first, again unchanged, changed in between for some, and last of all.
+OBSERVED = """seen AS (
+  SELECT customer_id, customer_segment AS segment, TIMESTAMP '1992-06-01' AS observed_at FROM st_customers WHERE customer_id % 11 <> 5
+  UNION ALL SELECT customer_id, customer_segment, TIMESTAMP '1996-01-01' FROM st_customers
+  UNION ALL SELECT customer_id, 'SPLIT', TIMESTAMP '1994-03-15 12:00:00' FROM st_customers WHERE customer_id % 3 = 0
+  UNION ALL SELECT customer_id, 'LAST', TIMESTAMP '1997-09-09' FROM st_customers WHERE customer_id % 5 = 1),
+changes AS (SELECT *, lag(segment) OVER (PARTITION BY customer_id ORDER BY observed_at) AS before FROM seen),
+versions AS (
+  SELECT customer_id, segment, observed_at AS valid_from, coalesce(lead(observed_at) OVER (PARTITION BY customer_id ORDER BY observed_at),
+    TIMESTAMP '9999-12-31') AS valid_to FROM changes WHERE before IS DISTINCT FROM segment)"""
+
+
+def _observed(t):
+    at = lambda text: F.lit(text).cast("timestamp").alias("observed_at")
+    who, as_is = F.col("customer_id"), F.col("customer_segment").alias("segment")
+    return [
+        t.customers.where(who % 11 != 5).select(who, as_is, at("1992-06-01")),
+        t.customers.select(who, as_is, at("1996-01-01")),
+        t.customers.where(who % 5 == 1).select(who, F.lit("LAST").alias("segment"), at("1997-09-09")),
+        t.customers.where(who % 3 == 0).select(who, F.lit("SPLIT").alias("segment"), at("1994-03-15 12:00:00")),
+    ]
+
+
+def _history(t):
+    """The first three observations, then the one that comes late."""
+    *first, late = _observed(t)
+    known = reduce(lambda a, b: a.unionByName(b), first)
+    history = warehouse.scd2_history(known, "customer_id", ["segment"])
+    return warehouse.scd2_late(history, known.unionByName(late), late, "customer_id", ["segment"])
+
+
+@query("scd2_late", with_staging("SELECT customer_id, segment, valid_from, valid_from = max(valid_from) OVER (PARTITION BY customer_id) AS is_current FROM versions", OBSERVED))
+def scd2_late(t):
+    return _history(t).drop("valid_to")
+
+
+@query("at_its_time", with_staging("""
+SELECT f.order_id, f.order_item_id, v.segment FROM fact_sales f
+LEFT JOIN versions v ON v.customer_id = f.customer_id AND f.order_timestamp >= v.valid_from AND f.order_timestamp < v.valid_to""", OBSERVED))
+def at_its_time(t):
+    facts = t.fact_sales().select("order_id", "order_item_id", "customer_id", "order_timestamp")
+    return warehouse.at_its_time(facts, _history(t), "customer_id", "order_timestamp", ["segment"]).drop("customer_id", "order_timestamp")
+
+
 @query("scd2_merge", with_staging(f"""
 SELECT customer_id, customer_city, customer_segment, TIMESTAMP '2000-01-01' AS valid_from,
   CASE WHEN changed THEN TIMESTAMP '2001-01-01' ELSE {FAR} END AS valid_to, NOT changed AS is_current

@@ -157,6 +157,62 @@ def scd2_merge(current: DataFrame, snapshot: DataFrame, key: str, cols: list[str
     return closed.unionByName(fresh)
 
 
+def scd2_history(observed: DataFrame, key: str, cols: list[str], at: str = "observed_at") -> DataFrame:
+    """Versions from all observations ``(key, cols, at)``, in whatever order they came.
+
+    Observations that equal the one before them open no version; of several at one moment
+    the greatest counts.  An observation that comes late splits the version it falls into,
+    which needs all observations of its key, not only the versions: keep them, and make
+    the history of the touched keys anew (``scd2_late``).
+    """
+    data = F.struct(*[F.col(c) for c in cols])
+    one = observed.where(F.col(at).isNotNull()).groupBy(key, F.col(at).alias("valid_from")).agg(F.max(data).alias("data"))
+    along = W.partitionBy(key).orderBy("valid_from")
+    before = F.lag(F.struct("data")).over(along)
+    opened = one.withColumn("_before", before).where(F.col("_before").isNull() | ~F.col("_before.data").eqNullSafe(F.col("data")))
+    until = F.lead("valid_from").over(along)
+    return opened.select(
+        key, "data.*", "valid_from", F.coalesce(until, moment(OPEN_END)).alias("valid_to"), until.isNull().alias("is_current")
+    )
+
+
+def scd2_late(history: DataFrame, observed: DataFrame, new: DataFrame, key: str, cols: list[str], at: str = "observed_at") -> DataFrame:
+    """The history after ``new`` observations; ``observed`` are all, the new ones included.
+
+    Only keys with new observations are made again.
+    """
+    keys = new.select(key).distinct()
+    again = scd2_history(observed.join(keys, key, "left_semi"), key, cols, at)
+    return history.join(keys, key, "left_anti").unionByName(again)
+
+
+def at_its_time(facts: DataFrame, history: DataFrame, key: str, ts: str, cols: list[str], slices: str = "quarter") -> DataFrame:
+    """Facts with the columns of the version that was valid at their moment, null without one.
+
+    Facts and versions are sorted together by key and time slice, and a fact takes the
+    last version before it: no range join.  A version stands in every slice that it
+    reaches into, so a key with very many facts is spread over its slices.
+    """
+    step = {"day": "interval 1 day", "month": "interval 1 month", "quarter": "interval 3 months", "year": "interval 1 year"}[slices]
+    bounds = facts.agg(F.date_trunc(slices, F.min(ts)).alias("lo"), F.date_trunc(slices, F.max(ts)).alias("hi"))
+    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
+    starts, ends = F.greatest(F.date_trunc(slices, "valid_from"), lo), F.least(F.date_trunc(slices, F.col("valid_to")), hi)
+    version = F.struct(*[F.col(c).alias(c) for c in cols], "valid_to")
+    versions = history.where(starts <= ends).select(
+        F.col(key).alias("_key"), F.explode(F.sequence(starts, ends, F.expr(step))).alias("_slice"),
+        F.col("valid_from").alias("_at"), version.alias("_version"), F.lit(None).cast(facts.schema).alias("_fact"),
+    )
+    rows = facts.select(
+        F.col(key).alias("_key"), F.date_trunc(slices, ts).alias("_slice"), F.col(ts).alias("_at"),
+        F.lit(None).cast(versions.schema["_version"].dataType).alias("_version"), F.struct("*").cast(facts.schema).alias("_fact"),
+    )
+    # At one moment, a version comes before the facts.
+    along = W.partitionBy("_key", "_slice").orderBy("_at", F.col("_fact").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    found = rows.unionByName(versions).withColumn("_last", F.last("_version", ignorenulls=True).over(along)).where("_fact is not null")
+    valid = F.col("_at") < F.col("_last.valid_to")
+    return found.select("_fact.*", *[F.when(valid, F.col(f"_last.{c}")).alias(c) for c in cols])
+
+
 # ---- facts --------------------------------------------------------------
 
 def review_per_order(reviews: DataFrame) -> DataFrame:

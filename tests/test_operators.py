@@ -463,3 +463,38 @@ def test_days_from_hourly_sketches(spark):
     got = logs.health_from_hours(logs.hourly_sketches(few.withColumn("response_time", F.lit(None).cast("double")))).collect()
     assert sum(r.unique_users for r in got) == len(got) and all(r.p50 is None for r in got)
     assert logs.health_from_hours(logs.hourly_sketches(raw.limit(0))).collect() == []
+
+
+def test_late_observations_split_versions_and_facts_meet_theirs(spark, rows):
+    import random
+
+    from tallymart.operators import warehouse
+
+    rng = random.Random(6)
+    seen = [(k, rng.choice("ab") if rng.random() < 0.8 else None, f"2024-{m:02d}-{d:02d} 0{d % 9}:00:00") for k in range(6) for m in range(1, 13) for d in (3, 17) if rng.random() < 0.4]
+    schema = "id int, a string, observed_at timestamp"
+    make = lambda data: rows(schema, *data)
+    want = sorted(map(tuple, warehouse.scd2_history(make(seen), "id", ["a"]).collect()), key=str)
+    brute = []
+    for k in range(6):
+        mine, versions = sorted((at, a) for i, a, at in seen if i == k), []
+        for at, a in mine:
+            if not versions or versions[-1][1] != a:
+                versions.append((at, a))
+        brute += [(k, a, at) for at, a in versions]
+    assert sorted(str((r[0], r[1], str(r[2]))) for r in want) == sorted(map(str, brute))
+    order = seen[:]
+    rng.shuffle(order)
+    parts = [order[: len(order) // 2], order[len(order) // 2 : -3], order[-3:]]
+    history, known = warehouse.scd2_history(make(parts[0]), "id", ["a"]), make(parts[0])
+    for part in parts[1:]:
+        known = known.unionByName(make(part))
+        history = warehouse.scd2_late(history, known, make(part), "id", ["a"])
+    assert sorted(map(tuple, history.collect()), key=str) == want
+    facts = [(i, rng.randrange(7), f"2024-{rng.randint(1, 12):02d}-{rng.choice([3, 10, 17]):02d} 0{rng.randrange(9)}:00:00") for i in range(300)] + [(900, None, "2024-05-05 00:00:00"), (901, 1, None)]
+    df = rows("n int, id int, ts timestamp", *facts)
+    got = {r.n: r.a for r in warehouse.at_its_time(df, history, "id", "ts", ["a"], "month").collect()}
+    for n, k, ts in facts:
+        before = [a for at, a in sorted((at, a) for i, a, at in seen if i == k and ts is not None and at <= ts)]
+        assert got[n] == (before[-1] if before else None), (n, k, ts)
+    assert len(got) == len(facts)
