@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -32,8 +33,11 @@ def noted_scratch() -> Iterator[list[str]]:
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder in the shared scratch folder."""
+    """A fresh folder in the shared scratch folder, with its file system named, as tasks that write files have no default one."""
     path = _scratch_dir(spark, purpose)
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
+        folder = Folder(spark, path)
+        path = folder.fs.makeQualified(folder.make(path)).toString()
     for note in _NOTES:
         note.append(path)
     return path
@@ -50,7 +54,8 @@ def drop_scratch(spark: SparkSession, paths: list[str], but_for: DataFrame) -> N
     """Remove scratch folders, except those that ``but_for`` reads, and forget them."""
     read = but_for.inputFiles() if paths else []
     for path in list(paths):
-        if not any(path in name for name in read):
+        folder = path.rstrip("/").rpartition("/")[2]  # a name of its own; file systems are written in several ways
+        if not any(f"/{folder}/" in name for name in read):
             Folder(spark, path).delete()
             paths.remove(path)
 
