@@ -169,3 +169,10 @@ FROM (SELECT date, revenue, lo, hi, greatest(lo - revenue, revenue - hi, 0) AS o
     DAILY))
 def sales_anomalies_iqr(t):
     return rounded(sales.sales_anomalies(daily(t), "iqr", 0.5), "score", digits=6)
+
+
+@query("forecast_by_category")
+def forecast_by_category(t):
+    """Months ahead of every category's revenue; a fold over a series is beyond plain SQL, tests compare it with one in Python."""
+    lines = t.fact_sales().join(t.products.select("product_id", "product_category_name"), "product_id")
+    return sales.seasonal_forecasts(lines, "product_category_name", "order_timestamp", "total_amount")

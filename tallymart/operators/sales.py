@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.aggregates import mean, ratio, total
 from ..functions.checks import require
@@ -289,3 +289,59 @@ def sales_anomalies(daily: DataFrame, method: str = "zscore", threshold: float =
             F.coalesce(score > threshold, F.lit(False)).alias("is_anomaly"),
         )
     raise ValueError("method must be zscore or iqr")
+
+
+# Smoothing weights of level, trend and season that are tried for every series.
+WEIGHTS = [(a, b, g) for a in (0.1, 0.3, 0.6) for b in (0.0, 0.1, 0.3) for g in (0.1, 0.3, 0.6)]
+
+
+def seasonal_forecasts(series: DataFrame, key: str, date: str, value: str, step: str = "month", season: int = 12, periods: int = 6, z: float = 1.96) -> DataFrame:
+    """Additive Holt-Winters forecasts of many series: ``(key, date, forecast, lower, upper)``.
+
+    A series has a value for every ``step`` from its first date to its last, 0 where there
+    is none, so it is one short array; all series are folded in parallel.  Level, trend and
+    season start from the first two seasons.  Of the weights in ``WEIGHTS``, those with the
+    least sum of squared one-step errors after two seasons count; the bounds are ``z``
+    times the root of its mean, growing with the root of the distance.  A series of less
+    than two seasons and one step has no forecast.
+    """
+    every = {"day": "interval 1 day", "week": "interval 7 days", "month": "interval 1 month"}[step]
+    at = F.date_trunc(step, date)
+    held = series.where(F.col(key).isNotNull() & F.col(date).isNotNull()).groupBy(F.col(key).alias("_key"), at.alias("_at")).agg(F.sum(value).cast("double").alias("_v"))
+    grid = held.groupBy("_key").agg(F.explode(F.sequence(F.min("_at"), F.max("_at"), F.expr(every))).alias("_at"))
+    whole = grid.join(held, ["_key", "_at"], "left").groupBy("_key").agg(
+        F.max("_at").alias("_end"), F.array_sort(F.collect_list(F.struct("_at", F.coalesce("_v", F.lit(0.0)).alias("v")))).alias("_rows")
+    )
+    values = whole.select("_key", "_end", F.transform("_rows", lambda r: r["v"]).alias("y")).where(F.size("y") > 2 * season)
+    total = lambda y, start: F.aggregate(F.slice(y, start, season), F.lit(0.0), lambda x, v: x + v) / season
+
+    def fold(y: Column, a: Column, b: Column, g: Column) -> Column:
+        level, later = total(y, 1), total(y, season + 1)
+        begin = F.struct(
+            F.lit(0.0).alias("sse"), F.lit(season).alias("t"), level.alias("level"), ((later - level) / season).alias("trend"),
+            F.transform(F.slice(y, 1, season), lambda v: v - level).alias("s"),
+        )
+
+        def move(state: Column, v: Column) -> Column:
+            place = state["t"] % season
+            s = F.get(state["s"], place)
+            error = v - (state["level"] + state["trend"] + s)
+            up = a * (v - s) + (1 - a) * (state["level"] + state["trend"])
+            slope = b * (up - state["level"]) + (1 - b) * state["trend"]
+            return F.struct(
+                (state["sse"] + F.when(state["t"] >= 2 * season, error * error).otherwise(0.0)).alias("sse"), (state["t"] + 1).alias("t"),
+                up.alias("level"), slope.alias("trend"),
+                F.transform(state["s"], lambda x, i: F.when(i == place, g * (v - up) + (1 - g) * s).otherwise(x)).alias("s"),
+            )
+
+        return F.aggregate(F.slice(y, F.lit(season + 1), F.size(y)), begin, move)
+
+    tried = F.array(*[F.struct(*[F.lit(float(w)).alias(n) for n, w in zip("abg", weights)]) for weights in WEIGHTS])
+    best = values.withColumn("best", F.array_min(F.transform(tried, lambda w: fold(F.col("y"), w["a"], w["b"], w["g"]))))
+    ahead = best.select("*", F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("h"))
+    middle = F.col("best.level") + F.col("h") * F.col("best.trend") + F.get("best.s", (F.col("best.t") + F.col("h") - 1) % season)
+    width = z * F.sqrt(F.col("best.sse") / (F.size("y") - 2 * season) * F.col("h"))
+    months = {"day": F.make_interval(days=F.col("h")), "week": F.make_interval(weeks=F.col("h")), "month": F.make_interval(months=F.col("h"))}[step]
+    return ahead.select(
+        F.col("_key").alias(key), (F.col("_end") + months).alias("date"), middle.alias("forecast"), (middle - width).alias("lower"), (middle + width).alias("upper")
+    )

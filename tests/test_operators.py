@@ -498,3 +498,44 @@ def test_late_observations_split_versions_and_facts_meet_theirs(spark, rows):
         before = [a for at, a in sorted((at, a) for i, a, at in seen if i == k and ts is not None and at <= ts)]
         assert got[n] == (before[-1] if before else None), (n, k, ts)
     assert len(got) == len(facts)
+
+
+def plain_holt_winters(y, m, a, b, g):
+    level, later = sum(y[:m]) / m, sum(y[m : 2 * m]) / m
+    trend, s, sse = (later - level) / m, [v - level for v in y[:m]], 0.0
+    for t in range(m, len(y)):
+        error = y[t] - (level + trend + s[t % m])
+        up = a * (y[t] - s[t % m]) + (1 - a) * (level + trend)
+        trend = b * (up - level) + (1 - b) * trend
+        s[t % m] = g * (y[t] - up) + (1 - g) * s[t % m]
+        level = up
+        sse += error * error if t >= 2 * m else 0.0
+    return sse, level, trend, s
+
+
+def test_seasonal_forecasts_equal_a_plain_version(spark, rows):
+    import math
+    import random
+
+    from tallymart.operators import sales
+
+    rng = random.Random(9)
+    data, want = [], {}
+    for key, n in (("a", 40), ("b", 23), ("short", 8), ("c", 30)):
+        y = [round(50 + 2 * t + 20 * math.sin(t * math.pi / 2) + rng.uniform(-5, 5), 3) if key != "c" or t % 7 else 0.0 for t in range(n)]
+        y[0], y[-1] = 30.0, 40.0
+        data += [(key, f"{2020 + t // 12}-{t % 12 + 1:02d}-{rng.randint(1, 28):02d} 05:00:00", v / 2) for t, v in enumerate(y) if v for _ in range(2)]
+        if n > 8:
+            best = min((plain_holt_winters(y, 4, *w) for w in sales.WEIGHTS), key=lambda r: r[0])
+            sse, level, trend, s = best
+            for h in range(1, 4):
+                middle, width = level + h * trend + s[(n + h - 1) % 4], 1.96 * math.sqrt(sse / (n - 8) * h)
+                t = n + h - 1
+                want[key, f"{2020 + t // 12}-{t % 12 + 1:02d}-01"] = (middle, middle - width, middle + width)
+    df = rows("k string, at timestamp, v double", *data, (None, "2020-01-01", 1.0), ("a", None, 5.0))
+    out = sales.seasonal_forecasts(df, "k", "at", "v", season=4, periods=3)
+    got = {(r.k, str(r.date)[:10]): (r.forecast, r.lower, r.upper) for r in out.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) and got[k][1] <= got[k][0] <= got[k][2] for k in want)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sales.seasonal_forecasts(df.limit(0), "k", "at", "v").collect() == []
