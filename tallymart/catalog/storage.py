@@ -18,6 +18,7 @@ from ..plans.views import refresh_view
 from ..schemas import CSV_FILES
 from ..session import scratch_dir
 from ..sources import readers, writers
+from ..sources.layout import write_clustered
 from ..sources.store import Conflict, Store, merge_fact
 from . import logs as _logs  # noqa: F401  its queries are used below
 from .registry import END, QUERIES, SQL, START, query
@@ -63,6 +64,19 @@ def partition_by_time(t):
     return _by_day(t.spark.read.parquet(path))
 
 
+@query("clustered_fact", with_staging(f"""
+SELECT 'customer' AS kind, customer_id AS id, COUNT(*) AS lines, {total('total_amount')} AS amount FROM fact_sales WHERE customer_id % 97 = 5 GROUP BY 2
+UNION ALL SELECT 'seller', seller_id, COUNT(*), {total('total_amount')} FROM fact_sales WHERE seller_id = 7 GROUP BY 2"""))
+def clustered_fact(t):
+    """A fact laid out so that a customer or a seller is in few files of a chunk."""
+    path = scratch_dir(t.spark, "clustered")
+    write_clustered(t.fact_sales(), path, ["customer_id", "product_id", "seller_id"], chunk="month")
+    fact = t.spark.read.parquet(path)
+    figures = [F.count(F.lit(1)).alias("lines"), F.sum("total_amount").cast("double").alias("amount")]
+    some = lambda kind, rows: rows.groupBy(F.lit(kind).alias("kind"), F.col(f"{kind}_id").cast("long").alias("id")).agg(*figures)
+    return some("customer", fact.where("customer_id % 97 = 5")).unionByName(some("seller", fact.where("seller_id = 7")))
+
+
 @query("append_fact", FACT_BY_DAY)
 def append_fact(t):
     path = scratch_dir(t.spark, "fact")

@@ -251,3 +251,28 @@ def test_marts_take_earlier_days_from_what_is_kept(spark, rows, tmp_path):
     assert [str(r.event_date) for r in scanned] == ["2024-01-05"]
     plan = read._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan
+
+
+def test_few_files_hold_a_value_of_a_clustered_table(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from tallymart.sources.layout import write_clustered
+
+    df = spark.range(0, 60_000, 1, 6).select(
+        F.pmod(F.xxhash64("id"), F.lit(500)).alias("customer_id"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(300)).alias("product_id"),
+        F.when(F.col("id") % 50 != 0, F.pmod(F.xxhash64("id", F.lit(2)), F.lit(100))).alias("seller_id"), F.lit("2024-01-05").cast("date").alias("order_date"), "id",
+    )
+    path, columns = str(tmp_path / "fact"), ["customer_id", "product_id", "seller_id"]
+    write_clustered(df, path, columns, files=64)
+    assert sorted(r.id for r in spark.read.parquet(path).select("id").collect()) == list(range(60_000))
+    files = [pq.ParquetFile(f) for f in glob.glob(f"{path}/*/*.parquet")]
+    assert len(files) > 50
+    for c in columns:
+        place = files[0].schema_arrow.names.index(c)
+        spans = [(s.min, s.max) for f in files for g in range(f.num_row_groups) for s in [f.metadata.row_group(g).column(place).statistics]]
+        for value in (3, 50, 99):  # 64 files are four places in each of three columns: a quarter of the files, half where ranges do not fit the places
+            assert sum(low is not None and low <= value <= high for low, high in spans) <= 0.5 * len(spans), (c, value)
+    hit = spark.read.parquet(path).where("customer_id = 77")
+    assert hit.count() == df.where("customer_id = 77").count()
