@@ -237,3 +237,34 @@ def test_alerts_hold_over_batches_and_late_rows(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "lake/alerts")).select("*", "window.start").withColumnRenamed("start", "window_start")
     want = [key(r) for r in logs.rate_alerts(spark.read.schema(schema).json(str(tmp_path / "logs"))).collect() if r.window_end.hour < 9]
     assert sorted(map(key, got.collect())) == sorted(want) and len(want) > 10
+
+
+def test_all_topics_of_more_sign_ups_than_their_microseconds_fit_a_long(spark, tmp_path):
+    """Sums of epoch microseconds of 6,000 rows are beyond 2**63; the figures equal the SQL's."""
+    from compare import differences, spark_result, sql_result
+
+    from tallymart.catalog import QUERIES, SQL
+    from tallymart.schemas import GIVEN_TABLES
+    from tallymart.staging import Tables
+
+    import duckdb
+
+    hours = lambda start, step: F.expr(f"TIMESTAMP '{start}' + id * INTERVAL {step} MINUTE")
+    rows = {
+        "events": spark.range(6000).select(
+            F.col("id").alias("event_id"), hours("2024-01-01", 7).alias("ts"), (F.col("id") % 50).alias("user_id"), F.lit("signup").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props")),
+        "orders": spark.range(40).select(
+            F.col("id").alias("o_orderkey"), (F.col("id") % 7).alias("o_custkey"), F.lit("F").alias("o_orderstatus"), (F.col("id") + 0.5).alias("o_totalprice"), hours("1998-01-01", 50).alias("o_orderdate"), F.lit("1").alias("o_orderpriority")),
+        "lineitem": spark.range(40).select(
+            F.col("id").alias("l_orderkey"), F.col("id").alias("l_partkey"), F.col("id").alias("l_suppkey"), F.lit(1).alias("l_linenumber"), F.lit(1.0).alias("l_quantity"), (F.col("id") + 0.25).alias("l_extendedprice"),
+            F.lit(0.0).alias("l_discount"), F.lit(0.02).alias("l_tax"), F.lit("N").alias("l_returnflag"), F.lit("F").alias("l_linestatus"), hours("1998-02-01", 50).alias("l_shipdate")),
+    }
+    con = duckdb.connect()
+    for name, df in rows.items():
+        df.select([F.col(f.name).cast(f.dataType) for f in GIVEN_TABLES[name].fields]).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("region", "nation", "customer", "supplier", "part"):
+        cells = ", ".join(f"NULL AS {f.name}" for f in GIVEN_TABLES[name].fields)
+        con.execute(f"CREATE VIEW {name} AS SELECT {cells} WHERE false")
+    got = spark_result(QUERIES["stream_all_topics"](Tables(spark, str(tmp_path))))
+    assert differences(got, sql_result(con, SQL["stream_all_topics"])) is None
