@@ -276,3 +276,33 @@ def test_few_files_hold_a_value_of_a_clustered_table(spark, tmp_path):
             assert sum(low is not None and low <= value <= high for low, high in spans) <= 0.5 * len(spans), (c, value)
     hit = spark.read.parquet(path).where("customer_id = 77")
     assert hit.count() == df.where("customer_id = 77").count()
+
+
+def test_stored_results_come_from_one_fact_and_are_made_once(spark, rows, tmp_path, monkeypatch):
+    from tallymart.catalog import storage
+
+    fact = spark.range(40).selectExpr("id AS order_id", "id % 3 AS customer_id", "CAST(id AS DECIMAL(12,2)) AS total_amount")
+    made = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: made.add(1) or x, "long")
+    seen = []
+
+    def results(stored_fact, *_):
+        seen.append(stored_fact.inputFiles())
+        return {"daily_sales": stored_fact.groupBy("customer_id").agg(F.sum("total_amount").alias("sum")).withColumn("customer_id", count.asNondeterministic()("customer_id"))}
+
+    monkeypatch.setattr(load, "analysis_results", results)
+    tables = SimpleNamespace(spark=spark, fact_sales=lambda: fact, customers=None, products=None, sellers=None)
+    got = sorted(tuple(r) for r in storage.write_csv_results(tables).select("customer_id", F.col("sum").cast("int")).collect())
+    assert got == [(r, sum(range(r, 40, 3))) for r in range(3)]
+    assert seen[0] and all("/fact-" in f for f in seen[0])
+    assert made.value == 3
+
+
+def test_frames_differ_by_a_cell_and_by_how_often_a_row_is_there(rows):
+    from tallymart.catalog.storage import differ
+
+    one = rows("a int, b string", (1, "x"), (1, "x"), (None, None))
+    assert not differ(one, rows("a int, b string", (None, None), (1, "x"), (1, "x")))
+    assert differ(one, rows("a int, b string", (None, None), (1, "x")))
+    assert differ(one, rows("a int, b string", (None, None), (1, "x"), (1, None)))
+    assert differ(rows("a int, b string", (1, "x")), rows("a int, b string"))
