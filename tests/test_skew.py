@@ -86,3 +86,27 @@ def test_join_on_key_is_a_plain_join(rows, how):
     one = rows("k int", (1,), (9,))
     got = sorted(map(str, join_on_key(many, one, "k", how).collect()))
     assert got == sorted(map(str, many.join(one, "k", how).collect()))
+
+
+def test_tables_bound_what_a_task_reads(spark):
+    from tallymart.session import SHUFFLE_PARTS, SPLIT_BYTES
+    from tallymart.staging import Tables
+
+    parts = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    keys = [*SPLIT_BYTES, parts]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in SPLIT_BYTES:
+            spark.conf.set(k, "128MB")
+        spark.conf.unset(parts)
+        Tables(spark, "/nowhere")
+        assert [int(spark.conf.get(k)) for k in SPLIT_BYTES] == [*SPLIT_BYTES.values()]
+        assert int(spark.conf.get(parts)) == SHUFFLE_PARTS
+        for k in SPLIT_BYTES:  # a session's own tighter bounds stay
+            spark.conf.set(k, "1m")
+        spark.conf.set(parts, "5000")
+        Tables(spark, "/nowhere")
+        assert [spark.conf.get(k) for k in SPLIT_BYTES] == ["1m"] * len(SPLIT_BYTES) and spark.conf.get(parts) == "5000"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
