@@ -1,18 +1,20 @@
 """Quality of documents by the perplexity of a modified Kneser-Ney model of trusted text.
 
-The model interpolates word trigrams, bigrams and single words.  Its counts come from a
-bounded sample of trusted documents and are turned into discounted figures by joins that
-Spark shards by n-gram.  Every document is scored whole: chunks of coded documents ask
-for the figures of their distinct n-grams, which a filter of bounded size has passed, and
-a sharded join answers.  A document is rejected if its perplexity exceeds a quantile,
-specific to its language, of trusted documents that the model has not learned from.
+The model interpolates word trigrams, bigrams and single words.  Its counts come from all
+trusted documents of the learned half.  Words are numbered through; counted n-grams lie in
+blocks of sorted numbers, dealt to buckets by a hash of their last two words, as many as
+the text needs, so no part of the model that grows with the text is held by the driver or
+one task.  Every document is scored whole: chunks of coded documents ask the buckets for
+their distinct words and then for their distinct pairs and triples, and get the counts back
+in the order in which they asked.  A document is rejected if its perplexity exceeds a
+quantile, specific to its language, of trusted documents that the model has not learned from.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +25,26 @@ from .chunks import pack_numbers, unpack_numbers
 from .common import arrow_rows, drop_scratch, key_array, mix64, noted_scratch, session, smallest_of, split_words, stored, table, word_keys
 from .registry import query
 
-PER_LANG = 500  # trusted documents of a language that the model learns from
+PER_LANG = 500  # trusted documents of a language that ``rate_documents`` learns from unless told to learn from all
 QUANTILE, SLACK = 0.995, 1.25
-DIGIT = 1 << 21  # word numbers are below this, so three of them fit a key
 UNKNOWN, START, END, FIRST = 0, 1, 2, 3
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+PART_TOKENS = 200_000  # tokens rated at once, so that what is made of each stays small
+CHUNK = "chunk long, doc_ids array<long>, langs array<string>, lengths array<int>, codes binary, words binary, counts binary"
+ASKED = "bucket int, to long, b binary, c binary, per binary, a binary"
+BLOCK = "bucket int, contexts boolean, b binary, c binary, per binary, a binary, n binary"
+FOUND = "to long, bucket int, found binary"
+WORD_FIGURES = ["number", "n", "total", "once", "twice", "more"]
+SCORED = "doc_id long, lang string, n_tokens long, log_p double"
+LOW = (1 << 32) - 1
+
+# Keys of the n-grams of a small model, which can be looked at as one table.
+DIGIT = 1 << 21
 PAIR = DIGIT - 1  # in the first place of a key: a key of two words
-CHUNK_BYTES = 16 << 20
-CHUNK = "chunk long, doc_ids array<long>, langs array<string>, fitted array<boolean>, lengths array<int>, codes binary, passed binary"
-SCORED = "doc_id long, lang string, fitted boolean, n_tokens long, log_p double"
+
+
+def key_of(a, b, c):
+    return (a * DIGIT + b) * DIGIT + c
 
 
 def trigram_keys(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -48,267 +62,391 @@ def trigram_keys(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np
     return two, one, last, owner
 
 
-def key_of(a, b, c):
-    return (a * DIGIT + b) * DIGIT + c
+def _batch(schema: str, rows: list[tuple]) -> pa.Table:
+    """Rows as a table of flat columns."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table({name: pa.array([r[i] for r in rows], kinds[kind]) for i, (name, kind) in enumerate(fields)})
 
 
-class Passed:
-    """A filter of keys that may be known: no known key is lost, few others pass (three probes, 12 bits a key)."""
+class Grams:
+    """Distinct pairs ``b << 32 | c`` and triples ``place of the pair << 32 | a``, ascending, and where each token has its own."""
 
-    def __init__(self, keys: np.ndarray):
-        self.bits = np.uint64(max(1024, 12 * len(keys)))
-        self.field = np.zeros(int(self.bits) // 8 + 1, np.uint8)
-        for at in self._probes(keys):
-            np.bitwise_or.at(self.field, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+    def __init__(self, pair: np.ndarray, a: np.ndarray):
+        self.pairs, self.of_pair = np.unique(pair, return_inverse=True)
+        self.triples, self.of_triple = np.unique(self.of_pair[: len(a)] << 32 | a, return_inverse=True)
 
-    def _probes(self, keys: np.ndarray) -> Iterator[np.ndarray]:
-        mixed = mix64(keys.astype(np.uint64))
-        for turn in (0, 21, 42):
-            yield (mix64(mixed + np.uint64(turn)) % self.bits).astype(np.int64)
+    def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice, slice]]]:
+        """Orders of pairs and triples by bucket, and each bucket's parts of them."""
+        bucket = (mix64(self.pairs.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        of_triple = bucket[self.triples >> 32]
+        pairs, triples = np.argsort(bucket, kind="stable"), np.argsort(of_triple, kind="stable")
+        here, first = np.unique(bucket[pairs], return_index=True)
+        cuts = np.append(first, len(pairs)), np.append(np.searchsorted(of_triple[triples], here), len(triples))
+        return pairs, triples, [(int(k), slice(cuts[0][i], cuts[0][i + 1]), slice(cuts[1][i], cuts[1][i + 1])) for i, k in enumerate(here)]
 
-    def test(self, keys: np.ndarray) -> np.ndarray:
-        left = np.arange(len(keys))
-        mixed = mix64(keys.astype(np.uint64))
-        for turn in (0, 21, 42):  # most unknown keys stop at the first probe
-            at = (mix64(mixed[left] + np.uint64(turn)) % self.bits).astype(np.int64)
-            left = left[(self.field[at >> 3] >> (at & 7)) & 1 == 1]
-        ok = np.zeros(len(keys), bool)
-        ok[left] = True
-        return ok
+    def packed(self, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, tuple[bytes, ...]]]:
+        """Each bucket with its pairs, its triples and these as bytes."""
+        by_pair, by_triple, parts = self.dealt(buckets)
+        per = np.bincount(self.triples >> 32, minlength=len(self.pairs))
+        for bucket, some, more in parts:
+            pairs, triples = by_pair[some], by_triple[more]
+            numbers = self.pairs[pairs] >> 32, self.pairs[pairs] & LOW, per[pairs], self.triples[triples] & LOW
+            yield bucket, pairs, triples, tuple(pack_numbers(x) for x in numbers)
 
 
-def _coder(vocabulary: np.ndarray):
-    """Words of a text as numbers: place in the sorted vocabulary of word keys, or unknown."""
-    keys = word_keys()
+def _unpacked(b: bytes, c: bytes, per: bytes, a: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs, the place of each triple's pair, and each triple's first number."""
+    pairs = unpack_numbers(b).astype(np.int64) << 32 | unpack_numbers(c).astype(np.int64)
+    return pairs, np.repeat(np.arange(len(pairs)), unpack_numbers(per)), unpack_numbers(a).astype(np.int64)
 
-    def code(text: str | None) -> np.ndarray:
-        words = key_array(split_words(text.encode()), keys) if text else np.empty(0, np.uint64)
-        if not len(vocabulary):
-            return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-        return np.where(vocabulary[at] == words, at + FIRST, UNKNOWN)
 
-    return code
+def _coded(docs: DataFrame, counted: bool = False) -> DataFrame:
+    """Chunks of ``docs(doc_id, text, lang)``: the keys of the distinct words, each word as a place among them and, if ``counted``, their counts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, part, number = word_keys(), TaskContext.get().partitionId(), 0
+        schema = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("lengths", pa.list_(pa.int32())),
+                            ("codes", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
+        held, size = [], 0
 
-def _discounts(counted: DataFrame, column: str) -> list[float]:
-    """Discounts of counts 1, 2 and 3 or more, from how many n-grams have counts 1 to 4."""
-    n = dict.fromkeys(range(1, 5), 0) | {r[0]: r[1] for r in counted.filter(F.col(column) <= 4).groupBy(column).count().collect()}
-    if not n[1]:
-        return [0.0, 0.5, 0.5, 0.5]
-    y = n[1] / (n[1] + 2 * n[2])
-    each = [i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5 for i in (1, 2, 3)]
-    return [0.0, *(min(max(d, 0.1), i - 0.1) for i, d in zip((1, 2, 3), each))]
+        def flush() -> pa.RecordBatch:
+            words, codes, counts = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True, return_counts=True)
+            by_count = np.argsort(-counts, kind="stable")  # frequent words have small codes, which take less room
+            rank = np.empty(len(words), np.int64)
+            rank[by_count] = np.arange(len(words))
+            counts = pack_numbers(counts[by_count]) if counted else b""
+            row = [[part * 2**32 + number], *([[h[i] for h in held]] for i in range(2)), [[len(h[2]) for h in held]],
+                   [pack_numbers(rank[codes])], [words[by_count].tobytes()], [counts]]
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
+
+        for batch in batches:
+            for doc_id, text, lang in arrow_rows(batch, "doc_id", "text", "lang"):
+                held.append((doc_id, lang, key_array(split_words(text.encode()), keys) if text else np.empty(0, np.uint64)))
+                size += len(text or "")
+                if size >= CHUNK_BYTES or len(held) >= 50_000:
+                    yield flush()
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield flush()
+
+    return docs.select("doc_id", "text", "lang").mapInArrow(run, CHUNK)
+
+
+def _found_words(chunks: DataFrame, words: DataFrame, columns: list[str], buckets: int) -> DataFrame:
+    """The given columns of ``words(word, number, ...)`` for the distinct words of each chunk; zeros for words without a row."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, data in arrow_rows(batch, "chunk", "words"):
+                word = np.sort(np.frombuffer(data, np.uint64))
+                bucket, first = np.unique((word >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), return_index=True)
+                cuts = np.append(first, len(word))
+                yield from _batch("bucket int, to long, words binary", [(int(k), chunk, word[cuts[i] : cuts[i + 1]].tobytes()) for i, k in enumerate(bucket)]).to_batches()
+
+    def find(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = right.column("word").to_numpy().view(np.uint64) if right.num_rows else np.empty(0, np.uint64)
+        order = np.argsort(known)
+        known = known[order]
+        values = [np.append(right.column(c).to_numpy()[order] if right.num_rows else [], 0).astype(np.int64) for c in columns]
+        out = []
+        for row in left.to_pylist():
+            word = np.frombuffer(row["words"], np.uint64)
+            at = np.searchsorted(known, word)
+            at[np.append(known, 0)[at] != word] = len(known)
+            out.append((row["to"], row["bucket"], pack_numbers(np.concatenate([v[at] for v in values]), "<u8")))
+        return _batch(FOUND, out)
+
+    asked = chunks.mapInArrow(ask, "bucket int, to long, words binary")
+    place = F.shiftright(F.shiftrightunsigned("word", 32) * F.lit(buckets), 32).cast("int")
+    return asked.groupBy("bucket").cogroup(words.select(place.alias("bucket"), "word", *columns).groupBy("bucket")).applyInArrow(find, FOUND)
+
+
+def _joined(rows: list[dict], words: bytes, columns: int) -> np.ndarray:
+    """What the buckets answered for the distinct words of one chunk, which were asked for in ascending order."""
+    parts = [unpack_numbers(r["found"], "<u8").astype(np.int64).reshape(columns, -1) for r in sorted(rows, key=lambda r: r["bucket"])]
+    out = np.empty((columns, len(words) // 8), np.int64)
+    out[:, np.argsort(np.frombuffer(words, np.uint64))] = np.concatenate([out[:, :0], *parts], axis=1)
+    return out
+
+
+def _discounts(n: list[int]) -> np.ndarray:
+    """Discounts of counts 0, 1, 2 and 3 or more, from how many n-grams have counts 1 to 4."""
+    if not n[0]:
+        return np.array([0.0, 0.5, 0.5, 0.5])
+    y = n[0] / (n[0] + 2 * n[1])
+    each = [i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else 0.5 for i in (1, 2, 3)]
+    return np.array([0.0, *(min(max(d, 0.1), i - 0.1) for i, d in zip((1, 2, 3), each))])
+
+
+def _pair_counts(pairs: np.ndarray, of: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many words come before a pair; nothing comes before a start, so pairs with it count as often as they occur."""
+    size = len(pairs)
+    return np.where(pairs >> 32 == START, np.bincount(of, n, size), np.bincount(of, minlength=size)).astype(np.int64)
+
+
+def _classes(of: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """The total of the counts of each context, and how many of them are 1, 2 and more."""
+    return np.stack([np.bincount(of, n, size), *(np.bincount(of[np.minimum(n, 3) == k], minlength=size) for k in (1, 2, 3))]).astype(np.int64)
+
+
+def _rest(classes: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """What contexts leave to shorter ones."""
+    return np.where(classes[0] > 0, d[1:] @ classes[1:] / np.maximum(classes[0], 1), 1.0)
+
+
+def _share(n: np.ndarray, total: np.ndarray | float, d: np.ndarray) -> np.ndarray:
+    """Discounted probability of what occurs ``n`` times in a context."""
+    return (n - d[np.minimum(n, 3)]) / np.maximum(total, 1)
+
+
+class Part:
+    """Counts of the pairs, triples and contexts in blocks of one bucket."""
+
+    def __init__(self, blocks: list[dict]):
+        pair, of, first, n, size = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        context, classes = [np.empty(0, np.int64)], [np.empty((4, 0), np.int64)]
+        for block in blocks:
+            pairs, place, a = _unpacked(*(block[c] for c in ("b", "c", "per", "a")))
+            counts = unpack_numbers(block["n"], "<u8").astype(np.int64)
+            if block["contexts"]:
+                context.append(pairs)
+                classes.append(counts.reshape(4, -1))
+            else:
+                pair.append(pairs)
+                of.append(place + size)
+                first.append(a)
+                n.append(counts)
+                size += len(pairs)
+        pair, of = np.concatenate(pair), np.concatenate(of)
+        grams = Grams(pair[of], np.concatenate(first))
+        self.pairs, self.triples = grams.pairs, grams.triples
+        self.n3 = np.bincount(grams.of_triple, np.concatenate(n), len(self.triples)).astype(np.int64)
+        self.n2 = _pair_counts(self.pairs, self.triples >> 32, self.n3)
+        self.contexts, at = np.unique(np.concatenate(context), return_inverse=True)
+        self.classes = np.stack([np.bincount(at, row, len(self.contexts)) for row in np.concatenate(classes, axis=1)]).astype(np.int64)
+
+    def answer(self, pairs: np.ndarray, of: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """Counts of the asked pairs, their classes as contexts, and counts of the asked triples; 0 for what is not there."""
+        at = _places(self.pairs, pairs)
+        triple = np.where(at[of] < len(self.pairs), at[of] << 32 | a, -1)
+        n2, n3 = np.append(self.n2, 0)[at], np.append(self.n3, 0)[_places(self.triples, triple)]
+        classes = np.append(self.classes, np.zeros((4, 1), np.int64), axis=1)[:, _places(self.contexts, pairs)]
+        return np.concatenate([n2, classes.reshape(-1), n3])
+
+
+def _places(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where ``asked`` values are among ascending ones; their number for those that are not there."""
+    at = np.searchsorted(known, asked)
+    at[np.append(known, 0)[at] != asked] = len(known)
+    return at
 
 
 class Model:
-    """Figures of words on the driver (their number is bounded by the sample), of pairs and triples in a stored table.
+    """``words(word, number, n, total, once, twice, more)`` and ``counted``, blocks of triples with their counts, as stored tables.
 
-    ``figures(key, a, g)``: discounted probability of an n-gram, and for pairs the share
-    that is left to shorter contexts when the pair is the context.
+    A word has its count, and as a context the total of the pairs' counts and how many of
+    these are 1, 2 and more; ``special`` holds the same of the unknown word, the start and
+    the end.  ``discounts`` are those of words, pairs and triples.
     """
 
-    def __init__(self, vocabulary, word_p, word_rest, unknown_share, passed, figures):
-        self.vocabulary, self.word_p, self.word_rest = vocabulary, word_p, word_rest
-        self.unknown_share, self.passed, self.figures = unknown_share, passed, figures
-
-    def small(self):
-        return self.vocabulary, self.word_p, self.word_rest, self.unknown_share, self.passed
+    def __init__(self, words: DataFrame, counted: DataFrame, n_words: int, special: np.ndarray, discounts: list[np.ndarray], total: int, spare: float, unknown_share: float):
+        self.words, self.counted, self.n_words, self.special = words, counted, n_words, special
+        self.discounts, self.total, self.spare, self.unknown_share = discounts, total, spare, unknown_share
+
+    def blocks(self, buckets: int) -> DataFrame:
+        """Triples and contexts, dealt to so many buckets."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for *numbers, n in arrow_rows(batch, "b", "c", "per", "a", "n"):
+                    pairs, of, a = _unpacked(*numbers)
+                    n = unpack_numbers(n, "<u8").astype(np.int64)
+                    grams = Grams(pairs[of], a)  # ascending and distinct already, so in the order of ``n``
+                    rows = [(k, False, *data, pack_numbers(n[triples], "<u8")) for k, _, triples, data in grams.packed(buckets)]
+                    context = Grams(a << 32 | pairs[of] >> 32, np.empty(0, np.int64))
+                    classes = _classes(context.of_pair, n, len(context.pairs))
+                    rows += [(k, True, *data, pack_numbers(classes[:, some].reshape(-1), "<u8")) for k, some, _, data in context.packed(buckets)]
+                    yield from _batch(BLOCK, rows).to_batches()
+
+        return self.counted.mapInArrow(run, BLOCK)
+
+    @cached_property
+    def _small(self) -> tuple[np.ndarray, Part]:
+        """Figures of all words and counts of all n-grams, to look at a small model."""
+        figures = np.zeros((5, self.n_words + FIRST), np.int64)
+        figures[:, :FIRST] = self.special
+        for number, *row in self.words.select(*WORD_FIGURES).collect():
+            figures[:, number] = row
+        return figures, Part([r.asDict() for r in self.blocks(1).collect()])
+
+    @property
+    def word_p(self) -> np.ndarray:
+        return _share(self._small[0][0], self.total, self.discounts[0]) + self.spare
+
+    @property
+    def word_rest(self) -> np.ndarray:
+        return _rest(self._small[0][1:], self.discounts[1])
+
+    @property
+    def figures(self) -> DataFrame:
+        """``(key, a, g)`` of a small model: probability of an n-gram, and for pairs the share left when the pair is the context."""
+        words, part = self._small
+        whole = np.append(part.classes, np.zeros((4, 1), np.int64), axis=1)
+        pair = part.pairs[part.triples >> 32]
+        a, b, c = part.triples & LOW, pair >> 32, pair & LOW
+        rows = list(zip(key_of(a, b, c).tolist(), _share(part.n3, whole[0, _places(part.contexts, a << 32 | b)], self.discounts[2]).tolist(), [1.0] * len(a)))
+        every = np.union1d(part.pairs, part.contexts)
+        b, c = every >> 32, every & LOW
+        p = _share(np.append(part.n2, 0)[_places(part.pairs, every)], words[1, b], self.discounts[1])
+        g = _rest(whole[:, _places(part.contexts, every)], self.discounts[2])
+        rows += zip(key_of(PAIR, b, c).tolist(), p.tolist(), g.tolist())
+        return self.words.sparkSession.createDataFrame(rows, "key long, a double, g double")
 
 
 def fit(sample: DataFrame) -> Model:
-    """The model of ``sample(text)``, a bounded number of documents; words seen once stand for unknown ones."""
+    """The model of ``sample(text)``; words seen once stand for unknown ones."""
     spark = session(sample.sparkSession)
+    nobody = sample.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("string").alias("lang"))
+    with noted_scratch() as used:
+        chunks = stored(_coded(nobody, counted=True), "kn-chunks")
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = word_keys()
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [key_array(split_words(t.encode()), keys) for (t,) in arrow_rows(batch, "text") if t]
-            key, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
-
-    counted = sample.select("text").mapInArrow(words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    # Sample words only: a bounded list.
-    rows = counted.toArrow()
-    word, n = rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    vocabulary = np.sort(word[n > 1])
-    if len(vocabulary) > DIGIT - FIRST - 1:
-        raise ValueError(f"the sample has more than {DIGIT - FIRST - 1} words that occur again; learn from fewer documents")
-    unknown_share = 1.0 / (1 + int((n == 1).sum()))
-    shared = spark.sparkContext.broadcast(vocabulary)
-
-    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = _coder(shared.value)
+            for words, counts in arrow_rows(batch, "words", "counts"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words, np.int64)), pa.array(unpack_numbers(counts).astype(np.int64))], ["word", "n"])
+
+    with noted_scratch() as more_used:
+        counted = stored(chunks.mapInArrow(occurrences, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "kn-counts")
+        # Words are numbered through, frequent ones first: by their place in the part that a task wrote, and the sizes of the parts before.
+        place = F.monotonically_increasing_id()
+        ordered = counted.filter("n > 1").orderBy(F.desc("n"), "word").select("word", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+        placed = stored(ordered, "kn-places")
+    tokens, once = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1)).first()
+    begin, n_words = [], 0
+    for part, n in sorted(placed.groupBy("part").count().collect()):  # a row for each task
+        begin, n_words = [*begin, (part, n_words + FIRST)], n_words + n
+    if n_words >= 1 << 31:
+        raise ValueError("more than two milliards of words")
+    begin = spark.createDataFrame(begin, "part long, begin long")
+    words = placed.join(F.broadcast(begin), "part").select("word", (F.col("place") + F.col("begin")).alias("number"))
+    buckets = 1 + int(tokens) // (BUCKET_BYTES // 8)
+
+    def triples(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        numbers = _joined(right.to_pylist(), row["words"], 1)[0]
+        a, b, c, _ = trigram_keys(numbers[unpack_numbers(row["codes"])], np.array(row["lengths"], np.int64))
+        grams = Grams(b << 32 | c, a)
+        n = np.bincount(grams.of_triple)
+        return _batch(BLOCK, [(k, False, *data, pack_numbers(n[some], "<u8")) for k, _, some, data in grams.packed(buckets)])
+
+    def summed(blocks: pa.Table) -> pa.Table:
+        part = Part(blocks.to_pylist())
+        grams = Grams(part.pairs[part.triples >> 32], part.triples & LOW)
+        (_, _, _, data), = grams.packed(1)
+        much = lambda n: [int((n == k).sum()) for k in range(1, 5)]
+        return pa.table({**{c: [x] for c, x in zip(("b", "c", "per", "a", "n"), (*data, pack_numbers(part.n3, "<u8")))}, "pairs": [much(part.n2)], "triples": [much(part.n3)]})
+
+    dealt = chunks.groupBy("chunk").cogroup(_found_words(chunks, words, ["number"], buckets).groupBy("to")).applyInArrow(triples, BLOCK)
+    blocks = stored(dealt.groupBy("bucket").applyInArrow(summed, "b binary, c binary, per binary, a binary, n binary, pairs array<long>, triples array<long>"), "kn-triples")
+
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [code(t) for (t,) in arrow_rows(batch, "text")]
-            if texts:
-                a, b, c, _ = trigram_keys(np.concatenate(texts), np.array([len(t) for t in texts]))
-                key, n = np.unique(key_of(a, b, c), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
-
-    digit = lambda k, i: F.shiftright(F.col(k), 21 * i).bitwiseAND(F.lit(DIGIT - 1))
-    tri = stored(
-        sample.select("text").mapInArrow(triples, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        .select("key", "n", digit("key", 2).alias("a"), digit("key", 1).alias("b"), digit("key", 0).alias("c")), "kn-triples",
-    )
-    # How many words come before a pair; nothing comes before a start, so pairs with it count as often as they occur.
-    before = F.when(F.col("b") == START, F.sum("n")).otherwise(F.count("*"))
-    pairs = stored(tri.groupBy("b", "c").agg(before.alias("n")), "kn-pairs")
-    singles = pairs.groupBy("c").agg(F.count("*").alias("n"))
-
-    def discounted(rows: DataFrame, context: list[str]) -> DataFrame:
-        d = _discounts(rows, "n")
-        off = F.when(F.col("n") == 1, d[1]).when(F.col("n") == 2, d[2]).otherwise(d[3])
-        total = rows.groupBy(*context).agg(F.sum("n").alias("total"))
-        spread = F.xxhash64(*context)  # a frequent context is a hot key, which Spark can split as both sides are shuffled anew
-        return rows.withColumn("_s", spread).join(total.withColumn("_s", spread), [*context, "_s"]).drop("_s").withColumn("p", (F.col("n") - off) / F.col("total"))
-
-    p3 = discounted(tri, ["a", "b"])
-    p2 = discounted(pairs, ["b"])
-    rest3 = tri.select("a", "b").distinct().join(p3.groupBy("a", "b").agg(F.sum("p").alias("kept")), ["a", "b"], "left").select(
-        F.col("a").alias("b"), F.col("b").alias("c"), (1 - F.coalesce("kept", F.lit(0.0))).alias("g"))
-    two = p2.select("b", "c", "p").join(rest3, ["b", "c"], "full").select(
-        (F.lit(PAIR * DIGIT * DIGIT) + F.col("b") * DIGIT + F.col("c")).alias("key"), F.coalesce("p", F.lit(0.0)).alias("a"), F.coalesce("g", F.lit(1.0)).alias("g"))
-    figures = stored(p3.select("key", F.col("p").alias("a"), F.lit(1.0).alias("g")).unionAll(two).select("key", F.col("a").cast("float"), F.col("g").cast("float")), "kn-figures")
-    size = len(vocabulary) + FIRST
-    word_p, word_rest = np.full(size, 0.0), np.ones(size)
-    one = singles.toArrow()
-    c, n = one.column("c").to_numpy(), one.column("n").to_numpy()
-    if len(n):
-        d = np.array(_discounts(singles, "n"))
-        word_p[c] = (n - d[np.minimum(n, 3)]) / n.sum()
-    word_p += max(0.0, 1 - word_p.sum()) / max(1, size - 1)  # no word is a start
-    rest2 = p2.groupBy("b").agg((1 - F.sum("p")).alias("g")).toArrow()
-    word_rest[rest2.column("b").to_numpy()] = rest2.column("g").to_numpy()
-    passed = Passed(figures.select("key").toArrow().column("key").to_numpy())
-    return Model(vocabulary, word_p, word_rest, unknown_share, passed, figures)
-
-
-def _parts(codes: np.ndarray, lengths: np.ndarray, tokens: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Runs of whole texts of about so many words, so that what is made of each word stays small."""
-    ends = np.cumsum(lengths)
-    at = 0
-    while at < len(lengths):
-        start = int(ends[at] - lengths[at])
-        to = max(at + 1, int(np.searchsorted(ends, start + tokens, side="right")))
-        yield codes[start : int(ends[to - 1])], lengths[at:to]
-        at = to
-
-
-def _keys(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token the keys of its triple and of the pair that ends with it."""
-    a, b, c, _ = trigram_keys(codes, lengths)
-    return key_of(a, b, c), key_of(PAIR, b, c)
-
-
-def _wanted(codes: np.ndarray, lengths: np.ndarray, passed: np.ndarray) -> np.ndarray:
-    """Distinct keys of pairs and triples that have ``passed``, in ascending order."""
-    found, at = [np.array([key_of(PAIR, START, START)])], 0
-    for part, sizes in _parts(codes, lengths):
-        n = len(part) + len(sizes)
-        both = np.concatenate(_keys(part, sizes))
-        found.append(np.unique(both[passed[at : at + 2 * n]]))
-        at += 2 * n
-    return np.unique(np.concatenate(found))
+            for *numbers, n in arrow_rows(batch, "b", "c", "per", "a", "n"):
+                pairs, of, _ = _unpacked(*numbers)
+                n2 = _pair_counts(pairs, of, unpack_numbers(n, "<u8").astype(np.int64))
+                number, at = np.unique(np.concatenate([pairs & LOW, pairs >> 32]), return_inverse=True)
+                as_last, as_context = np.split(at, 2)
+                columns = [np.bincount(as_last, minlength=len(number)), *_classes(as_context, n2, len(number))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in [number, *columns]], WORD_FIGURES)
+
+    figures = blocks.mapInArrow(of_words, ", ".join(f"{c} long" for c in WORD_FIGURES)).groupBy("number").agg(*[F.sum(c).alias(c) for c in WORD_FIGURES[1:]])
+    figures = stored(figures, "kn-word-figures")
+    special = np.zeros((5, FIRST), np.int64)
+    for number, *row in figures.filter(F.col("number") < FIRST).select(*WORD_FIGURES).collect():
+        special[:, number] = row
+    sums = lambda c: [x or 0 for x in blocks.agg(*[F.sum(F.col(c)[k]) for k in range(4)]).first()]
+    ones = dict.fromkeys(range(1, 5), 0) | {r[0]: r[1] for r in figures.filter("n BETWEEN 1 AND 4").groupBy("n").count().collect()}
+    discounts = [_discounts([ones[k] for k in range(1, 5)]), _discounts(sums("pairs")), _discounts(sums("triples"))]
+    total, taken = figures.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.get(F.lit(discounts[0].tolist()), F.least("n", F.lit(3)).cast("int"))), F.lit(0.0))).first()
+    # What the words leave is for all of them; no word is a start.
+    spare = max(0.0, 1 - (total - taken) / max(total, 1)) / max(1, n_words + FIRST - 1)
+    words = stored(words.join(figures, "number", "left").na.fill(0, WORD_FIGURES[1:]), "kn-words")
+    drop_scratch(spark, used + more_used, words)
+    return Model(words, blocks, n_words, special, discounts, total, spare, 1.0 / (1 + once))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, lang, fitted, n_tokens, log_p)`` of every whole text of ``docs(doc_id, text, lang, fitted)``."""
-    spark = session(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(model.small())
-
-    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, passed = shared.value[0], shared.value[4]
-        code, part, number = _coder(vocabulary), TaskContext.get().partitionId(), 0
-        schema = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("fitted", pa.list_(pa.bool_())),
-                            ("lengths", pa.list_(pa.int32())), ("codes", pa.binary()), ("passed", pa.binary())])
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            codes, lengths = np.concatenate([h[3] for h in held]), np.array([len(h[3]) for h in held])
-            may = np.concatenate([passed.test(keys) for p, n in _parts(codes, lengths) for keys in _keys(p, n)])
-            bits = zlib.compress(np.packbits(may).tobytes(), 1)
-            row = [[part * 2**32 + number], *([[h[i] for h in held]] for i in range(3)), [lengths], [pack_numbers(codes)], [bits]]
-            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
-
-        for batch in batches:
-            for doc_id, text, lang, fitted in arrow_rows(batch, "doc_id", "text", "lang", "fitted"):
-                held.append((doc_id, lang, fitted, code(text)))
-                size += len(text or "")
-                if size >= CHUNK_BYTES or len(held) >= 50_000:
-                    yield flush()
-                    held, size, number = [], 0, number + 1
-        if held:
-            yield flush()
-
-    # Dealt once: what a chunk asks for and what it is rated with read the same shuffle, so columns must not be pruned below it.
-    chunks = docs.select("doc_id", "text", "lang", "fitted").mapInArrow(chunk, CHUNK).repartition("chunk")
-
-    def numbers(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        codes, lengths = unpack_numbers(row["codes"]).astype(np.int64), np.array(row["lengths"], np.int64)
-        bits = np.unpackbits(np.frombuffer(zlib.decompress(row["passed"]), np.uint8), count=2 * (len(codes) + len(lengths)))
-        return codes, lengths, bits.view(bool)
+    """``(doc_id, lang, n_tokens, log_p)`` of every whole text of ``docs(doc_id, text, lang)``."""
+    session(docs.sparkSession)
+    special, (d1, d2, d3), total, spare, unknown_share = model.special, model.discounts, model.total, model.spare, model.unknown_share
+    buckets = 1 + int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES
+    # Dealt once: all uses of the chunks read the same shuffle, so columns must not be pruned below it.
+    chunks = _coded(docs).repartition("chunk")
+    words = _found_words(chunks, model.words, WORD_FIGURES, buckets)
+
+    def grams_of(row: dict, numbers: np.ndarray) -> tuple[Grams, np.ndarray, np.ndarray, np.ndarray]:
+        two, one, last, owner = trigram_keys(numbers[unpack_numbers(row["codes"])], np.array(row["lengths"], np.int64))
+        return Grams(np.append(one << 32 | last, START << 32 | START), two), one, last, owner
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        grams = grams_of(row, _joined(right.to_pylist(), row["words"], len(WORD_FIGURES))[0])[0]
+        return _batch(ASKED, [(k, row["chunk"], *data) for k, _, _, data in grams.packed(buckets)])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, lengths, codes, passed in arrow_rows(batch, "chunk", "lengths", "codes", "passed"):
-                keys = _wanted(*numbers({"lengths": lengths, "codes": codes, "passed": passed}))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), chunk))], ["key", "to"])
+    def find(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _batch(FOUND, [])
+        part = Part(right.to_pylist())
+        return _batch(FOUND, [(r["to"], r["bucket"], pack_numbers(part.answer(*_unpacked(r["b"], r["c"], r["per"], r["a"])), "<u8")) for r in left.to_pylist()])
 
-    answers = chunks.mapInArrow(ask, "key long, to long").join(model.figures, "key").select("to", "key", "a", "g")
+    asked = chunks.groupBy("chunk").cogroup(words.groupBy("to")).applyInArrow(ask, ASKED)
+    found = asked.groupBy("bucket").cogroup(model.blocks(buckets).groupBy("bucket")).applyInArrow(find, FOUND)
+    answers = words.withColumn("words", F.lit(True)).unionAll(found.withColumn("words", F.lit(False)))
 
     def rate(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, word_p, word_rest, unknown_share, _ = shared.value
-        row = left.to_pylist()[0]
-        codes, lengths, passed = numbers(row)
-        known = right.column("key").to_numpy() if right.num_rows else np.empty(0, np.int64)
-        order = np.argsort(known)
-        known = known[order]
-        p, g = np.zeros(len(known) + 1), np.ones(len(known) + 1)  # the last place is for keys that are not known
-        if len(known):
-            p[:-1], g[:-1] = right.column("a").to_numpy()[order], right.column("g").to_numpy()[order]
-
-        def place(keys: np.ndarray, may: np.ndarray) -> np.ndarray:
-            out = np.full(len(keys), len(known))
-            if len(known):
-                asked = keys[may]
-                at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-                out[may] = np.where(known[at] == asked, at, len(known))
-            return out
-
-        start = place(np.array([key_of(PAIR, START, START)]), np.ones(1, bool))[0]
-        sums, begin = [np.empty(0)], 0
-        for part, sizes in _parts(codes, lengths):
-            n = len(part) + len(sizes)
-            _, one, last, owner = trigram_keys(part, sizes)
-            triple, pair = _keys(part, sizes)
-            at_triple, at_pair = place(triple, passed[begin : begin + n]), place(pair, passed[begin + n : begin + 2 * n])
-            begin += 2 * n
-            # A triple's context is the pair that ends one token earlier.
-            context = np.concatenate([[start], at_pair[:-1]])
-            context[np.cumsum(sizes + 1)[:-1]] = start
+        row, answers = left.to_pylist()[0], right.to_pylist()
+        figures = _joined([r for r in answers if r["words"]], row["words"], len(WORD_FIGURES))
+        grams, one, last, owner = grams_of(row, figures[0])
+        by_pair, by_triple, parts = grams.dealt(buckets)
+        of_pair, n3 = np.zeros((5, len(by_pair)), np.int64), np.zeros(len(by_triple), np.int64)
+        got = {r["bucket"]: r["found"] for r in answers if not r["words"]}
+        for bucket, some, more in parts:
+            values, size = unpack_numbers(got[bucket], "<u8").astype(np.int64), 5 * (some.stop - some.start)
+            of_pair[:, by_pair[some]], n3[by_triple[more]] = values[:size].reshape(5, -1), values[size:]
+        # A triple's context is the pair that ends one token earlier.
+        sizes = np.array(row["lengths"], np.int64) + 1
+        pair, start = grams.of_pair[:-1], grams.of_pair[-1]
+        context = np.append(start, pair[:-1])
+        context[np.cumsum(sizes)[:-1]] = start
+        number, first = np.unique(np.concatenate([np.arange(FIRST), figures[0]]), return_index=True)
+        n1, *classes = np.concatenate([special, figures[1:]], axis=1)[:, first]
+        classes = np.stack(classes)
+        g2, p1, g3 = _rest(classes, d2), _share(n1, total, d1) + spare, _rest(of_pair[1:], d3)
+        log_p = np.zeros(len(sizes))
+        for begin in range(0, len(last), PART_TOKENS):
+            at = slice(begin, begin + PART_TOKENS)
+            before, word = np.searchsorted(number, one[at]), np.searchsorted(number, last[at])
+            shorter = _share(of_pair[0][pair[at]], classes[0][before], d2) + g2[before] * p1[word]
+            whole = _share(n3[grams.of_triple[at]], of_pair[1][context[at]], d3) + g3[context[at]] * shorter
             # An unknown word has its share of the unknown class at every order.
-            within = np.where(last == UNKNOWN, unknown_share, 1.0)
-            shorter = p[at_pair] + word_rest[one] * word_p[last]
-            whole = (p[at_triple] + g[context] * shorter) * within
-            sums.append(np.bincount(owner, weights=np.log(np.maximum(whole, 1e-300)), minlength=len(sizes)))
-        log_p = np.concatenate(sums)
-        return pa.table({
-            "doc_id": pa.array(row["doc_ids"], pa.int64()), "lang": pa.array(row["langs"], pa.string()), "fitted": pa.array(row["fitted"], pa.bool_()),
-            "n_tokens": pa.array(lengths + 1), "log_p": pa.array(log_p),
-        })
+            whole *= np.where(last[at] == UNKNOWN, unknown_share, 1.0)
+            log_p += np.bincount(owner[at], weights=np.log(np.maximum(whole, 1e-300)), minlength=len(sizes))
+        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "lang": pa.array(row["langs"], pa.string()), "n_tokens": pa.array(sizes), "log_p": pa.array(log_p)})
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("to")).applyInArrow(rate, SCORED)
 
 
-def rate_documents(docs: DataFrame, trusted: DataFrame, per_lang: int = PER_LANG, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def rate_documents(docs: DataFrame, trusted: DataFrame, per_lang: int | None = PER_LANG, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """``(doc_id, lang, n_tokens, perplexity, threshold, kept)`` of each row of ``docs(doc_id, text, lang, ...)``.
 
-    ``trusted(doc_id)`` names trusted documents.  The model learns from at most
-    ``per_lang`` of each language, those with the smallest hashes of their id in one half
-    (by another hash) of them; the other half is never learned from.  A language's threshold is ``slack`` times the ``quantile`` of the perplexity of all its
-    other trusted documents; a language without any has that of all languages.  Tokens
-    are words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case and one end, so null and
+    ``trusted(doc_id)`` names trusted documents.  The model learns from one half (by a
+    hash) of them: from all with ``per_lang`` None, else from at most ``per_lang`` of each
+    language, those with the smallest values of another hash.  The other half is never
+    learned from.  A language's threshold is ``slack`` times the ``quantile`` of the
+    perplexity of all its trusted documents that were not learned from; a language without
+    any has that of its learned ones, one without trusted documents that of all languages.
+    Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case and one end, so null and
     empty texts have one.  A row without a language belongs to a group of its own.
     Without trusted text nothing is rejected and threshold is null.
     """
@@ -317,15 +455,16 @@ def rate_documents(docs: DataFrame, trusted: DataFrame, per_lang: int = PER_LANG
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     known = docs.filter("text IS NOT NULL").select("doc_id", "lang").join(ids, "doc_id", "left_semi").distinct()
     half = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0)
-    chosen = smallest_of(half, ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], per_lang).select("doc_id").distinct()
-    chosen = spark.createDataFrame(chosen.collect(), "doc_id long")  # per_lang ids a language
-    marked = docs.join(F.broadcast(chosen.withColumn("fitted", F.lit(True))), "doc_id", "left").withColumn("fitted", F.coalesce("fitted", F.lit(False)))
-    sample = marked.filter("fitted").select("doc_id", "text").dropDuplicates(["doc_id"]).select("text")
+    if per_lang is not None:
+        half = smallest_of(half, ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], per_lang)
+    chosen = stored(half.select("doc_id").distinct(), "kn-chosen")
+    sample = docs.join(chosen, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]).select("text")
     with noted_scratch() as made:
-        scored = stored(score(marked, fit(stored(sample, "kn-sample"))), "kn-scored")
+        scored = stored(score(docs, fit(sample)), "kn-scored")
     drop_scratch(spark, made, scored)
     scored = scored.withColumn("log_ppl", -F.col("log_p") / F.col("n_tokens")).withColumn("perplexity", F.exp("log_ppl"))
-    unseen = scored.join(ids, "doc_id", "left_semi").select(F.coalesce("lang", F.lit("")).alias("group"), "log_ppl", "fitted")
+    unseen = scored.join(ids, "doc_id", "left_semi").join(chosen.withColumn("fitted", F.lit(True)), "doc_id", "left")
+    unseen = unseen.select(F.coalesce("lang", F.lit("")).alias("group"), "log_ppl", F.coalesce("fitted", F.lit(False)).alias("fitted"))
     cut = lambda: F.percentile_approx("log_ppl", quantile, 100_000)
     fresh = unseen.filter("NOT fitted").groupBy("group").agg(cut().alias("fresh"))
     seen = unseen.groupBy("group").agg(cut().alias("seen"))
@@ -346,4 +485,4 @@ def trusted_ids(spark, sf_dir: str) -> DataFrame:
 @query("op7_quality")
 def quality(spark, sf_dir: str) -> DataFrame:
     """Perplexity of all documents under the model of trusted ones, and who passes."""
-    return rate_documents(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
+    return rate_documents(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir), per_lang=None)

@@ -196,3 +196,24 @@ def test_language_sample_of_one_language_over_many_partitions(spark):
     got = {r.doc_id for r in smallest_of(df, ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], 40).collect()}
     want = {r.doc_id for r in df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(40).collect()}
     assert got == want
+
+
+def test_quality_learns_from_all_trusted_documents_of_the_half(spark, monkeypatch, tmp_path):
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda sample: seen.append({r.text for r in sample.collect()}) or fit(sample))
+    df = spark.createDataFrame([(i, f"some plain words {i}", "en", "s", 1) for i in range(1300)], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    df.selectExpr("doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    half = {r.text for r in df.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0).collect()}
+    assert quality.quality(spark, str(tmp_path)).count() == 1300 and seen == [half] and len(half) > 600
+
+
+def test_quality_scores_are_the_same_in_many_buckets_and_chunks(spark, docs, monkeypatch):
+    sample = docs.filter("doc_id < 100").select("text")
+    one = quality.score(docs, quality.fit(sample)).collect()
+    monkeypatch.setattr(quality, "BUCKET_BYTES", 4 << 10)
+    monkeypatch.setattr(quality, "CHUNK_BYTES", 3 << 10)
+    many = quality.score(docs, quality.fit(sample)).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id)
+    for a, b in zip(sorted(one, key=key), sorted(many, key=key), strict=True):
+        assert a[:3] == b[:3] and a.log_p == pytest.approx(b.log_p, rel=1e-12)
