@@ -67,7 +67,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 @_stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose perplexity is over their language's limit; rows without an id stay."""
-    rated = quality.rate_documents(docs, quality.trusted_ids(spark, sf_dir))
+    rated = quality.rate_documents(docs, quality.trusted_ids(spark, sf_dir), per_lang=None)
     # Of rows that repeat an id, all go only if all are over the limit.
     rejected = rated.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept").select("doc_id")
     return _without(docs, rejected)

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tallymart.llm import bpe, language_id, quality, suffix_tree
 
 
@@ -206,6 +207,8 @@ def test_quality_learns_from_all_trusted_documents_of_the_half(spark, monkeypatc
     df.selectExpr("doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
     half = {r.text for r in df.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0).collect()}
     assert quality.quality(spark, str(tmp_path)).count() == 1300 and seen == [half] and len(half) > 600
+    corpus_pipeline.keep_quality(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).count()
+    assert seen == [half, half]
 
 
 def test_quality_scores_are_the_same_in_many_buckets_and_chunks(spark, docs, monkeypatch):
