@@ -28,7 +28,7 @@ from .registry import query
 PER_LANG = 500  # trusted documents of a language that ``rate_documents`` learns from unless told to learn from all
 QUANTILE, SLACK = 0.995, 1.25
 UNKNOWN, START, END, FIRST = 0, 1, 2, 3
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 PART_TOKENS = 200_000  # tokens rated at once, so that what is made of each stays small
 CHUNK = "chunk long, doc_ids array<long>, langs array<string>, lengths array<int>, codes binary, words binary, counts binary"
 ASKED = "bucket int, to long, b binary, c binary, per binary, a binary"
