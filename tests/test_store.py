@@ -131,3 +131,22 @@ def test_a_view_follows_the_changed_chunks(store, rows):
     with store.transaction() as change:
         merge_dimension(change, "names", rows("id int, name string", (2, "c")), "id")
     assert len(refresh()) == 2  # all that are left, as the names may be anywhere
+
+
+def test_a_merge_writes_only_what_it_changes(store, rows):
+    """Chunks that merely get new rows keep their folders, and new rows are written once; a chunk in many folders becomes one."""
+    with store.transaction() as change:
+        merge_fact(change, "fact", rows(FACT, *FIRST), ["id"], chunk="month")
+    first = store.manifest()["tables"]["fact"]["chunks"]
+    with store.transaction() as change:
+        assert merge_fact(change, "fact", rows(FACT, (1, None, 7), (5, "2024-01-05", 5)), ["id"], chunk="month") == ["2024-01-01", NULL_CHUNK]
+    then = store.manifest()["tables"]["fact"]["chunks"]
+    assert then["2024-01-01"][:1] == first["2024-01-01"] and len(then["2024-01-01"]) == 2  # its stored rows are not written again
+    assert len(then[NULL_CHUNK]) == 1 and then[NULL_CHUNK] != first[NULL_CHUNK] and then["2024-02-01"] == first["2024-02-01"]
+    written = store.spark.read.parquet(f"{store.root}/fact/_w={then[NULL_CHUNK][0]}")
+    assert sorted(r.id for r in written.collect()) == [1, 2, 5]  # the new rows and what is left beside a replaced one
+    for i in range(10, 18):
+        with store.transaction() as change:
+            merge_fact(change, "fact", rows(FACT, (i, "2024-01-06", i)), ["id"], chunk="month")
+    assert len(store.manifest()["tables"]["fact"]["chunks"]["2024-01-01"]) <= 8
+    assert facts(store) == sorted([(1, "None", 7), (2, "None", 2), (3, "2024-01-02", 3), (4, "2024-02-05", 4), (5, "2024-01-05", 5), *((i, "2024-01-06", i) for i in range(10, 18))])
