@@ -8,7 +8,6 @@ ever holds more than a chunk.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,11 +28,11 @@ _ARROW = pa.schema([
 def pack_numbers(values: np.ndarray, kind: str = "<u4") -> bytes:
     """Compressed numbers; all their low bytes come first, then the next ones, as these repeat more."""
     raw = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize)
-    return zlib.compress(raw.T.tobytes(), 3)
+    return raw.size.to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw.T.tobytes(), asbytes=True)
 
 
 def unpack_numbers(data: bytes, kind: str = "<u4") -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    raw = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(raw.T).view(kind).reshape(-1)
 
 

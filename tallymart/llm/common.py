@@ -50,6 +50,18 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, what a query has shuffled goes when it ends, not when the driver's garbage is collected."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def drop_scratch(spark: SparkSession, paths: list[str], but_for: DataFrame) -> None:
     """Remove scratch folders, except those that ``but_for`` reads, and forget them."""
     read = but_for.inputFiles() if paths else []

@@ -8,9 +8,10 @@ from functools import reduce
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallymart.llm import fingerprints, language_id, quality
+from tallymart.llm import fingerprints, language_id, quality, suffix_tree
 
 
 def words_of(text):
@@ -92,6 +93,70 @@ def test_perplexity_and_limits_equal_plain_kneser_ney(docs, corpus, monkeypatch)
                 assert math.log(r.threshold) == pytest.approx(limit) and r.kept == (math.log(r.perplexity) <= limit)
 
 
+class PlainSuffixTree:
+    """Contexts of up to three words in dictionaries, all that occur often enough."""
+
+    def __init__(self, texts, least, pull):
+        self.words = Counter(w for t in texts for w in words_of(t))
+        self.least, self.pull = least, pull
+        seen = Counter(self.words.values())
+        self.rare, self.nexts = seen[1] + 2 * seen[2], defaultdict(Counter)
+        for t in texts:
+            learned = ["<unk>" if self.words[w] == 1 else self.symbol(w) for w in words_of(t)] + ["</s>"]
+            for i, d in enumerate(learned):
+                for depth in range(min(i, 3) + 1):
+                    self.nexts[tuple(learned[i - depth : i])][d] += 1
+        self.tokens = sum(self.nexts[()].values())
+        self.kinds = 3 + sum(n > 2 for n in self.words.values())
+        self.kept = {}
+
+    def symbol(self, w):
+        return w if self.words[w] > 2 else "<rare>" if self.words[w] else "<unk>"
+
+    def p(self, context, d):
+        if not context:
+            return (self.nexts[()][d] + 0.5) / (self.tokens + 0.5 * self.kinds)
+        short, counts = self.p(context[1:], d), self.nexts.get(context, {})
+        total = sum(counts.values())
+        if context not in self.kept:
+            loo = lambda n, q: n * math.log((n - 1 + self.pull * q) / (total - 1 + self.pull) / q)
+            gain = math.inf if len(context) == 1 else sum(loo(n, self.p(context[1:], x)) for x, n in counts.items()) if total >= self.least else 0
+            self.kept[context] = total >= self.least and gain > 0.5 * math.log(max(self.tokens, 2))
+        return (counts.get(d, 0) + self.pull * short) / (total + self.pull) if self.kept[context] else short
+
+    def log_p(self, text):
+        words, out = words_of(text), 0.0
+        context = ["<unk>" if self.words[w] == 1 else self.symbol(w) for w in words]
+        for i, d in enumerate([*map(self.symbol, words), "</s>"]):
+            out += math.log10(self.p(tuple(context[max(0, i - 3) : i]), d))
+            if d == "<rare>":
+                out += math.log10(self.words[words[i]] / self.rare)
+        return out
+
+
+def test_suffix_tree_scores_equal_a_plain_tree_over_all_words(spark, docs, corpus, monkeypatch):
+    learn = language_id.remainder(F.col("doc_id"), 7) != 2
+    monkeypatch.setattr(suffix_tree, "PAIRS_BUCKET", 2_000)
+    got = suffix_tree.score_documents(docs.withColumn("learn", learn), least=8, pull=4.0).collect()
+    text = {r[0]: r[1] for r in corpus}
+    plain = PlainSuffixTree([text[r.doc_id] for r in got if r.learned], 8, 4.0)
+    assert len(got) == len(corpus)
+    for r in got:
+        assert r.score == pytest.approx(plain.log_p(text[r.doc_id]), rel=1e-6)
+    lengths = Counter(len(c) for c, kept in plain.kept.items() if kept)
+    assert min(lengths[1], lengths[2], lengths[3]) > 5
+
+
+def test_suffix_tree_learns_contexts_of_words_that_are_not_frequent(spark):
+    """Twenty words that each come thirty times, after six hundred more frequent ones."""
+    rng = np.random.default_rng(3)
+    common = " ".join(f"w{i}" for i in rng.permutation(np.repeat(np.arange(600), 40)))
+    pairs = " ".join(f"key{i} value{i}" for i in rng.permutation(np.repeat(np.arange(20), 30)))
+    rows = [(1, common, True), (2, pairs, True), (3, " ".join(f"key{i} value{i}" for i in range(20)), False), (4, " ".join(f"key{i} value{(i + 7) % 20}" for i in range(20)), False)]
+    got = {r.doc_id: r.score for r in suffix_tree.score_documents(spark.createDataFrame(rows, "doc_id long, text string, learn boolean")).collect()}
+    assert got[3] > got[4] + 20
+
+
 def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
