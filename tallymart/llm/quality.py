@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .chunks import pack_numbers, unpack_numbers
-from .common import arrow_rows, drop_scratch, key_array, mix64, noted_scratch, session, smallest_of, split_words, stored, table, word_keys
+from .common import arrow_rows, drop_scratch, key_array, mix64, noted_scratch, session, shuffles_removed, smallest_of, split_words, stored, table, word_keys
 from .registry import query
 
 PER_LANG = 500  # trusted documents of a language that ``rate_documents`` learns from unless told to learn from all
 QUANTILE, SLACK = 0.995, 1.25
 UNKNOWN, START, END, FIRST = 0, 1, 2, 3
 CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+PARTS = 4  # documents are scored in so many parts
 PART_TOKENS = 200_000  # tokens rated at once, so that what is made of each stays small
 CHUNK = "chunk long, doc_ids array<long>, langs array<string>, lengths array<int>, codes binary, words binary, counts binary"
 ASKED = "bucket int, to long, b binary, c binary, per binary, a binary"
@@ -376,11 +377,15 @@ def fit(sample: DataFrame) -> Model:
     return Model(words, blocks, n_words, special, discounts, total, spare, 1.0 / (1 + once))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, lang, n_tokens, log_p)`` of every whole text of ``docs(doc_id, text, lang)``."""
+def _buckets(docs: DataFrame) -> int:
+    return 1 + int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES
+
+
+def score(docs: DataFrame, model: Model, buckets: int | None = None) -> DataFrame:
+    """``(doc_id, lang, n_tokens, log_p)`` of every whole text of ``docs(doc_id, text, lang)``; counts are dealt to so many buckets, or as many as the text needs."""
     session(docs.sparkSession)
     special, (d1, d2, d3), total, spare, unknown_share = model.special, model.discounts, model.total, model.spare, model.unknown_share
-    buckets = 1 + int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES
+    buckets = buckets or _buckets(docs)
     # Dealt once: all uses of the chunks read the same shuffle, so columns must not be pruned below it.
     chunks = _coded(docs).repartition("chunk")
     words = _found_words(chunks, model.words, WORD_FIGURES, buckets)
@@ -437,6 +442,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return chunks.groupBy("chunk").cogroup(answers.groupBy("to")).applyInArrow(rate, SCORED)
 
 
+def _score_in_parts(docs: DataFrame, model: Model) -> DataFrame:
+    """The stored scores of all documents, one part after another, so that what is shuffled for one is gone before the next."""
+    buckets = _buckets(docs)
+    of = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(PARTS))
+    parts = [docs.filter(of == k) for k in range(PARTS)] if buckets > 1 else [docs]
+    parts = [stored(score(part, model, buckets), "kn-scored") for part in parts]
+    return reduce(DataFrame.unionAll, parts)
+
+
 def rate_documents(docs: DataFrame, trusted: DataFrame, per_lang: int | None = PER_LANG, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """``(doc_id, lang, n_tokens, perplexity, threshold, kept)`` of each row of ``docs(doc_id, text, lang, ...)``.
 
@@ -459,8 +473,8 @@ def rate_documents(docs: DataFrame, trusted: DataFrame, per_lang: int | None = P
         half = smallest_of(half, ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], per_lang)
     chosen = stored(half.select("doc_id").distinct(), "kn-chosen")
     sample = docs.join(chosen, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]).select("text")
-    with noted_scratch() as made:
-        scored = stored(score(docs, fit(sample)), "kn-scored")
+    with noted_scratch() as made, shuffles_removed(spark):
+        scored = _score_in_parts(docs, fit(sample))
     drop_scratch(spark, made, scored)
     scored = scored.withColumn("log_ppl", -F.col("log_p") / F.col("n_tokens")).withColumn("perplexity", F.exp("log_ppl"))
     unseen = scored.join(ids, "doc_id", "left_semi").join(chosen.withColumn("fitted", F.lit(True)), "doc_id", "left")

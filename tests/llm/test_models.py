@@ -220,3 +220,13 @@ def test_quality_scores_are_the_same_in_many_buckets_and_chunks(spark, docs, mon
     key = lambda r: (r.doc_id is None, r.doc_id)
     for a, b in zip(sorted(one, key=key), sorted(many, key=key), strict=True):
         assert a[:3] == b[:3] and a.log_p == pytest.approx(b.log_p, rel=1e-12)
+
+
+def test_quality_scores_in_parts_and_leaves_no_shuffled_data(spark, docs, monkeypatch):
+    trusted, key = docs.filter("doc_id < 160 AND doc_id % 2 = 0").select("doc_id"), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rows = lambda df: sorted(((r.doc_id or -1, r.n_tokens, round(r.perplexity, 6), round(r.threshold, 6), r.kept) for r in df.collect()))
+    one, parts, score, before = rows(quality.rate_documents(docs, trusted)), [], quality.score, spark.conf.get(key, None)
+    monkeypatch.setattr(quality, "score", lambda *a: parts.append(spark.conf.get(key)) or score(*a))
+    monkeypatch.setattr(quality, "BUCKET_BYTES", 16 << 10)
+    assert rows(quality.rate_documents(docs, trusted)) == one
+    assert parts == ["true"] * quality.PARTS and spark.conf.get(key, None) == before
